@@ -1,0 +1,23 @@
+"""Joins on keys that can be hot."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: list[str], salts: int = SALTS
+) -> DataFrame:
+    """Equi-join whose left side may hold a large share of its rows under one key.
+
+    Left rows of one key are dealt over ``salts`` sub-keys by a hash of ``spread_by``; the
+    right side, which has at most a few rows per key, is repeated once per sub-key. Works for
+    inner and left joins of any kind. The optimizer still broadcasts the right side when
+    its measured size is below the session's threshold.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
