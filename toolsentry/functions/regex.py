@@ -60,8 +60,12 @@ def is_valid(pattern: str) -> bool:
 
 
 def fold_case(text: Column) -> Column:
-    """Text folded so that every case-insensitive match of an ASCII word contains that word."""
-    return F.lower(F.upper(F.replace(text, F.lit("\u0130"), F.lit("i"))))
+    """Text folded so that every case-insensitive match of an ASCII word contains that word.
+
+    Upper case first, because some letters only meet their ASCII relative there (long s,
+    dotless i); the dotted capital I would otherwise fold to two characters.
+    """
+    return F.lower(F.replace(F.upper(text), F.lit("\u0130"), F.lit("I")))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
