@@ -12,7 +12,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toolsentry.functions import sql
 from toolsentry.sources.files import as_files
+from toolsentry.session import spread_small
 
 # -- phrases added to tool descriptions --------------------------------------------------------
 
@@ -197,14 +199,19 @@ CLIENT_EXPECTED = [
 ]
 
 
+KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A provided table; one with texts in too few splits to keep all cores busy is dealt out."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread_small(rows, KEYS[table]) if table in KEYS else rows
 
 
 def pick(options: list, key: Column | str) -> Column:
     """The option a key selects."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (key % len(options)).cast("int") + 1)
+    return F.element_at(F.expr(sql.array(options)), (key % len(options)).cast("int") + 1)
 
 
 def tools(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,11 +66,3 @@ def fold_case(text: Column) -> Column:
     dotless i); the dotted capital I would otherwise fold to two characters.
     """
     return F.lower(F.replace(F.upper(text), F.lit("\u0130"), F.lit("I")))
-
-
-def contains_any(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for i, word in enumerate(words):
-        hit = F.contains(text, F.lit(word))
-        found = hit if i == 0 else found | hit
-    return found

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
+from toolsentry.functions import sql
 from toolsentry.functions.regex import SPACE, to_jvm
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -19,13 +20,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
 
 
-def truncate_evidence(text: Column, limit: int = fv.EVIDENCE_LIMIT) -> Column:
-    flat = collapse_spaces(text)
-    return F.when(F.length(flat) <= limit, flat).otherwise(
-        F.concat(F.substring(flat, 1, limit - 1), F.lit("\u2026"))
-    )
-
-
 def split_lines(content: Column) -> Column:
     """Array of lines without their terminators; a trailing terminator opens no new line."""
     parts = F.split(content, LINE_BREAK)
@@ -49,42 +43,29 @@ def _directories(path: Column) -> Column:
     return F.slice(segments, 1, F.size(segments) - 1)
 
 
-def _any_of(options: list[Column]) -> Column:
-    verdict = options[0]
-    for option in options[1:]:
-        verdict = verdict | option
-    return verdict
-
-
 def is_test_path(path: Column) -> Column:
     """Whether a target-relative path is test, example or documentation code."""
-
-    def test_directory(segment: Column) -> Column:
-        return _any_of(
-            [segment.isin(fv.TEST_SEGMENTS)]
-            + [F.endswith(segment, F.lit(s)) for s in fv.TEST_SEGMENT_SUFFIXES]
-            + [F.startswith(segment, F.lit(p)) for p in fv.TEST_SEGMENT_PREFIXES]
-        )
-
+    prefixes, suffixes = sql.array(fv.TEST_SEGMENT_PREFIXES), sql.array(fv.TEST_SEGMENT_SUFFIXES)
+    name_prefixes, name_suffixes = sql.array(fv.TEST_FILE_PREFIXES), sql.array(fv.TEST_FILE_SUFFIXES)
     name = F.lower(base_name(path))
     return (
-        F.exists(_directories(path), test_directory)
-        | _any_of([F.startswith(name, F.lit(p)) for p in fv.TEST_FILE_PREFIXES])
-        | _any_of([F.endswith(name, F.lit(s)) for s in fv.TEST_FILE_SUFFIXES])
+        F.arrays_overlap(_directories(path), F.expr(sql.array(fv.TEST_SEGMENTS)))
+        | F.exists(_directories(path), lambda d: _any_edge(d, prefixes, F.startswith) | _any_edge(d, suffixes, F.endswith))
+        | _any_edge(name, name_prefixes, F.startswith)
+        | _any_edge(name, name_suffixes, F.endswith)
     )
 
 
-def is_build_path(path: Column) -> Column:
-    return F.arrays_overlap(_directories(path), F.array(*[F.lit(s) for s in fv.BUILD_SEGMENTS]))
+def _any_edge(text: Column, options: str, test) -> Column:
+    return F.exists(F.expr(options), lambda option: test(text, option))
 
 
-def is_pruned_path(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(s) for s in fv.PRUNED_DIRS]))
+def is_build_path(path: Column) -> Column:
+    return F.arrays_overlap(_directories(path), F.expr(sql.array(fv.BUILD_SEGMENTS)))
 
 
-def demote(severity: Column) -> Column:
-    """One severity step down, never below LOW."""
-    return F.greatest(F.lit(fv.LOW), severity - 1).cast("tinyint")
+def is_pruned_path(path: Column) -> Column:
+    return F.arrays_overlap(F.split(path, "/"), F.expr(sql.array(fv.PRUNED_DIRS)))
 
 
 def dependency_name(requirement: Column) -> Column:
@@ -92,7 +73,7 @@ def dependency_name(requirement: Column) -> Column:
 
 
 def severity_name(severity: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in fv.SEVERITY_NAMES]), severity.cast("int") + 1)
+    return F.element_at(F.expr(sql.array(fv.SEVERITY_NAMES)), severity.cast("int") + 1)
 
 
 def sha256_prefix(text: Column, length: int) -> Column:

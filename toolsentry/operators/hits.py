@@ -1,64 +1,60 @@
-"""Hits: what one text yields, as an array of structs ready to explode into findings."""
+"""Hits: what one text yields, as an array of structs ready to inline into findings.
 
-from __future__ import annotations
+Everything here is SQL text, see ``toolsentry.functions.sql``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from toolsentry.functions import regex
-from toolsentry.functions.text import truncate_evidence
+from toolsentry.functions import regex, sql
 from toolsentry.operators.rules import Rule
 
+HIT_TYPE = (
+    "array<struct<detector:string,rule_id:string,title:string,severity:tinyint,owasp_id:string,"
+    "confidence:string,evidence:string,recommendation:string>>"
+)
+NO_HITS = f"cast(array() as {HIT_TYPE})"
+
 
 def hit(
     detector: str,
     rule_id: str,
-    title: str | Column,
-    severity: int | Column,
+    title: str,
+    severity: int | str,
     owasp_id: str,
-    confidence: str | Column,
-    evidence: Column,
-    recommendation: str | Column,
-    location: Column | None = None,
-) -> Column:
-    """One hit; ``location`` only where the hits of a row have different places."""
-
-    def column(value):
-        return value if isinstance(value, Column) else F.lit(value)
-
-    return F.struct(
-        F.lit(detector).alias("detector"),
-        F.lit(rule_id).alias("rule_id"),
-        column(title).alias("title"),
-        column(severity).cast("tinyint").alias("severity"),
-        F.lit(owasp_id).alias("owasp_id"),
-        column(confidence).alias("confidence"),
-        evidence.alias("evidence"),
-        column(recommendation).alias("recommendation"),
-        *([] if location is None else [location.alias("location")]),
-    )
-
-
-def rule_matches(rule: Rule, text: Column, folded: Column) -> Column:
+    confidence: str,
+    evidence: str,
+    recommendation: str,
+    location: str | None = None,
+) -> str:
+    """One hit. ``rule_id``, ``title`` and ``confidence`` are SQL expressions like the evidence;
+    ``location`` is given only where the hits of a row have different places."""
+    fields = {
+        "detector": sql.quoted(detector),
+        "rule_id": rule_id,
+        "title": title,
+        "severity": f"cast({severity} as tinyint)",
+        "owasp_id": sql.quoted(owasp_id),
+        "confidence": confidence,
+        "evidence": sql.truncated(evidence),
+        "recommendation": sql.quoted(recommendation),
+    }
+    return sql.struct(**fields, **({} if location is None else {"location": location}))
+
+
+def rule_matches(rule: Rule, text: str, folded: str) -> str:
     """Whether a rule matches; the regex runs only on texts that hold its anchor words."""
-    verdict = F.rlike(text, F.lit(regex.to_jvm(rule.pattern)))
-    if not rule.anchors:
-        return verdict
-    worth_it = regex.contains_any(folded, list(rule.anchors[0]))
-    for group in rule.anchors[1:]:
-        worth_it = worth_it & regex.contains_any(folded, list(group))
-    return worth_it & verdict
+    tests = [sql.contains_any(folded, list(group)) for group in rule.anchors]
+    return " AND ".join([*tests, sql.rlike(text, regex.to_jvm(rule.pattern))])
 
 
-def rule_hit(detector: str, owasp_id: str, rule: Rule, text: Column, folded: Column, whole_text: bool) -> Column:
+def rule_hit(detector: str, owasp_id: str, rule: Rule, text: str, folded: str, whole_text: bool) -> str:
     """One rule's hit or NULL. Evidence is the whole text or the first match."""
-    evidence = text if whole_text else F.regexp_extract(text, regex.to_jvm(rule.pattern), 0)
-    return F.when(
-        rule_matches(rule, text, folded),
-        hit(detector, rule.rule_id, rule.title, rule.severity, owasp_id, rule.confidence,
-            truncate_evidence(evidence), rule.recommendation),
-    )
+    evidence = text if whole_text else sql.extract(text, regex.to_jvm(rule.pattern))
+    found = hit(detector, sql.quoted(rule.rule_id), sql.quoted(rule.title), rule.severity, owasp_id,
+                sql.quoted(rule.confidence), evidence, rule.recommendation)
+    return f"CASE WHEN {rule_matches(rule, text, folded)} THEN {found} END"
 
 
-def collected(hits: list[Column]) -> Column:
-    return F.array_compact(F.array(*hits))
+def collected(hits: list[str]) -> str:
+    """The hits that are there, of expressions that are NULL otherwise."""
+    return f"array_compact(array({', '.join(hits)}))" if hits else NO_HITS

@@ -8,18 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
-from toolsentry.functions import regex
-from toolsentry.functions.text import demote, is_build_path, is_test_path, split_lines, truncate_evidence
+from toolsentry.functions import regex, sql
+from toolsentry.functions.text import is_build_path, is_test_path, split_lines
 from toolsentry.operators import secrets
-from toolsentry.operators.hits import hit
+from toolsentry.operators.hits import NO_HITS, collected, hit
 
 D2, D3 = "D2", "D3"
 SINK_OWASP_ID = "MCP05"
-SINK_RULE_ID = "D3-CMDINJ"
 SINK_TITLE = "Shell or code execution fed by a dynamic value"
 JS_ADVICE = "Call execFile or spawn with an argument array, leave the shell option off and validate inputs."
 
@@ -30,108 +29,99 @@ def _js(pattern: str, dot_all: bool = False) -> str:
     return regex.to_jvm(pattern, ignore_case=False, dot_all=dot_all)
 
 
-def js_sink(line: Column, imports_child_process: Column) -> Column:
+def sink_struct(what: str, severity: int) -> str:
+    return sql.struct(what=what, severity=f"cast({severity} as tinyint)")
+
+
+def js_sink(line: str, imports_child_process: str) -> str:
     """``struct<what, severity>`` of the first risky sink of a line, or NULL.
 
     Sinks are tried in the order exec, eval, spawn; one that turns out harmless gives way to
     the next, so a line yields at most one.
     """
 
-    def sink(what: Column, severity: int) -> Column:
-        return F.struct(what.alias("what"), F.lit(severity).cast("tinyint").alias("severity"))
-
-    def built(tail: Column) -> Column:
-        return F.rlike(tail, F.lit(_js(fv.JS_TEMPLATE_DYNAMIC))) | F.rlike(tail, F.lit(_js(fv.JS_CONCAT)))
+    def built(tail: str) -> str:
+        return f"({sql.rlike(tail, _js(fv.JS_TEMPLATE_DYNAMIC))} OR {sql.rlike(tail, _js(fv.JS_CONCAT))})"
 
-    def variable(tail: Column) -> Column:
-        return F.rlike(tail, F.lit(_js(fv.JS_IDENTIFIER_ARGUMENT)))
+    def variable(tail: str) -> str:
+        return sql.rlike(tail, _js(fv.JS_IDENTIFIER_ARGUMENT))
 
     exec_call = _js(fv.JS_EXEC_CALL + "(.*)", dot_all=True)
-    name, tail = F.regexp_extract(line, exec_call, 1), F.regexp_extract(line, exec_call, 2)
-    interpolations = F.regexp_extract_all(tail, F.lit(_js(fv.JS_INTERPOLATION)), F.lit(1))
-    stringified = (F.size(interpolations) > 0) & F.forall(
-        interpolations, lambda i: F.startswith(i, F.lit(fv.JS_STRINGIFY))
-    )
-    counts = (name == "execSync") | ((name == "exec") & imports_child_process)
-    from_exec = F.when(
-        F.contains(line, F.lit("exec")) & counts,
-        F.when(built(tail) & stringified, sink(F.concat(name, F.lit(fv.EV_STRINGIFIED)), fv.MEDIUM))
-        .when(built(tail), sink(F.concat(name, F.lit(fv.EV_BUILT_COMMAND)), fv.HIGH))
-        .when(variable(tail), sink(F.concat(name, F.lit(fv.EV_VARIABLE_COMMAND)), fv.MEDIUM)),
-    )
+    name, tail = sql.extract(line, exec_call, 1), sql.extract(line, exec_call, 2)
+    counts = f"({name} = 'execSync' OR ({name} = 'exec' AND {imports_child_process}))"
+    inserted = sql.extract_all(tail, _js(fv.JS_INTERPOLATION), 1)
+    stringified = f"size({inserted}) > 0 AND forall({inserted}, i -> startswith(i, {sql.quoted(fv.JS_STRINGIFY)}))"
+
+    def named(sentence: str) -> str:
+        return sql.concat(name, sql.quoted(sentence))
 
     eval_call = _js(fv.JS_EVAL_CALL + "(.*)", dot_all=True)
-    eval_name, eval_tail = F.regexp_extract(line, eval_call, 1), F.regexp_extract(line, eval_call, 2)
-    from_eval = F.when(
-        regex.contains_any(line, ["eval", "Function"]) & (eval_name != "") & (built(eval_tail) | variable(eval_tail)),
-        sink(F.concat(eval_name, F.lit(fv.EV_DYNAMIC_EXPRESSION)), fv.HIGH),
+    eval_name, eval_tail = sql.extract(line, eval_call, 1), sql.extract(line, eval_call, 2)
+    spawned = sql.extract(line, _js("(" + fv.JS_SPAWN_SHELL + ".*)", dot_all=True), 1)
+    from_exec = (
+        f"CASE WHEN contains({line}, 'exec') AND {counts} THEN CASE "
+        f"WHEN {built(tail)} AND {stringified} THEN {sink_struct(named(fv.EV_STRINGIFIED), fv.MEDIUM)} "
+        f"WHEN {built(tail)} THEN {sink_struct(named(fv.EV_BUILT_COMMAND), fv.HIGH)} "
+        f"WHEN {variable(tail)} THEN {sink_struct(named(fv.EV_VARIABLE_COMMAND), fv.MEDIUM)} END END"
     )
-
-    spawned = F.regexp_extract(line, _js("(" + fv.JS_SPAWN_SHELL + ".*)", dot_all=True), 1)
-    from_spawn = F.when(
-        F.contains(line, F.lit("spawn")) & F.contains(line, F.lit("shell")) & (spawned != "") & built(spawned),
-        sink(F.lit(fv.EV_SPAWN_SHELL), fv.HIGH),
+    from_eval = (
+        f"CASE WHEN {sql.contains_any(line, ['eval', 'Function'])} AND {eval_name} <> '' "
+        f"AND ({built(eval_tail)} OR {variable(eval_tail)}) "
+        f"THEN {sink_struct(sql.concat(eval_name, sql.quoted(fv.EV_DYNAMIC_EXPRESSION)), fv.HIGH)} END"
+    )
+    from_spawn = (
+        f"CASE WHEN contains({line}, 'spawn') AND contains({line}, 'shell') AND {spawned} <> '' AND {built(spawned)} "
+        f"THEN {sink_struct(sql.quoted(fv.EV_SPAWN_SHELL), fv.HIGH)} END"
     )
-    return F.coalesce(from_exec, from_eval, from_spawn)
+    return f"coalesce({from_exec}, {from_eval}, {from_spawn})"
 
 
-def sink_hit(what: Column, severity: Column, confidence: Column | str, demoted: Column, advice: str) -> Column:
-    """A D3 hit; in test and build code one step lower and marked as such."""
-    return hit(
-        D3, SINK_RULE_ID, SINK_TITLE,
-        F.when(demoted, demote(severity)).otherwise(severity),
-        SINK_OWASP_ID, confidence,
-        truncate_evidence(F.when(demoted, F.concat(what, F.lit(fv.TEST_BUILD_MARK))).otherwise(what)),
-        advice,
-    )
+def sink_hit(sink: str, confidence: str, demoted: str, advice: str) -> str:
+    """The D3 hit of a sink; in test and build code one step lower and marked as such."""
+    severity = f"if({demoted}, {sql.demoted(f'{sink}.severity')}, {sink}.severity)"
+    what = sql.concat(f"{sink}.what", f"if({demoted}, {sql.quoted(fv.TEST_BUILD_MARK)}, '')")
+    return hit(D3, "'D3-CMDINJ'", sql.quoted(SINK_TITLE), severity, SINK_OWASP_ID, confidence, what, advice)
 
 
 def line_findings(files: DataFrame, detectors: Collection[str] = (D2, D3)) -> DataFrame:
     """Credential and JavaScript-sink findings of source and config lines."""
-    content = F.col("content")
-    scripted = F.col("ext").isin(fv.JS_EXTENSIONS) & (F.col("role") == "source")
-    wanted = []
+    in_js = f"(role = 'source' AND array_contains({sql.array(fv.JS_EXTENSIONS)}, ext))"
+    in_file, in_line = [], []
     if D2 in detectors:
-        wanted.append(secrets.may_hold_secret(content, regex.fold_case(content)))
+        in_file.append(secrets.may_hold_secret("content", "folded"))
+        in_line.append(secrets.may_hold_secret("line", "folded"))
     if D3 in detectors:
-        wanted.append(scripted & regex.contains_any(content, _JS_WORDS))
-    any_wanted = wanted[0] if len(wanted) == 1 else wanted[0] | wanted[1]
-    candidates = files.filter(F.col("role").isin("source", "config") & content.isNotNull() & any_wanted)
-    lines = candidates.select(
+        in_file.append(f"({in_js} AND {sql.contains_any('content', _JS_WORDS)})")
+        in_line.append(f"(scripted AND {sql.contains_any('line', _JS_WORDS)})")
+
+    candidates = files.filter("role IN ('source', 'config') AND content IS NOT NULL")
+    if D2 in detectors:
+        candidates = candidates.withColumn("folded", regex.fold_case(F.col("content")))
+    lines = candidates.filter(" OR ".join(in_file)).select(
         "target",
         "location",
-        scripted.alias("scripted"),
-        F.contains(content, F.lit(fv.JS_CHILD_PROCESS)).alias("imports_child_process"),
+        F.expr(in_js).alias("scripted"),
+        F.contains("content", F.lit(fv.JS_CHILD_PROCESS)).alias("imports_child_process"),
         is_test_path(F.col("path")).alias("in_test"),
         is_build_path(F.col("path")).alias("in_build"),
-        F.posexplode(split_lines(content)).alias("at", "line"),
+        F.posexplode(split_lines(F.col("content"))).alias("at", "line"),
     )
-    line = F.col("line")
-    may_sink = F.col("scripted") & regex.contains_any(line, _JS_WORDS)
-    kept = []
     if D2 in detectors:
-        lines = lines.withColumn("folded", regex.fold_case(line))
-        kept.append(secrets.may_hold_secret(line, F.col("folded")))
-    if D3 in detectors:
-        kept.append(may_sink)
-    lines = lines.filter(kept[0] if len(kept) == 1 else kept[0] | kept[1])
+        lines = lines.withColumn("folded", regex.fold_case(F.col("line")))
+    lines = lines.filter(" OR ".join(in_line))
 
-    hits = []
+    hits = [NO_HITS]
     if D2 in detectors:
-        hits.append(secrets.secret_hits(line, F.col("folded"), F.col("in_test")))
+        hits.append(secrets.secret_hits("line", "folded", "in_test"))
     if D3 in detectors:
-        code_line = may_sink & ~F.rlike(line, F.lit(_js(fv.JS_COMMENT_LINE)))
-        lines = lines.withColumn("sink", F.when(code_line, js_sink(line, F.col("imports_child_process"))))
-        sink = F.col("sink")
-        confidence = F.when(sink["severity"] == fv.HIGH, F.lit("medium")).otherwise(F.lit("low"))
-        hits.append(
-            F.array_compact(F.array(F.when(
-                sink.isNotNull(),
-                sink_hit(sink["what"], sink["severity"], confidence, F.col("in_test") | F.col("in_build"), JS_ADVICE),
-            )))
-        )
+        code_line = f"scripted AND NOT {sql.rlike('line', _js(fv.JS_COMMENT_LINE))}"
+        sink = f"CASE WHEN {code_line} THEN {js_sink('line', 'imports_child_process')} END"
+        lines = lines.withColumn("sink", F.expr(sink))
+        confidence = f"if(sink.severity = {fv.HIGH}, 'medium', 'low')"
+        found = sink_hit("sink", confidence, "(in_test OR in_build)", JS_ADVICE)
+        hits.append(collected([f"CASE WHEN sink IS NOT NULL THEN {found} END"]))
     location = F.concat(F.col("location"), F.lit(":"), (F.col("at") + 1).cast("string"))
-    return lines.select("target", location.alias("location"), F.inline(F.concat(*hits) if len(hits) > 1 else hits[0]))
+    return lines.select("target", location.alias("location"), F.inline(F.expr(sql.concat(*hits))))
 
 
 def secret_findings(files: DataFrame) -> DataFrame:

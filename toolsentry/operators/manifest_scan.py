@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from toolsentry import fixed_values as fv
-from toolsentry.functions import regex
-from toolsentry.functions.text import base_name, dependency_name, split_lines, strip, truncate_evidence
-from toolsentry.operators.hits import hit
+from toolsentry.functions import regex, sql
+from toolsentry.functions.text import base_name, dependency_name, split_lines, strip
+from toolsentry.operators.hits import HIT_TYPE, collected, hit
 from toolsentry.operators.joins import spread_join
 from toolsentry.operators.tool_text import as_text, present
 
@@ -25,11 +25,8 @@ D4, D5 = "D4", "D5"
 HYGIENE_OWASP_ID = "MCP04"
 INVENTORY_OWASP_ID = "MCP09"
 VARIANT_MAP = "map<string,variant>"
-_NO_HITS_TYPE = (
-    "array<struct<detector:string,rule_id:string,title:string,severity:tinyint,owasp_id:string,"
-    "confidence:string,evidence:string,recommendation:string,location:string>>"
-)
-_LOOSE_TYPE = "array<struct<name:string,evidence:string>>"
+_NO_HITS = f"cast(array() as {HIT_TYPE[:-2]},location:string>>)"
+_NO_NAMES = "cast(array() as array<struct<name:string,evidence:string>>)"
 
 
 def _member(document: Column, key: str) -> Column:
@@ -40,41 +37,58 @@ def _as_map(value: Column) -> Column:
     return value.try_cast(VARIANT_MAP)
 
 
-def _well_formed(document: Column, keys: Collection[str]) -> Column:
-    """An object whose given members are objects or absent."""
-    verdict = _as_map(document).isNotNull()
-    for key in keys:
-        verdict = verdict & (_as_map(_member(document, key)).isNotNull() | ~present(_member(document, key)))
-    return verdict
-
-
-def _entries(value: Column) -> Column:
-    return F.coalesce(F.map_entries(_as_map(value)), F.array().cast("array<struct<key:string,value:variant>>"))
+def _entries(members: Column) -> Column:
+    return F.coalesce(F.map_entries(members), F.array().cast("array<struct<key:string,value:variant>>"))
 
 
 def _json_manifests(files: DataFrame, names: list[str]) -> DataFrame:
+    """Parsed JSON files; ``document`` is NULL unless the file holds an object."""
+    is_object = F.rlike("content", F.lit(f"^[{regex.SPACE}]*\\{{"))
     return files.filter(F.col("name").isin(names) & (F.col("role") == "config") & F.col("content").isNotNull()).select(
-        "target", "path", "location", F.try_parse_json("content").alias("document")
+        "target", "path", "location", F.when(is_object, F.try_parse_json("content")).alias("document")
     )
 
 
+def _package_manifests(files: DataFrame) -> DataFrame:
+    """package.json files with each section as a map.
+
+    ``bad_<section>`` tells that a section is there but no object; a file with one yields
+    nothing to the checks that read the section.
+    """
+    sections = ["scripts", *fv.NPM_SECTIONS]
+    members = _json_manifests(files, ["package.json"]).select(
+        "target", "path", "location", F.col("document").isNotNull().alias("parsed"),
+        *[_member(F.col("document"), s).alias(s) for s in sections],
+    )
+    return members.select(
+        "target", "path", "location", "parsed",
+        *[_as_map(F.col(s)).alias(s) for s in sections],
+        *[(_as_map(F.col(s)).isNull() & present(F.col(s))).alias(f"bad_{s}") for s in sections],
+    )
+
+
+def _sound(sections: Collection[str]) -> Column:
+    verdict = F.col("parsed")
+    for section in sections:
+        verdict = verdict & ~F.col(f"bad_{section}")
+    return verdict
+
+
 # -- dependencies ---------------------------------------------------------------------------
 
 
-def _npm_dependencies(document: Column, sections: list[str]) -> Column:
+def _npm_dependencies(sections: list[str]) -> Column:
     """``array<struct<section, dep, spec>>``; the last section naming a dependency wins."""
 
     def of_section(section: str, later: list[str]) -> Column:
-        overriding = [_as_map(_member(document, s)) for s in later]
-
         def own(entry: Column) -> Column:
             keep = F.lit(True)
-            for members in overriding:
-                keep = keep & ~F.coalesce(F.map_contains_key(members, entry["key"]), F.lit(False))
+            for other in later:
+                keep = keep & ~F.coalesce(F.map_contains_key(other, entry["key"]), F.lit(False))
             return keep
 
         return F.transform(
-            F.filter(_entries(_member(document, section)), own),
+            F.filter(_entries(F.col(section)), own),
             lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("dep"), e["value"].alias("spec")),
         )
 
@@ -83,11 +97,10 @@ def _npm_dependencies(document: Column, sections: list[str]) -> Column:
 
 def npm_deps(files: DataFrame, sections: list[str] = fv.NPM_SECTIONS) -> DataFrame:
     """``(target, path, section, dep, spec, spec_is_string)`` of every package.json."""
-    document = F.col("document")
     return (
-        _json_manifests(files, ["package.json"])
-        .filter(_well_formed(document, sections))
-        .select("target", "path", F.inline(_npm_dependencies(document, sections)))
+        _package_manifests(files)
+        .filter(_sound(sections))
+        .select("target", "path", F.inline(_npm_dependencies(sections)))
         .select(
             "target", "path", "section", "dep",
             F.try_variant_get("spec", "$", "string").alias("spec"),
@@ -159,50 +172,38 @@ def manifest_deps(files: DataFrame) -> DataFrame:
 
 def manifest_errors(files: DataFrame) -> DataFrame:
     """Manifests that yield nothing because they are malformed: ``(target, path)``."""
-    document = F.col("document")
-    npm = _json_manifests(files, ["package.json"]).filter(
-        ~F.coalesce(_well_formed(document, ["scripts", *fv.NPM_SECTIONS]), F.lit(False))
-    )
-    clients = _json_manifests(files, fv.CLIENT_CONFIG_NAMES).filter(_as_map(document).isNull())
+    npm = _package_manifests(files).filter(~_sound(["scripts", *fv.NPM_SECTIONS]))
+    clients = _json_manifests(files, fv.CLIENT_CONFIG_NAMES).filter(F.col("document").isNull())
     projects = _pyprojects(files).filter(F.col("requirements").isNull())
     return npm.select("target", "path").unionByName(clients.select("target", "path")).unionByName(
         projects.select("target", "path")
     )
 
 
-# -- predicates --------------------------------------------------------------------------------
+# -- predicates, as SQL expressions ---------------------------------------------------------------
 
 
-def npm_loose(spec: Column) -> Column:
+def npm_loose(spec: str) -> str:
     """Whether an npm spec can resolve to an unpredictable version."""
-    plain = F.lower(strip(spec))
-    verdict = plain.isin(fv.NPM_LOOSE_WORDS) | F.contains(plain, F.lit("://"))
-    for prefix in fv.NPM_LOOSE_PREFIXES:
-        verdict = verdict | F.startswith(plain, F.lit(prefix))
-    verdict = verdict | F.rlike(plain, F.lit(regex.to_jvm(fv.NPM_X_SEGMENT, ignore_case=False)))
-    for prefix in fv.NPM_EXEMPT_PREFIXES:
-        verdict = verdict & ~F.startswith(spec, F.lit(prefix))
-    return verdict
+    plain = f"lower({sql.strip(spec)})"
+    return (
+        f"({plain} IN ({', '.join(sql.quoted(w) for w in fv.NPM_LOOSE_WORDS)}) OR contains({plain}, '://') "
+        f"OR exists({sql.array(fv.NPM_LOOSE_PREFIXES)}, prefix -> startswith({plain}, prefix)) "
+        f"OR {sql.rlike(plain, regex.to_jvm(fv.NPM_X_SEGMENT, ignore_case=False))}) "
+        f"AND NOT exists({sql.array(fv.NPM_EXEMPT_PREFIXES)}, prefix -> startswith({spec}, prefix))"
+    )
 
 
-def python_loose(requirement: Column, name: Column) -> Column:
+def python_loose(requirement: str, name: str) -> str:
     """Whether a Python requirement has no version bound at all, or a wildcard."""
-    bound = strip(F.substring(requirement, F.length(name) + 1, F.length(requirement)))
-    return (bound == "") | F.contains(bound, F.lit("*"))
+    bound = sql.strip(f"substring({requirement}, length({name}) + 1)")
+    return f"({bound} = '' OR contains({bound}, '*'))"
 
 
-def lookalike(name: Column) -> Column:
+def lookalike(name: str) -> str:
     """The alphabetically first popular package at edit distance one, or NULL."""
-    return F.coalesce(
-        *[
-            F.when(
-                (F.length(name) >= len(popular) - 1) & (F.length(name) <= len(popular) + 1)
-                & (F.levenshtein(name, F.lit(popular), 1) == 1),
-                F.lit(popular),
-            )
-            for popular in sorted(fv.POPULAR_PACKAGES)
-        ]
-    )
+    near = f"abs(length(popular) - length({name})) <= 1 AND levenshtein({name}, popular) = 1"
+    return f"array_min(filter({sql.array(fv.POPULAR_PACKAGES)}, popular -> {near}))"
 
 
 # -- lockfile coverage ----------------------------------------------------------------------------
@@ -250,101 +251,87 @@ def lock_cover(files: DataFrame) -> DataFrame:
 # -- findings -----------------------------------------------------------------------------------------
 
 
-def _under(location: Column, part: Column) -> Column:
-    return F.concat(location, F.lit(" :: "), part)
+def _under(part: str) -> str:
+    return f"concat(location, ' :: ', {part})"
 
 
-def _inventory_hit(title: Column, evidence: Column, advice: str) -> Column:
-    return hit(D5, "D5-SHADOW", title, fv.INFO, INVENTORY_OWASP_ID, "high",
-               truncate_evidence(evidence), advice, F.col("location"))
+def _inventory_hit(title: str, evidence: str, advice: str) -> str:
+    return hit(D5, "'D5-SHADOW'", title, fv.INFO, INVENTORY_OWASP_ID, "'high'", evidence, advice, "location")
 
 
-def _sdk_hit(name: Column) -> Column:
+def _sdk_hit(name: str) -> str:
     return _inventory_hit(
-        F.concat(F.lit("Depends on a tool-server SDK ("), name, F.lit(")")), name,
+        f"concat('Depends on a tool-server SDK (', {name}, ')')", name,
         "The package probably defines a server; enter it in the inventory of known servers.",
     )
 
 
-def _unpinned_hit(name: Column, evidence: Column, severity: Column | int, place: Column) -> Column:
-    return hit(D4, "D4-UNPINNED", F.concat(F.lit("Dependency without a usable version bound: "), name), severity,
-               HYGIENE_OWASP_ID, "medium", truncate_evidence(evidence),
-               "Bound or pin the version and commit a lockfile.", place)
-
-
-def _lookalike_hit(name: Column, popular: Column) -> Column:
-    return hit(D4, "D4-TYPOSQUAT", F.concat(F.lit("Dependency "), name, F.lit(" is one edit from "), popular),
-               fv.MEDIUM, HYGIENE_OWASP_ID, "low", truncate_evidence(F.concat(name, F.lit(" vs "), popular)),
-               "Make sure the intended package is meant.", _under(F.col("location"), name))
-
-
-def _hook_hit(hook: str, document: Column) -> Column:
-    body = _member(document, f"scripts.{hook}")
-    text = as_text(body)
-    fetches = F.rlike(text, F.lit(regex.to_jvm(fv.FETCH_EXEC)))
-    return F.when(
-        present(body),
-        hit(
-            D4,
-            F.when(fetches, F.lit("D4-INSTALL-FETCH-EXEC")).otherwise(F.lit("D4-INSTALL-SCRIPT")),
-            F.when(fetches, F.lit(f"npm {hook} hook fetches or pipes into an interpreter"))
-            .otherwise(F.lit(f"npm {hook} hook runs on installation")),
-            F.when(fetches, F.lit(fv.HIGH)).otherwise(F.lit(fv.MEDIUM)),
-            HYGIENE_OWASP_ID,
-            F.when(fetches, F.lit("high")).otherwise(F.lit("medium")),
-            truncate_evidence(text),
-            "Read the hook before installing; it runs without anyone asking for it.",
-            _under(F.col("location"), F.lit(f"scripts.{hook}")),
-        ),
+def _unpinned_hit(name: str, evidence: str, severity: str, place: str) -> str:
+    return hit(D4, "'D4-UNPINNED'", f"concat('Dependency without a usable version bound: ', {name})", severity,
+               HYGIENE_OWASP_ID, "'medium'", evidence, "Bound or pin the version and commit a lockfile.", place)
+
+
+def _lookalike_hits(named: str) -> str:
+    """Hits of an ``array<struct<name, popular, …>>``."""
+    found = hit(
+        D4, "'D4-TYPOSQUAT'", "concat('Dependency ', d.name, ' is one edit from ', d.popular)", fv.MEDIUM,
+        HYGIENE_OWASP_ID, "'low'", "concat(d.name, ' vs ', d.popular)", "Make sure the intended package is meant.",
+        _under("d.name"),
+    )
+    return f"transform(filter({named}, d -> d.popular IS NOT NULL), d -> {found})"
+
+
+def _hook_hits() -> str:
+    """Hits of ``hooks``, an ``array<struct<hook, body>>`` with NULL bodies for absent hooks."""
+    fetches = sql.rlike("h.body", regex.to_jvm(fv.FETCH_EXEC))
+    found = hit(
+        D4,
+        f"if({fetches}, 'D4-INSTALL-FETCH-EXEC', 'D4-INSTALL-SCRIPT')",
+        f"concat('npm ', h.hook, if({fetches}, ' hook fetches or pipes into an interpreter', ' hook runs on installation'))",
+        f"if({fetches}, {fv.HIGH}, {fv.MEDIUM})",
+        HYGIENE_OWASP_ID,
+        f"if({fetches}, 'high', 'medium')",
+        "h.body",
+        "Read the hook before installing; it runs without anyone asking for it.",
+        _under("concat('scripts.', h.hook)"),
     )
+    return f"transform(filter(hooks, h -> h.body IS NOT NULL), h -> {found})"
 
 
-def _no_hits() -> Column:
-    return F.array().cast(_NO_HITS_TYPE)
+def _hooks() -> Column:
+    bodies = []
+    for hook in fv.INSTALL_HOOKS:
+        body = F.col("scripts")[hook]
+        bodies.append(F.struct(F.lit(hook).alias("hook"), F.when(present(body), as_text(body)).alias("body")))
+    return F.array(*bodies)
 
 
 def _npm_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
     """Per package.json: hits that need no lockfile, and the loose dependencies."""
-    document = F.col("document")
-    hygiene, inventory = _no_hits(), _no_hits()
-    loose = F.array().cast(_LOOSE_TYPE)
+    hits, loose = [_NO_HITS], _NO_NAMES
+    judged = _package_manifests(files).filter("parsed")
     if D4 in detectors:
-        well_formed = F.coalesce(_well_formed(document, ["scripts", *fv.NPM_SECTIONS]), F.lit(False))
-        found = F.concat(
-            F.array_compact(F.array(*[_hook_hit(hook, document) for hook in fv.INSTALL_HOOKS])),
-            F.transform(
-                F.filter(F.col("deps"), lambda d: lookalike(d["dep"]).isNotNull()),
-                lambda d: _lookalike_hit(d["dep"], lookalike(d["dep"])),
-            ),
-        )
-        hygiene = F.when(well_formed, found).otherwise(hygiene)
-        specs = F.transform(
-            F.col("deps"),
-            lambda d: F.struct(
-                d["dep"].alias("name"),
-                F.when(F.schema_of_variant(d["spec"]) == "STRING", F.try_variant_get(d["spec"], "$", "string")).alias("spec"),
-            ),
+        sound = _sound(["scripts", *fv.NPM_SECTIONS])
+        spelled = "if(schema_of_variant(d.spec) = 'STRING', try_variant_get(d.spec, '$', 'string'), NULL)"
+        facts = f"transform(deps, d -> {sql.struct(name='d.dep', popular=lookalike('d.dep'), spec=spelled)})"
+        judged = judged.withColumn("deps", F.when(sound, _npm_dependencies(fv.NPM_SECTIONS))).select(
+            "*", F.expr(facts).alias("facts"), F.when(sound, _hooks()).alias("hooks")
         )
-        loose = F.when(
-            well_formed,
-            F.transform(
-                F.filter(specs, lambda d: F.coalesce(npm_loose(d["spec"]), F.lit(False))),
-                lambda d: F.struct(d["name"].alias("name"), F.concat(d["name"], F.lit(": "), d["spec"]).alias("evidence")),
-            ),
+        hits += [f"coalesce({_hook_hits()}, {_NO_HITS})", f"coalesce({_lookalike_hits('facts')}, {_NO_HITS})"]
+        evidence = "concat(d.name, ': ', d.spec)"
+        loose = (
+            f"coalesce(transform(filter(facts, d -> coalesce({npm_loose('d.spec')}, false)), "
+            f"d -> {sql.struct(name='d.name', evidence=evidence)}), {_NO_NAMES})"
         )
     if D5 in detectors:
         declared = ["dependencies", "devDependencies"]
-        names = F.array_distinct(
-            F.concat(*[F.transform(_entries(_member(document, s)), lambda e: e["key"]) for s in declared])
-        )
-        sdk = F.filter(names, lambda n: n.isin(fv.SDK_PACKAGES) | F.startswith(n, F.lit(fv.SDK_NPM_SCOPE)))
-        inventory = F.when(
-            F.coalesce(_well_formed(document, declared), F.lit(False)), F.transform(sdk, _sdk_hit)
-        ).otherwise(inventory)
-    parsed = _json_manifests(files, ["package.json"]).filter(F.col("document").isNotNull())
-    return parsed.withColumn("deps", _npm_dependencies(document, fv.NPM_SECTIONS)).select(
+        names = F.array_union(*[F.transform(_entries(F.col(s)), lambda e: e["key"]) for s in declared])
+        judged = judged.withColumn("names", F.when(_sound(declared), names))
+        own = f"array_contains({sql.array(fv.SDK_PACKAGES)}, n) OR startswith(n, {sql.quoted(fv.SDK_NPM_SCOPE)})"
+        hits.append(f"coalesce(transform(filter(names, n -> {own}), n -> {_sdk_hit('n')}), {_NO_HITS})")
+    return judged.select(
         "target", "path", "location", F.lit("npm").alias("ecosystem"),
-        F.concat(hygiene, inventory).alias("hits"), loose.alias("loose"),
+        F.expr(sql.concat(*hits)).alias("hits"), F.expr(loose).alias("loose"),
     )
 
 
@@ -352,62 +339,52 @@ def _pyproject_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
     requirements = F.transform(
         F.col("requirements"), lambda r: F.struct(dependency_name(r).alias("name"), r.alias("evidence"))
     )
-    named = F.filter(requirements, lambda d: d["name"] != "")
-    lowered = F.transform(F.col("named"), lambda d: F.lower(d["name"]))
-    hygiene, inventory = _no_hits(), _no_hits()
-    loose = F.array().cast(_LOOSE_TYPE)
+    hits, loose = [_NO_HITS], _NO_NAMES
     if D4 in detectors:
-        hygiene = F.transform(
-            F.filter(lowered, lambda n: lookalike(n).isNotNull()), lambda n: _lookalike_hit(n, lookalike(n))
-        )
-        loose = F.filter(F.col("named"), lambda d: python_loose(d["evidence"], d["name"]))
+        near = sql.struct(name="lower(d.name)", popular=lookalike("lower(d.name)"))
+        hits.append(_lookalike_hits(f"transform(named, d -> {near})"))
+        loose = f"filter(named, d -> {python_loose('d.evidence', 'd.name')})"
     if D5 in detectors:
-        inventory = F.transform(F.filter(lowered, lambda n: n.isin(fv.SDK_PACKAGES)), _sdk_hit)
+        own = f"array_contains({sql.array(fv.SDK_PACKAGES)}, lower(d.name))"
+        hits.append(f"transform(filter(named, d -> {own}), d -> {_sdk_hit('lower(d.name)')})")
     return (
         _pyprojects(files)
         .filter(F.col("requirements").isNotNull())
-        .withColumn("named", named)
+        .withColumn("named", F.filter(requirements, lambda d: d["name"] != ""))
         .select(
             "target", "path", "location", F.lit("python").alias("ecosystem"),
-            F.concat(hygiene, inventory).alias("hits"), loose.alias("loose"),
+            F.expr(sql.concat(*hits)).alias("hits"), F.expr(loose).alias("loose"),
         )
     )
 
 
 def _with_lockfile_hits(rows: DataFrame, files: DataFrame) -> DataFrame:
     covered = lock_cover(files).withColumn("locked", F.lit(True))
-    npm, locked = F.col("ecosystem") == "npm", F.col("locked")
-    unpinned = F.transform(
-        F.col("loose"),
-        lambda d: _unpinned_hit(
-            d["name"], d["evidence"],
-            F.when(npm & locked, F.lit(fv.INFO)).otherwise(F.lit(fv.LOW)),
-            _under(F.col("location"), d["name"]),
-        ),
-    )
+    npm = "ecosystem = 'npm'"
+    severity = f"if({npm} AND locked, {fv.INFO}, {fv.LOW})"
+    unpinned = f"transform(loose, d -> {_unpinned_hit('d.name', 'd.evidence', severity, _under('d.name'))})"
     missing = hit(
-        D4, "D4-NO-LOCKFILE", F.when(npm, F.lit("npm manifest without lockfile")).otherwise(F.lit("Python manifest without lockfile")),
-        fv.LOW, HYGIENE_OWASP_ID, F.when(npm, F.lit("medium")).otherwise(F.lit("low")),
-        F.when(npm, F.lit(fv.EV_NO_NPM_LOCK)).otherwise(F.lit(fv.EV_NO_PYTHON_LOCK)),
-        "Commit a lockfile so that installs are repeatable.", F.col("location"),
+        D4, "'D4-NO-LOCKFILE'", f"if({npm}, 'npm manifest without lockfile', 'Python manifest without lockfile')",
+        fv.LOW, HYGIENE_OWASP_ID, f"if({npm}, 'medium', 'low')",
+        f"if({npm}, {sql.quoted(fv.EV_NO_NPM_LOCK)}, {sql.quoted(fv.EV_NO_PYTHON_LOCK)})",
+        "Commit a lockfile so that installs are repeatable.", "location",
     )
     return (
         rows.join(covered, ["target", "path"], "left")
         .withColumn("locked", F.coalesce("locked", F.lit(False)))
-        .withColumn("hits", F.concat("hits", unpinned, F.array_compact(F.array(F.when(~locked, missing)))))
+        .withColumn("hits", F.expr(sql.concat("hits", unpinned, collected([f"CASE WHEN NOT locked THEN {missing} END"]))))
     )
 
 
 def _requirement_findings(files: DataFrame, detectors: Collection[str]) -> DataFrame:
-    name, requirement = F.col("dep"), F.col("requirement")
     hits = []
     if D4 in detectors:
-        place = F.concat(F.col("location"), F.lit(":"), F.col("line_no").cast("string"))
-        hits.append(F.when((name != "") & python_loose(requirement, name), _unpinned_hit(name, requirement, fv.LOW, place)))
+        found = _unpinned_hit("dep", "requirement", str(fv.LOW), "concat(location, ':', line_no)")
+        hits.append(f"CASE WHEN dep <> '' AND {python_loose('requirement', 'dep')} THEN {found} END")
     if D5 in detectors:
-        lowered = F.lower(name)
-        hits.append(F.when(lowered.isin(fv.SDK_PACKAGES), _sdk_hit(lowered)))
-    return _requirement_lines(files).select("target", F.inline(F.array_compact(F.array(*hits))))
+        own = f"array_contains({sql.array(fv.SDK_PACKAGES)}, lower(dep))"
+        hits.append(f"CASE WHEN {own} THEN {_sdk_hit('lower(dep)')} END")
+    return _requirement_lines(files).select("target", F.inline(F.expr(collected(hits))))
 
 
 def _declared_server_findings(files: DataFrame) -> DataFrame:
@@ -415,32 +392,30 @@ def _declared_server_findings(files: DataFrame) -> DataFrame:
     servers = F.when(present(_member(document, "mcpServers")), _member(document, "mcpServers")).otherwise(
         _member(document, "servers")
     )
-    config = F.col("entry.value")
-    arguments = _member(config, "args")
+    config, arguments = F.col("config"), F.col("arguments")
     spelled = F.transform(arguments.try_cast("array<variant>"), as_text)
     letters = F.when(F.schema_of_variant(arguments) == "STRING", F.split(F.try_variant_get(arguments, "$", "string"), ""))
     parts = F.concat(
         F.array(F.coalesce(as_text(_member(config, "command")), F.lit(""))),
         F.coalesce(F.when(present(arguments), F.coalesce(spelled, letters)), F.array().cast("array<string>")),
     )
-    command = strip(F.array_join(F.filter(parts, lambda p: p != ""), " "))
     url = F.when(present(_member(config, "url")), as_text(_member(config, "url")))
-    launch = F.coalesce(
-        F.when(_as_map(config).isNotNull(), F.when(command != "", command).otherwise(url)), F.lit(fv.EV_NO_COMMAND)
+    launch = F.when(F.col("command") != "", F.col("command")).otherwise(F.col("url"))
+    found = _inventory_hit(
+        "concat('Config declares tool server ', server)",
+        f"concat(server, ': ', coalesce(launch, {sql.quoted(fv.EV_NO_COMMAND)}))",
+        "Check that somebody knows and trusts this server.",
     )
-    name = F.col("entry.key")
     return (
         _json_manifests(files, fv.CLIENT_CONFIG_NAMES)
         .filter(document.isNotNull())
-        .select("target", "location", F.explode(_entries(servers)).alias("entry"))
-        .select(
-            "target",
-            F.inline(F.array(_inventory_hit(
-                F.concat(F.lit("Config declares tool server "), name),
-                F.concat(name, F.lit(": "), launch),
-                "Check that somebody knows and trusts this server.",
-            ))),
-        )
+        .select("target", "location", F.explode(_entries(_as_map(servers))).alias("entry"))
+        .select("target", "location", F.col("entry.key").alias("server"), F.col("entry.value").alias("config"))
+        .withColumn("arguments", _member(config, "args"))
+        .withColumn("command", strip(F.array_join(F.filter(parts, lambda p: p != ""), " ")))
+        .withColumn("url", url)
+        .withColumn("launch", F.when(_as_map(config).isNotNull(), launch))
+        .select("target", F.inline(F.expr(f"array({found})")))
     )
 
 

@@ -10,13 +10,13 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
-from toolsentry.functions.regex import contains_any
+from toolsentry.functions import sql
 from toolsentry.functions.text import is_build_path, is_test_path
-from toolsentry.operators.line_scan import sink_hit
+from toolsentry.operators.line_scan import sink_hit, sink_struct
 from toolsentry.schemas import CALL_SITES
 
 ADVICE = "Pass an argument list without a shell and validate every input that reaches the command."
@@ -78,7 +78,7 @@ def call_sites(files: DataFrame) -> DataFrame:
     characters, so that test only excludes files that are plain ASCII.
     """
     content = F.col("content")
-    names_sink = contains_any(content, sorted(_NAMES)) | (F.length(content) != F.octet_length(content))
+    names_sink = F.expr(sql.contains_any("content", sorted(_NAMES))) | (F.length(content) != F.octet_length(content))
     return (
         files.filter((F.col("role") == "source") & (F.col("ext") == ".py") & content.isNotNull() & names_sink)
         .select("target", "path", "location", "content")
@@ -86,34 +86,31 @@ def call_sites(files: DataFrame) -> DataFrame:
     )
 
 
-def _python_sink(module: Column, func: Column, dynamic: Column, shell_true: Column) -> Column:
-    def sink(what: Column, severity: int) -> Column:
-        return F.struct(what.alias("what"), F.lit(severity).cast("tinyint").alias("severity"))
-
-    qualified = F.concat(module, F.lit("."), func)
-    known = qualified.isin([f"{m}.{f}" for m, f in fv.PY_SHELL_CALLS])
+def _python_sink() -> str:
+    """``struct<what, severity>`` of a call with a dynamic first argument to a known sink."""
+    qualified = "concat(module, '.', func)"
+    known = f"array_contains({sql.array([f'{m}.{f}' for m, f in fv.PY_SHELL_CALLS])}, {qualified})"
+    bare = f"module IS NULL AND array_contains({sql.array(fv.PY_EVAL_CALLS)}, func)"
     return (
-        F.when(~dynamic, None)
-        .when(module.isNull() & func.isin(fv.PY_EVAL_CALLS), sink(F.concat(func, F.lit(fv.EV_DYNAMIC_EXPRESSION)), fv.HIGH))
-        .when(qualified == "os.system", sink(F.lit(fv.EV_OS_SYSTEM), fv.HIGH))
-        .when(known & shell_true, sink(F.concat(qualified, F.lit(fv.EV_SHELL_TRUE)), fv.HIGH))
-        .when(qualified == "os.popen", sink(F.lit(fv.EV_OS_POPEN), fv.MEDIUM))
+        "CASE WHEN coalesce(arg_shape, '') NOT IN ('fstring', 'binop', 'format', 'name') THEN NULL "
+        f"WHEN {bare} THEN {sink_struct(sql.concat('func', sql.quoted(fv.EV_DYNAMIC_EXPRESSION)), fv.HIGH)} "
+        f"WHEN {qualified} = 'os.system' THEN {sink_struct(sql.quoted(fv.EV_OS_SYSTEM), fv.HIGH)} "
+        f"WHEN {known} AND shell_true THEN {sink_struct(sql.concat(qualified, sql.quoted(fv.EV_SHELL_TRUE)), fv.HIGH)} "
+        f"WHEN {qualified} = 'os.popen' THEN {sink_struct(sql.quoted(fv.EV_OS_POPEN), fv.MEDIUM)} END"
     )
 
 
 def python_sink_findings(files: DataFrame) -> DataFrame:
-    calls = call_sites(files).filter(F.col("error").isNull())
-    dynamic = F.coalesce(F.col("arg_shape").isin("fstring", "binop", "format", "name"), F.lit(False))
-    judged = calls.withColumn(
-        "sink", _python_sink(F.col("module"), F.col("func"), dynamic, F.coalesce("shell_true", F.lit(False)))
-    ).filter(F.col("sink").isNotNull())
-    demoted = is_test_path(F.col("path")) | is_build_path(F.col("path"))
-    location = F.concat(F.col("location"), F.lit(":"), F.col("line_no").cast("string"))
-    return judged.select(
-        "target",
-        location.alias("location"),
-        F.inline(F.array(sink_hit(F.col("sink.what"), F.col("sink.severity"), "medium", demoted, ADVICE))),
+    judged = (
+        call_sites(files)
+        .filter(F.col("error").isNull())
+        .withColumn("sink", F.expr(_python_sink()))
+        .filter(F.col("sink").isNotNull())
+        .withColumn("demoted", is_test_path(F.col("path")) | is_build_path(F.col("path")))
     )
+    location = F.concat(F.col("location"), F.lit(":"), F.col("line_no").cast("string"))
+    found = sink_hit("sink", "'medium'", "demoted", ADVICE)
+    return judged.select("target", location.alias("location"), F.inline(F.expr(f"array({found})")))
 
 
 def unparsed_sources(files: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ BUILTIN: dict[str, list[Rule]] = {
         Rule("D1-EXFIL", fv.EXFIL, fv.CRITICAL, "high",
              "Tool text tells the agent to send data elsewhere",
              "Do not connect this server before its network behaviour has been reviewed.", "MCP03",
-             (("send", "post", "upload", "exfiltrat", "forward", "transmit", "leak", "report"),
-              ("http", "webhook", "endpoint", "server", "url", "address"))),
+             (("http", "webhook", "endpoint", "server", "url", "address"),
+              ("send", "post", "upload", "exfiltrat", "forward", "transmit", "leak", "report"))),
         Rule("D1-SENSITIVE-READ", fv.SENSITIVE_READ, fv.HIGH, "high",
              "Tool text names credential or key files",
              "Check why the tool would need these files and deny access to them.", "MCP03",
@@ -78,13 +78,13 @@ BUILTIN: dict[str, list[Rule]] = {
         Rule("D7-BULK-SECRETS", fv.BULK_SECRETS, fv.HIGH, "medium",
              "Tool seems to hand out secrets or environment in bulk",
              "Return only the one value a task needs.", "MCP10",
-             (("all", "every", "each", "the"),
-              ("secret", "credential", "environment variable", "env var", "api key", "token", "password"))),
+             (("secret", "credential", "environment variable", "env var", "api key", "token", "password"),
+              ("all", "every", "each", "the"))),
         Rule("D7-BROAD-READ", fv.BROAD_READ, fv.MEDIUM, "medium",
              "Tool reads a whole collection",
              "Offer filters or paging so a call returns what was asked for.", "MCP10",
-             (("read", "return", "fetch", "retrieve", "dump", "export", "list", "send", "expose", "collect"),
-              ("all", "every", "entire", "whole", "any"),
+             (("all", "every", "entire", "whole", "any"),
+              ("read", "return", "fetch", "retrieve", "dump", "export", "list", "send", "expose", "collect"),
               ("file", "record", "row", "field", "column", "document", "message", "email", "user",
                "conversation", "chat history"))),
         Rule("D7-UNBOUNDED-SCOPE", fv.UNBOUNDED_SCOPE, fv.LOW, "medium",
@@ -94,7 +94,7 @@ BUILTIN: dict[str, list[Rule]] = {
         Rule("D7-SELECT-STAR", fv.SELECT_STAR, fv.LOW, "low",
              "Tool returns every column",
              "Name the columns the tool needs.", "MCP10",
-             (("select",), ("*",))),
+             (("*",), ("select",))),
     ],
 }
 

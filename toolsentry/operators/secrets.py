@@ -1,13 +1,9 @@
-"""Credential scan (detector D2) over single texts or lines."""
+"""Credential scan (detector D2) over single texts or lines, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from toolsentry import fixed_values as fv
-from toolsentry.functions import regex
-from toolsentry.functions.text import demote, truncate_evidence
+from toolsentry.functions import regex, sql
 from toolsentry.operators.hits import hit
 
 DETECTOR = "D2"
@@ -15,7 +11,7 @@ OWASP_ID = "MCP01"
 RULE_ID = "D2-SECRET"
 RECOMMENDATION = "Keep credentials in a secret store or the environment and rotate this one if it was ever real."
 
-# Literal text every match of the provider formats contains (case-sensitive), same order.
+# Literal text every match of a provider format contains (case-sensitive).
 _PROVIDER_ANCHORS = {
     "Anthropic key": ["sk-ant-"],
     "OpenAI project key": ["sk-proj-"],
@@ -33,42 +29,33 @@ _PROVIDER_ANCHORS = {
 _GENERIC_ANCHORS = ["api", "secret", "token", "passw"]
 
 
-def may_hold_secret(text: Column, folded: Column) -> Column:
+def may_hold_secret(text: str, folded: str) -> str:
     """Cheap test that is true for every text with a credential match."""
     literals = [word for words in _PROVIDER_ANCHORS.values() for word in words]
-    return regex.contains_any(text, literals) | regex.contains_any(folded, _GENERIC_ANCHORS)
+    return f"({sql.contains_any(text, literals)} OR {sql.contains_any(folded, _GENERIC_ANCHORS)})"
 
 
-def secret_hits(text: Column, folded: Column, in_test: Column | None = None) -> Column:
+def secret_hits(text: str, folded: str, in_test: str = "false") -> str:
     """All credential hits of a text: every provider format, then quoted assignments.
 
     An assignment is reported besides the provider match it may contain. Documented
     placeholder values are no hits; matches in test code are demoted one step.
     """
 
-    def graded(severity: int) -> Column:
-        level = F.lit(severity).cast("tinyint")
-        return level if in_test is None else F.when(in_test, demote(level)).otherwise(level)
-
-    def matches(label: str, pattern: str, ignore_case: bool, severity: int, confidence: str, guard: Column) -> Column:
-        jvm = regex.to_jvm(pattern, ignore_case=ignore_case)
-        real = F.filter(
-            F.regexp_extract_all(text, F.lit(jvm), F.lit(0)),
-            lambda m: ~F.rlike(m, F.lit(regex.to_jvm(fv.PLACEHOLDER))),
-        )
-        found = F.transform(
-            real,
-            lambda m: hit(DETECTOR, RULE_ID, f"Credential in plain text ({label})", graded(severity),
-                          OWASP_ID, confidence, truncate_evidence(m), RECOMMENDATION),
-        )
-        return F.when(guard, found)
+    def matches(label: str, jvm_pattern: str, severity: int, confidence: str, guard: str) -> str:
+        level = f"if({in_test}, {sql.demoted(str(severity))}, {severity})"
+        title = sql.quoted(f"Credential in plain text ({label})")
+        found = hit(DETECTOR, sql.quoted(RULE_ID), title, level, OWASP_ID, sql.quoted(confidence), "m", RECOMMENDATION)
+        real = f"filter({sql.extract_all(text, jvm_pattern)}, m -> NOT {sql.rlike('m', regex.to_jvm(fv.PLACEHOLDER))})"
+        return f"CASE WHEN {guard} THEN transform({real}, m -> {found}) END"
 
     parts = [
-        matches(label, pattern, False, fv.HIGH, "high", regex.contains_any(text, _PROVIDER_ANCHORS[label]))
+        matches(label, regex.to_jvm(pattern, ignore_case=False), fv.HIGH, "high",
+                sql.contains_any(text, _PROVIDER_ANCHORS[label]))
         for label, pattern in fv.PROVIDER_TOKENS
     ]
     parts.append(
-        matches(fv.GENERIC_SECRET_LABEL, fv.GENERIC_SECRET, True, fv.MEDIUM, "medium",
-                regex.contains_any(folded, _GENERIC_ANCHORS))
+        matches(fv.GENERIC_SECRET_LABEL, regex.to_jvm(fv.GENERIC_SECRET), fv.MEDIUM, "medium",
+                sql.contains_any(folded, _GENERIC_ANCHORS))
     )
-    return F.flatten(F.array_compact(F.array(*parts)))
+    return f"flatten(array_compact(array({', '.join(parts)})))"

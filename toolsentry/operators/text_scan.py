@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
-from toolsentry.functions import regex
-from toolsentry.functions.text import truncate_evidence
+from toolsentry.functions import regex, sql
 from toolsentry.operators import secrets
-from toolsentry.operators.hits import collected, hit, rule_hit
+from toolsentry.operators.hits import NO_HITS, collected, hit, rule_hit
 from toolsentry.operators.rules import BUILTIN, INJECTION, OVERSHARING, POISONING, Rule
 from toolsentry.operators.tool_text import tool_entries
 
@@ -29,51 +28,45 @@ def default_rules() -> dict[str, list[Rule]]:
     return dict(BUILTIN)
 
 
-def hidden_unicode_hit(text: Column) -> Column:
+def hidden_unicode_hit(text: str) -> str:
     """The first invisible character of a text, named."""
-    first = F.regexp_extract(text, "[" + "".join(fv.HIDDEN_CHARACTERS) + "]", 0)
-    named = F.create_map(
-        *[F.lit(v) for ch, name in fv.HIDDEN_CHARACTERS.items() for v in (ch, f"U+{ord(ch):04X} ({name})")]
+    named = ", ".join(
+        f"{sql.quoted(ch)}, {sql.quoted(f'U+{ord(ch):04X} ({name})')}" for ch, name in fv.HIDDEN_CHARACTERS.items()
     )
-    return F.when(
-        first != "",
-        hit(D1, "D1-HIDDEN-UNICODE", "Invisible characters in tool text", fv.HIGH, _OWASP[D1], "high",
-            F.element_at(named, first), "Look at the raw bytes and reject the tool unless there is a reason for them."),
+    first = sql.extract(text, "[" + "".join(fv.HIDDEN_CHARACTERS) + "]")
+    found = hit(
+        D1, "'D1-HIDDEN-UNICODE'", "'Invisible characters in tool text'", fv.HIGH, _OWASP[D1], "'high'",
+        f"element_at(map({named}), {first})",
+        "Look at the raw bytes and reject the tool unless there is a reason for them.",
     )
+    return f"CASE WHEN {sql.contains_any(text, list(fv.HIDDEN_CHARACTERS))} THEN {found} END"
 
 
-def comment_smuggle_hits(text: Column, folded: Column, rules: list[Rule]) -> Column:
+def comment_smuggle_hits(text: str, rules: list[Rule]) -> str:
     """Every markup comment that itself matches the directive or sensitive-file rule."""
     judges = [r for r in rules if r.rule_id in ("D1-DIRECTIVE", "D1-SENSITIVE-READ")]
-    comments = F.regexp_extract_all(text, F.lit(regex.to_jvm(fv.HTML_COMMENT, False, dot_all=True)), F.lit(0))
-
-    def telling(comment: Column) -> Column:
-        verdict = F.lit(False)
-        for judge in judges:
-            verdict = verdict | F.rlike(comment, F.lit(regex.to_jvm(judge.pattern)))
-        return verdict
-
-    found = F.transform(
-        F.filter(comments, telling),
-        lambda c: hit(D1, "D1-COMMENT-SMUGGLE", "Orders hidden in a markup comment", fv.HIGH, _OWASP[D1], "high",
-                      truncate_evidence(c), "Reject the tool: its comment addresses the model, not the reader."),
+    telling = " OR ".join(sql.rlike("c", regex.to_jvm(judge.pattern)) for judge in judges) or "false"
+    comments = sql.extract_all(text, regex.to_jvm(fv.HTML_COMMENT, ignore_case=False, dot_all=True))
+    found = hit(D1, "'D1-COMMENT-SMUGGLE'", "'Orders hidden in a markup comment'", fv.HIGH, _OWASP[D1], "'high'", "c",
+                "Reject the tool: its comment addresses the model, not the reader.")
+    return (
+        f"CASE WHEN contains({text}, '<!--') AND contains({text}, '-->') "
+        f"THEN transform(filter({comments}, c -> {telling}), c -> {found}) ELSE {NO_HITS} END"
     )
-    return F.when(F.contains(folded, F.lit("<!--")) & F.contains(folded, F.lit("-->")), found)
 
 
-def poisoning_hits(text: Column, folded: Column, rules: list[Rule]) -> Column:
+def poisoning_hits(text: str, folded: str, rules: list[Rule]) -> str:
     single = collected(
-        [hidden_unicode_hit(text)]
-        + [rule_hit(D1, _OWASP[D1], r, text, folded, whole_text=True) for r in rules]
+        [hidden_unicode_hit(text)] + [rule_hit(D1, _OWASP[D1], r, text, folded, whole_text=True) for r in rules]
     )
-    return F.concat(single, F.coalesce(comment_smuggle_hits(text, folded, rules), F.slice(single, 1, 0)))
+    return sql.concat(single, comment_smuggle_hits(text, rules))
 
 
-def injection_hits(text: Column, folded: Column, rules: list[Rule]) -> Column:
+def injection_hits(text: str, folded: str, rules: list[Rule]) -> str:
     return collected([rule_hit(D6, _OWASP[D6], r, text, folded, whole_text=False) for r in rules])
 
 
-def oversharing_hits(text: Column, folded: Column, rules: list[Rule]) -> Column:
+def oversharing_hits(text: str, folded: str, rules: list[Rule]) -> str:
     return collected([rule_hit(D7, _OWASP[D7], r, text, folded, whole_text=False) for r in rules])
 
 
@@ -95,25 +88,21 @@ def tool_findings(
         .select("target", "tool", F.inline(passages))
         .withColumn("folded", regex.fold_case(F.col("text")))
     )
-    text, folded = F.col("text"), F.col("folded")
-    hits = []
+    hits = [NO_HITS]
     if D1 in detectors:
-        hits.append(poisoning_hits(text, folded, rules[POISONING]))
+        hits.append(poisoning_hits("text", "folded", rules[POISONING]))
     if D2 in detectors:
-        hits.append(secrets.secret_hits(text, folded))
+        hits.append(secrets.secret_hits("text", "folded"))
     if D6 in detectors:
-        hits.append(injection_hits(text, folded, rules[INJECTION]))
-    entry_hits = F.concat(*hits) if hits else None
+        hits.append(injection_hits("text", "folded", rules[INJECTION]))
+    found = sql.concat(*hits)
     if D7 in detectors:
-        blob_hits = oversharing_hits(text, folded, rules[OVERSHARING])
-        found = blob_hits if entry_hits is None else F.when(F.col("where").isNull(), blob_hits).otherwise(entry_hits)
-    else:
-        found = entry_hits
+        found = f"CASE WHEN `where` IS NULL THEN {oversharing_hits('text', 'folded', rules[OVERSHARING])} ELSE {found} END"
     place = F.concat(F.col("target"), F.lit(" :: tool '"), F.col("tool"), F.lit("'"))
     location = F.when(F.col("where").isNull(), place).otherwise(
         F.concat(place, F.lit(" ("), F.col("where"), F.lit(")"))
     )
-    return texts.select("target", location.alias("location"), F.inline(found))
+    return texts.select("target", location.alias("location"), F.inline(F.expr(found)))
 
 
 def passage_findings(
@@ -124,7 +113,7 @@ def passage_findings(
     return (
         passages.select("target", location.alias("location"), text.alias("text"))
         .withColumn("folded", regex.fold_case(F.col("text")))
-        .select("target", "location", F.inline(injection_hits(F.col("text"), F.col("folded"), rules[INJECTION])))
+        .select("target", "location", F.inline(F.expr(injection_hits("text", "folded", rules[INJECTION]))))
     )
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -43,6 +43,16 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return configure(session)
 
 
+def spread_small(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Deal rows out by their key if their input has fewer splits than the session has cores.
+
+    Text scans are bound by CPU, so a small table in one row group would keep one core busy.
+    A table with enough splits is left as it is: no shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for a run's files below the shared folder ``spark.checkpoint.dir`` names.
 
