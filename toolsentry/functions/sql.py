@@ -11,8 +11,9 @@ from toolsentry.functions.regex import SPACE
 
 
 def quoted(text: str) -> str:
-    """A string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A string literal. A dollar before a brace is escaped, the parser would substitute it."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{")
+    return f"'{escaped}'"
 
 
 def array(words: list[str]) -> str:

@@ -310,8 +310,8 @@ def _npm_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
     """Per package.json: hits that need no lockfile, and the loose dependencies."""
     hits, loose = [_NO_HITS], _NO_NAMES
     judged = _package_manifests(files).filter("parsed")
+    sound = _sound(["scripts", *fv.NPM_SECTIONS])
     if D4 in detectors:
-        sound = _sound(["scripts", *fv.NPM_SECTIONS])
         spelled = "if(schema_of_variant(d.spec) = 'STRING', try_variant_get(d.spec, '$', 'string'), NULL)"
         facts = f"transform(deps, d -> {sql.struct(name='d.dep', popular=lookalike('d.dep'), spec=spelled)})"
         judged = judged.withColumn("deps", F.when(sound, _npm_dependencies(fv.NPM_SECTIONS))).select(
@@ -330,7 +330,7 @@ def _npm_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
         own = f"array_contains({sql.array(fv.SDK_PACKAGES)}, n) OR startswith(n, {sql.quoted(fv.SDK_NPM_SCOPE)})"
         hits.append(f"coalesce(transform(filter(names, n -> {own}), n -> {_sdk_hit('n')}), {_NO_HITS})")
     return judged.select(
-        "target", "path", "location", F.lit("npm").alias("ecosystem"),
+        "target", "path", "location", F.lit("npm").alias("ecosystem"), sound.alias("sound"),
         F.expr(sql.concat(*hits)).alias("hits"), F.expr(loose).alias("loose"),
     )
 
@@ -352,7 +352,7 @@ def _pyproject_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
         .filter(F.col("requirements").isNotNull())
         .withColumn("named", F.filter(requirements, lambda d: d["name"] != ""))
         .select(
-            "target", "path", "location", F.lit("python").alias("ecosystem"),
+            "target", "path", "location", F.lit("python").alias("ecosystem"), F.lit(True).alias("sound"),
             F.expr(sql.concat(*hits)).alias("hits"), F.expr(loose).alias("loose"),
         )
     )
@@ -372,7 +372,7 @@ def _with_lockfile_hits(rows: DataFrame, files: DataFrame) -> DataFrame:
     return (
         rows.join(covered, ["target", "path"], "left")
         .withColumn("locked", F.coalesce("locked", F.lit(False)))
-        .withColumn("hits", F.expr(sql.concat("hits", unpinned, collected([f"CASE WHEN NOT locked THEN {missing} END"]))))
+        .withColumn("hits", F.expr(sql.concat("hits", unpinned, collected([f"CASE WHEN sound AND NOT locked THEN {missing} END"]))))
     )
 
 
