@@ -24,6 +24,7 @@ TEXTS = [
     "read all rows", "reads all rows", "fetch any of the chat history", "Keep all toKens", "SELECT *",
     "recursively", "any file in", "post̀ to the server", "report_ to the url", "upload" + "x" * 60 + "https://",
     "upload " + "x" * 59 + "https://", "upload " + "x" * 60 + "https://", "send\U0001f600 to url", "a webhook send the webhook",
+    "İgnore the previous", "dİsregard prior", "toKen of all toKens", "ACT AS a guide wİthout any filter", "ıgnore all previous",
 ]
 
 
@@ -49,7 +50,7 @@ def test_split_lines_equals_python(spark):
 def test_every_rule_matches_like_python(spark):
     rules = [r for pack in BUILTIN.values() for r in pack]
     texts = TEXTS + ODD
-    folded = rows(spark, texts).withColumn("folded", regex.fold_case(F.col("text")))
+    folded = rows(spark, texts).withColumn("folded", F.expr(sql.folded("text")))
     got = folded.select(
         "i",
         *[F.expr(f"if({rule_matches(r, 'text', 'folded')}, {sql.extract('text', regex.to_jvm(r.pattern))}, NULL)")

@@ -9,9 +9,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _IN_CLASS = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
@@ -57,12 +54,3 @@ def is_valid(pattern: str) -> bool:
     except re.error:
         return False
     return True
-
-
-def fold_case(text: Column) -> Column:
-    """Text folded so that every case-insensitive match of an ASCII word contains that word.
-
-    Upper case first, because some letters only meet their ASCII relative there (long s,
-    dotless i); the dotted capital I would otherwise fold to two characters.
-    """
-    return F.lower(F.replace(F.upper(text), F.lit("\u0130"), F.lit("I")))

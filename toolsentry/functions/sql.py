@@ -48,6 +48,20 @@ def contains_any(text: str, words: list[str]) -> str:
     return f"exists({array(words)}, word -> contains({text}, word))"
 
 
+def folded(text: str) -> str:
+    """Upper case, for testing whether a case-insensitive match of an ASCII word is possible.
+
+    Long s and dotless i become their ASCII relatives. Dotted capital I and the Kelvin sign do
+    not, so texts with one fold to NULL, which stands for "anything is possible".
+    """
+    return f"if(contains({text}, '\u0130') OR contains({text}, '\u212a'), NULL, upper({text}))"
+
+
+def may_contain_any(folded_text: str, words: list[str]) -> str:
+    """Whether a folded text may contain any of the (lower-case ASCII) words in any case."""
+    return f"coalesce({contains_any(folded_text, [w.upper() for w in words])}, true)"
+
+
 def strip(text: str) -> str:
     return f"regexp_replace({text}, {quoted(f'^[{SPACE}]+|[{SPACE}]+' + chr(92) + 'z')}, '')"
 

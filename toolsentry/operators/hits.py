@@ -43,7 +43,7 @@ def hit(
 
 def rule_matches(rule: Rule, text: str, folded: str) -> str:
     """Whether a rule matches; the regex runs only on texts that hold its anchor words."""
-    tests = [sql.contains_any(folded, list(group)) for group in rule.anchors]
+    tests = [sql.may_contain_any(folded, list(group)) for group in rule.anchors]
     return " AND ".join([*tests, sql.rlike(text, regex.to_jvm(rule.pattern))])
 
 

@@ -96,32 +96,33 @@ def line_findings(files: DataFrame, detectors: Collection[str] = (D2, D3)) -> Da
 
     candidates = files.filter("role IN ('source', 'config') AND content IS NOT NULL")
     if D2 in detectors:
-        candidates = candidates.withColumn("folded", regex.fold_case(F.col("content")))
-    lines = candidates.filter(" OR ".join(in_file)).select(
+        candidates = candidates.withColumn("folded", F.expr(sql.folded("content")))
+    # The gates sit inside the generators: as filters they would be pushed below the folded
+    # text and compute it again for every word they test.
+    lines = candidates.select(
         "target",
         "location",
         F.expr(in_js).alias("scripted"),
         F.contains("content", F.lit(fv.JS_CHILD_PROCESS)).alias("imports_child_process"),
         is_test_path(F.col("path")).alias("in_test"),
         is_build_path(F.col("path")).alias("in_build"),
-        F.posexplode(split_lines(F.col("content"))).alias("at", "line"),
+        F.posexplode(F.when(F.expr(" OR ".join(in_file)), split_lines(F.col("content")))).alias("at", "line"),
     )
     if D2 in detectors:
-        lines = lines.withColumn("folded", regex.fold_case(F.col("line")))
-    lines = lines.filter(" OR ".join(in_line))
-
+        lines = lines.withColumn("folded", F.expr(sql.folded("line")))
     hits = [NO_HITS]
     if D2 in detectors:
         hits.append(secrets.secret_hits("line", "folded", "in_test"))
     if D3 in detectors:
-        code_line = f"scripted AND NOT {sql.rlike('line', _js(fv.JS_COMMENT_LINE))}"
+        code_line = f"{in_line[-1]} AND NOT {sql.rlike('line', _js(fv.JS_COMMENT_LINE))}"
         sink = f"CASE WHEN {code_line} THEN {js_sink('line', 'imports_child_process')} END"
         lines = lines.withColumn("sink", F.expr(sink))
         confidence = f"if(sink.severity = {fv.HIGH}, 'medium', 'low')"
         found = sink_hit("sink", confidence, "(in_test OR in_build)", JS_ADVICE)
         hits.append(collected([f"CASE WHEN sink IS NOT NULL THEN {found} END"]))
+    found = f"CASE WHEN {' OR '.join(in_line)} THEN {sql.concat(*hits)} END"
     location = F.concat(F.col("location"), F.lit(":"), (F.col("at") + 1).cast("string"))
-    return lines.select("target", location.alias("location"), F.inline(F.expr(sql.concat(*hits))))
+    return lines.select("target", location.alias("location"), F.inline(F.expr(found)))
 
 
 def secret_findings(files: DataFrame) -> DataFrame:

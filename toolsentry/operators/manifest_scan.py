@@ -121,6 +121,10 @@ def _project_dependencies(contents: pd.Series) -> pd.Series:
     return contents.map(read)
 
 
+# not deterministic in name only: keeps filters on the result from calling it a second time
+_project_dependencies = _project_dependencies.asNondeterministic()
+
+
 def _pyprojects(files: DataFrame) -> DataFrame:
     return files.filter(
         (F.col("name") == "pyproject.toml") & (F.col("role") == "config") & F.col("content").isNotNull()
@@ -141,8 +145,8 @@ def _requirement_lines(files: DataFrame) -> DataFrame:
     return (
         files.filter((F.col("name") == "requirements.txt") & (F.col("role") == "config"))
         .select("target", "path", "location", F.posexplode(split_lines(F.col("content"))).alias("at", "line"))
+        .filter(F.expr(sql.rlike("line", f"^[{regex.SPACE}]*[^{regex.SPACE}#-]")))
         .select("target", "path", "location", (F.col("at") + 1).alias("line_no"), strip(F.col("line")).alias("requirement"))
-        .filter(F.col("requirement").rlike(r"^[^#-]"))
         .withColumn("dep", dependency_name(F.col("requirement")))
     )
 
@@ -307,9 +311,13 @@ def _hooks() -> Column:
 
 
 def _npm_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
-    """Per package.json: hits that need no lockfile, and the loose dependencies."""
+    """Per package.json: hits that need no lockfile, and the loose dependencies.
+
+    Files that are no object stay in as rows without hits; filtering on the parsed document
+    would parse it twice.
+    """
     hits, loose = [_NO_HITS], _NO_NAMES
-    judged = _package_manifests(files).filter("parsed")
+    judged = _package_manifests(files)
     sound = _sound(["scripts", *fv.NPM_SECTIONS])
     if D4 in detectors:
         spelled = "if(schema_of_variant(d.spec) = 'STRING', try_variant_get(d.spec, '$', 'string'), NULL)"
@@ -408,7 +416,6 @@ def _declared_server_findings(files: DataFrame) -> DataFrame:
     )
     return (
         _json_manifests(files, fv.CLIENT_CONFIG_NAMES)
-        .filter(document.isNotNull())
         .select("target", "location", F.explode(_entries(_as_map(servers))).alias("entry"))
         .select("target", "location", F.col("entry.key").alias("server"), F.col("entry.value").alias("config"))
         .withColumn("arguments", _member(config, "args"))

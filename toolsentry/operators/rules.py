@@ -52,8 +52,8 @@ BUILTIN: dict[str, list[Rule]] = {
         Rule("INJ-SYSTEM-OVERRIDE", fv.SYSTEM_OVERRIDE, fv.HIGH, "medium",
              "Text asks the model to drop its instructions",
              "Remove the text; a tool surface has no business changing governing instructions.", "MCP06",
-             (("ignore", "disregard", "forget", "override", "bypass"),
-              ("system prompt", "system message", "instructions", "guidelines", "safety rules", "restrictions"))),
+             (("system ", "instructions", "guidelines", "safety rules", "restrictions"),
+              ("ignore", "disregard", "forget", "override", "bypass"))),
         Rule("INJ-ROLE-HIJACK", fv.ROLE_HIJACK, fv.HIGH, "medium",
              "Text pushes the model into an unrestricted persona",
              "Regard the server as hostile until its owner explains the text.", "MCP06",
@@ -63,8 +63,8 @@ BUILTIN: dict[str, list[Rule]] = {
         Rule("INJ-PROMPT-LEAK", fv.PROMPT_LEAK, fv.MEDIUM, "medium",
              "Text asks for the hidden prompt",
              "Remove the text; a tool never needs the hidden prompt.", "MCP06",
-             (("reveal", "repeat", "print", "show", "output", "disclose", "tell me"),
-              ("system prompt", "instructions", "prompt", "everything above"))),
+             (("prompt", "instructions", "everything above"),
+              ("reveal", "repeat", "print", "show", "output", "disclose", "tell me"))),
         Rule("INJ-DELIMITER", fv.DELIMITER, fv.MEDIUM, "medium",
              "Text contains chat-role or prompt delimiters",
              "Strip the markers, they can forge a turn of the conversation.", "MCP06",
@@ -78,7 +78,7 @@ BUILTIN: dict[str, list[Rule]] = {
         Rule("D7-BULK-SECRETS", fv.BULK_SECRETS, fv.HIGH, "medium",
              "Tool seems to hand out secrets or environment in bulk",
              "Return only the one value a task needs.", "MCP10",
-             (("secret", "credential", "environment variable", "env var", "api key", "token", "password"),
+             (("secret", "credential", "env", "api key", "token", "password"),
               ("all", "every", "each", "the"))),
         Rule("D7-BROAD-READ", fv.BROAD_READ, fv.MEDIUM, "medium",
              "Tool reads a whole collection",

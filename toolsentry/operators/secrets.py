@@ -32,7 +32,7 @@ _GENERIC_ANCHORS = ["api", "secret", "token", "passw"]
 def may_hold_secret(text: str, folded: str) -> str:
     """Cheap test that is true for every text with a credential match."""
     literals = [word for words in _PROVIDER_ANCHORS.values() for word in words]
-    return f"({sql.contains_any(text, literals)} OR {sql.contains_any(folded, _GENERIC_ANCHORS)})"
+    return f"({sql.contains_any(text, literals)} OR {sql.may_contain_any(folded, _GENERIC_ANCHORS)})"
 
 
 def secret_hits(text: str, folded: str, in_test: str = "false") -> str:
@@ -56,6 +56,6 @@ def secret_hits(text: str, folded: str, in_test: str = "false") -> str:
     ]
     parts.append(
         matches(fv.GENERIC_SECRET_LABEL, regex.to_jvm(fv.GENERIC_SECRET), fv.MEDIUM, "medium",
-                sql.contains_any(folded, _GENERIC_ANCHORS))
+                sql.may_contain_any(folded, _GENERIC_ANCHORS))
     )
     return f"flatten(array_compact(array({', '.join(parts)})))"

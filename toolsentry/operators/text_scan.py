@@ -86,7 +86,7 @@ def tool_findings(
     texts = (
         tool_entries(tools)
         .select("target", "tool", F.inline(passages))
-        .withColumn("folded", regex.fold_case(F.col("text")))
+        .withColumn("folded", F.expr(sql.folded("text")))
     )
     hits = [NO_HITS]
     if D1 in detectors:
@@ -112,7 +112,7 @@ def passage_findings(
     rules = {**default_rules(), **(rules or {})}
     return (
         passages.select("target", location.alias("location"), text.alias("text"))
-        .withColumn("folded", regex.fold_case(F.col("text")))
+        .withColumn("folded", F.expr(sql.folded("text")))
         .select("target", "location", F.inline(F.expr(injection_hits("text", "folded", rules[INJECTION]))))
     )
 
