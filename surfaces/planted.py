@@ -8,6 +8,7 @@ constants feed the Spark expressions here and the SQL in ``oracles``.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -299,17 +300,22 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     commented = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
     toml = [f"[project]\nname = 'x'\ndependencies = {json.dumps(d)}\n" for d in PYPROJECT_LISTS]
     named = [
-        ("/package.json", _described(NPM_MANIFESTS, "doc_id")),
-        ("/pyproject.toml", F.concat(commented, pick(toml, "doc_id"))),
-        ("/requirements.txt", F.concat(commented, pick(REQUIREMENT_FILES, "doc_id"))),
-        ("/mcp.json", _described(CLIENT_CONFIGS, "doc_id")),
-        ("/.env", F.concat("text", F.lit("\n"), pick(PHRASES, "doc_id"))),
+        ("package.json", _described(NPM_MANIFESTS, "doc_id")),
+        ("pyproject.toml", F.concat(commented, pick(toml, "doc_id"))),
+        ("requirements.txt", F.concat(commented, pick(REQUIREMENT_FILES, "doc_id"))),
+        ("mcp.json", _described(CLIENT_CONFIGS, "doc_id")),
+        (".env", F.concat("text", F.lit("\n"), pick(PHRASES, "doc_id"))),
     ]
-    files = F.array(*[F.struct(F.lit(name).alias("name"), content.alias("content")) for name, content in named])
-    manifests = documents.select(
-        F.col("source").alias("target"), F.concat(F.lit("packages/"), "lang", F.lit("/doc_"), doc).alias("folder"),
-        F.inline(files),
-    ).select("target", F.concat("folder", "name").alias("path"), "content")
+    # one branch per file name, so that a scan of one kind of file drops the other branches
+    manifests = reduce(DataFrame.unionByName, [
+        documents.select(
+            F.col("source").alias("target"),
+            F.concat(F.lit("packages/"), "lang", F.lit("/doc_"), doc, F.lit(f"/{name}")).alias("path"),
+            F.lit(name).alias("name"),
+            content.alias("content"),
+        )
+        for name, content in named
+    ])
     source_number = F.substring("source", 4, 9).cast("int")
     lock_paths = F.array_compact(F.array(
         F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("packages/"), "lang", F.lit("/doc_"), doc, F.lit("/yarn.lock"))),
@@ -322,7 +328,7 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .withColumn("content", F.lit(None).cast("string"))
     )
-    return as_files(manifests.unionByName(locks))
+    return as_files(manifests).unionByName(as_files(locks))
 
 
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:

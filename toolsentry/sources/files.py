@@ -23,10 +23,10 @@ def classify(name: Column) -> Column:
 
 
 def as_files(table: DataFrame) -> DataFrame:
-    """A table with ``target, path, content`` (and maybe ``location``) in the files schema,
-    without anything below pruned directories."""
+    """A table with ``target, path, content`` (and maybe ``location`` and ``name``) in the files
+    schema, without anything below pruned directories."""
     location = F.col("location") if "location" in table.columns else F.col("path")
-    name = base_name(F.col("path"))
+    name = F.col("name") if "name" in table.columns else base_name(F.col("path"))
     return (
         table.filter(~is_pruned_path(F.col("path")))
         .select("target", "path", name.alias("name"), "content", location.alias("location"))
