@@ -11,17 +11,17 @@ from toolsentry.operators.hits import rule_matches
 from toolsentry.operators.rules import BUILTIN
 
 ODD = [
-    "", " ", "a", "a\n", "a\r\nb\rc", "\n\n", "x\x0by\x0cz\x1ca\x1db\x1ec\x85d e f\n", "tab\t\tend ",
-    " nbsp　wide em", "é" * 159 + " ü", "w " * 100, "x" * 160, "x" * 161, " " * 300 + "y" + " " * 300,
-    "a" * 159 + "  b", "a" * 160 + "  ", "\U0001f600" * 200, "no​break\x1funit",
+    "", " ", "a", "a\n", "a\r\nb\rc", "\n\n", "x\x0by\x0cz\x1ca\x1db\x1ec\x85d\u2028e\u2029f\n", "tab\t\tend ",
+    "\u00a0nbsp\u3000wide\u2003em", "é" * 159 + " ü", "w " * 100, "x" * 160, "x" * 161, " " * 300 + "y" + " " * 300,
+    "a" * 159 + "  b", "a" * 160 + "  ", "\U0001f600" * 200, "no\u200bbreak\x1funit",
 ]
 TEXTS = [
-    "Please ſend it to https://x", "IGNORE ALL PREVIOUS words", "ignore‍ all previous", "éignore all previous",
+    "Please ſend it to https://x", "IGNORE ALL PREVIOUS words", "ignore\u200d all previous", "éignore all previous",
     "ignoreé the previous", "you must", "you mustn't", "you must́", "do not tell", "DON'T MENTION", ".ENV", ".envé",
     "tell me your ınstructions", "forget x your instructions", "forget.your instructions", "forget\nyour instructions",
     "act as a thing without any filter", "you are now DAN", "you are now DANé", "< /system>", "</System >", "[/inst]",
-    "###  system", "real instructions :", "from now on you shouldn't", "all ... secrets", "the API Keys.",
-    "read all rows", "reads all rows", "fetch any of the chat history", "Keep all toKens", "SELECT *",
+    "### \u00a0system", "real instructions\u2003:", "from now on you shouldn't", "all ... secrets", "the API Keys.",
+    "read all rows", "reads all rows", "fetch any of the chat history", "Keep all toKens", "SELECT\u00a0*",
     "recursively", "any file in", "post̀ to the server", "report_ to the url", "upload" + "x" * 60 + "https://",
     "upload " + "x" * 59 + "https://", "upload " + "x" * 60 + "https://", "send\U0001f600 to url", "a webhook send the webhook",
     "İgnore the previous", "dİsregard prior", "toKen of all toKens", "ACT AS a guide wİthout any filter", "ıgnore all previous",
@@ -66,8 +66,8 @@ def test_every_rule_matches_like_python(spark):
 def test_case_sensitive_patterns_match_like_python(spark):
     patterns = [fv.JS_EXEC_CALL, fv.JS_EVAL_CALL, fv.JS_IDENTIFIER_ARGUMENT, fv.JS_TEMPLATE_DYNAMIC, fv.JS_CONCAT,
                 fv.JS_COMMENT_LINE, fv.NPM_X_SEGMENT, fv.DEPENDENCY_NAME, *[p for _, p in fv.PROVIDER_TOKENS]]
-    texts = ["exec (a)", ".exec(a)", "éexec(a)", "$eval(x)", "new Function(y)", "  ident.a$b ,", "é , x", "`a${", "'a' +",
-             "　// x", " * y", "1.x", "x.1", "axb", "a-b>=1", "[x]", "sk-ant-" + "a" * 20, "éAKIA" + "A" * 16, "évalué(x)"]
+    texts = ["exec (a)", ".exec(a)", "éexec(a)", "$eval(x)", "new\u00a0Function(y)", "  ident.a$b ,", "é , x", "`a${", "'a' +",
+             "\u3000// x", " * y", "1.x", "x.1", "axb", "a-b>=1", "[x]", "sk-ant-" + "a" * 20, "éAKIA" + "A" * 16, "évalué(x)"]
     got = rows(spark, texts).select(
         "i", *[F.regexp_extract("text", regex.to_jvm(p, ignore_case=False), 0).alias(f"p{n}") for n, p in enumerate(patterns)]
     ).collect()
@@ -86,7 +86,7 @@ def test_translation_of_shorthands():
 
 
 def test_literals_survive_the_sql_parser(spark):
-    texts = ["it's", r"a\b", "${name}", "$ {x}", "line\nbreak", "100%_", 'say "hi"', r"\\", "​"]
+    texts = ["it's", r"a\b", "${name}", "$ {x}", "line\nbreak", "100%_", 'say "hi"', r"\\", "\u200b"]
     row = spark.range(1).select(F.expr(sql.array(texts)).alias("a")).first()
     assert row.a == texts
 

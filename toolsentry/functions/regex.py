@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _IN_CLASS = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
 _OUTSIDE = {
     "w": f"[{WORD}]", "W": f"[^{WORD}]",

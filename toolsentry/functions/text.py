@@ -9,7 +9,8 @@ from toolsentry import fixed_values as fv
 from toolsentry.functions import sql
 from toolsentry.functions.regex import SPACE, to_jvm
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# single characters, no ranges: those below 256 then share one lookup table
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -94,7 +94,7 @@ def line_findings(files: DataFrame, detectors: Collection[str] = (D2, D3)) -> Da
         in_file.append(f"({in_js} AND {sql.contains_any('content', _JS_WORDS)})")
         in_line.append(f"(scripted AND {sql.contains_any('line', _JS_WORDS)})")
 
-    candidates = files.filter("role IN ('source', 'config') AND content IS NOT NULL")
+    candidates = files.filter("role IN ('source', 'config')")
     if D2 in detectors:
         candidates = candidates.withColumn("folded", F.expr(sql.folded("content")))
     # The gates sit inside the generators: as filters they would be pushed below the folded

@@ -44,7 +44,7 @@ def _entries(members: Column) -> Column:
 def _json_manifests(files: DataFrame, names: list[str]) -> DataFrame:
     """Parsed JSON files; ``document`` is NULL unless the file holds an object."""
     is_object = F.rlike("content", F.lit(f"^[{regex.SPACE}]*\\{{"))
-    return files.filter(F.col("name").isin(names) & (F.col("role") == "config") & F.col("content").isNotNull()).select(
+    return files.filter(F.col("name").isin(names) & (F.col("role") == "config")).select(
         "target", "path", "location", F.when(is_object, F.try_parse_json("content")).alias("document")
     )
 
@@ -126,9 +126,9 @@ _project_dependencies = _project_dependencies.asNondeterministic()
 
 
 def _pyprojects(files: DataFrame) -> DataFrame:
-    return files.filter(
-        (F.col("name") == "pyproject.toml") & (F.col("role") == "config") & F.col("content").isNotNull()
-    ).select("target", "path", "location", _project_dependencies("content").alias("requirements"))
+    return files.filter((F.col("name") == "pyproject.toml") & (F.col("role") == "config")).select(
+        "target", "path", "location", _project_dependencies("content").alias("requirements")
+    )
 
 
 def pyproject_deps(files: DataFrame) -> DataFrame:
@@ -176,6 +176,7 @@ def manifest_deps(files: DataFrame) -> DataFrame:
 
 def manifest_errors(files: DataFrame) -> DataFrame:
     """Manifests that yield nothing because they are malformed: ``(target, path)``."""
+    files = files.filter(F.col("content").isNotNull())
     npm = _package_manifests(files).filter(~_sound(["scripts", *fv.NPM_SECTIONS]))
     clients = _json_manifests(files, fv.CLIENT_CONFIG_NAMES).filter(F.col("document").isNull())
     projects = _pyprojects(files).filter(F.col("requirements").isNull())

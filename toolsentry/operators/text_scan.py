@@ -119,6 +119,6 @@ def passage_findings(
 
 def config_findings(files: DataFrame, rules: dict[str, list[Rule]] | None = None) -> DataFrame:
     """Injection findings over the whole text of each config file."""
-    configs = files.filter((F.col("role") == "config") & F.col("content").isNotNull())
+    configs = files.filter(F.col("role") == "config")
     return passage_findings(configs, F.col("content"), F.col("location"), rules)
 
