@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
 from toolsentry.functions.text import collapse_spaces, severity_name, sha256_prefix
+from toolsentry.operators.joins import spread_join
 from toolsentry.schemas import FINDING_COLUMNS
 
 
@@ -35,13 +36,18 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
 
 
 def _allowed(findings: DataFrame, allowlist: DataFrame, how: str) -> DataFrame:
+    """Findings joined with global and per-target entries.
+
+    Fingerprints do not contain the target, so a common finding such as a missing lockfile at
+    a root has one fingerprint in very many targets; that key is spread by target.
+    """
     everywhere = allowlist.filter(F.col("target").isNull()).select("fingerprint").distinct()
     per_target = allowlist.filter(F.col("target").isNotNull()).select("target", "fingerprint").distinct()
     if how == "left_anti":
-        return findings.join(everywhere, "fingerprint", how).join(per_target, ["target", "fingerprint"], how)
-    marked = findings.join(everywhere.withColumn("_all", F.lit(True)), "fingerprint", "left").join(
-        per_target.withColumn("_own", F.lit(True)), ["target", "fingerprint"], "left"
-    )
+        rest = spread_join(findings, everywhere, ["fingerprint"], how, ["target"])
+        return rest.join(per_target, ["target", "fingerprint"], how)
+    marked = spread_join(findings, everywhere.withColumn("_all", F.lit(True)), ["fingerprint"], "left", ["target"])
+    marked = marked.join(per_target.withColumn("_own", F.lit(True)), ["target", "fingerprint"], "left")
     return marked.filter(F.col("_all") | F.col("_own")).drop("_all", "_own")
 
 
@@ -66,7 +72,7 @@ def attach_verdict(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
         .agg(F.min("note").alias("note"))
     )
     columns = findings.columns
-    return findings.drop("note").join(opinions, "fingerprint", "left").select(columns)
+    return spread_join(findings.drop("note"), opinions, ["fingerprint"], "left", ["target"]).select(columns)
 
 
 def review_snippets(findings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from toolsentry.operators.drift import def_hash, drift, latest_baseline
 from toolsentry.operators.findings import finalize
+from toolsentry.operators.joins import spread_join
 from toolsentry.operators.rules import Rule
 from toolsentry.operators.text_scan import TEXT_DETECTORS, tool_findings
 
@@ -28,7 +29,8 @@ def stream_scan(
     columns = found.columns
     everywhere = allowlist.filter(F.col("target").isNull()).select("fingerprint", F.lit(True).alias("_all")).distinct()
     own = allowlist.filter(F.col("target").isNotNull()).select("target", "fingerprint", F.lit(True).alias("_own")).distinct()
-    marked = found.join(everywhere, "fingerprint", "left").join(own, ["target", "fingerprint"], "left")
+    marked = spread_join(found, everywhere, ["fingerprint"], "left", ["target"])
+    marked = marked.join(own, ["target", "fingerprint"], "left")
     return marked.filter(F.col("_all").isNull() & F.col("_own").isNull()).select(columns)
 
 
