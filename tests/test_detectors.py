@@ -168,7 +168,8 @@ def test_declared_servers(make_files):
     files = make_files({
         "a/mcp.json": '{"mcpServers": {"fs": {"command": "npx", "args": ["-y", 1, null]}, "u": {"url": "https://x"}, "n": 3}}',
         "claude_desktop_config.json": '{"servers": {"s": {"command": null, "args": "ab"}}}', "b/mcp.json": "[1]", "c/mcp.json": "{",
+        "d/mcp.json": '{"mcpServers": {"late": {"command": "x"}}} tail', "e/mcp.json": ' {"other": 1}\r\n\t ',
     })
     assert {r.evidence for r in manifest_scan.declared_servers(files).collect()} == {
         "fs: npx -y 1 None", "u: https://x", "n: (no command)", "s: None a b"}
-    assert {r.path for r in manifest_scan.manifest_errors(files).collect()} == {"b/mcp.json", "c/mcp.json"}
+    assert {r.path for r in manifest_scan.manifest_errors(files).collect()} == {"b/mcp.json", "c/mcp.json", "d/mcp.json"}

@@ -50,6 +50,7 @@ def flat(text):
 
 ADD_AT, SEARCH_AT, SUMMARIZE_AT = [f"./fixtures :: tool '{t}' (description)" for t in ("add", "search", "summarize")]
 PKG, MCP = "fixtures\\evil_pkg\\package.json", "fixtures\\shadow_repo\\mcp.json"
+# Severity, category, rule, printed place, evidence and fingerprint of each known finding
 EXPECTED = [
     (4, "MCP03", "D1-EXFIL", ADD_AT, flat(ADD), "a625a55365ac"),
     (4, "MCP03", "D1-EXFIL", SEARCH_AT, flat(SEARCH), "87bd711d59c4"),

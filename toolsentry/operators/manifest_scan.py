@@ -43,7 +43,9 @@ def _entries(members: Column) -> Column:
 
 def _json_manifests(files: DataFrame, names: list[str]) -> DataFrame:
     """Parsed JSON files; ``document`` is NULL unless the file holds an object."""
-    is_object = F.rlike("content", F.lit(f"^[{regex.SPACE}]*\\{{"))
+    is_object = F.rlike("content", F.lit(f"^[{regex.SPACE}]*\\{{")) & F.expr(
+        "endswith(trim(TRAILING ' \\t\\n\\r' FROM content), '}')"
+    )
     return files.filter(F.col("name").isin(names) & (F.col("role") == "config")).select(
         "target", "path", "location", F.when(is_object, F.try_parse_json("content")).alias("document")
     )
