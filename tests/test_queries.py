@@ -37,7 +37,9 @@ def test_query_equals_sql(spark, database, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from surfaces import oracles, queries
+
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
 def plan_of(df):
