@@ -1,0 +1,87 @@
+"""Repeated bytes and words against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from toolsentry.llm import arrays, repeats
+from toolsentry.llm.debruijn_dedup import debruijn_dedup
+from toolsentry.llm.suffix_dedup import suffix_dedup
+
+
+def brute(docs, symbols, length):
+    first = {}
+    for doc_id, text in docs:
+        if doc_id is None:
+            continue
+        s = symbols(text or "")
+        for i in range(len(s) - length + 1):
+            w = tuple(s[i:i + length])
+            first[w] = min(first.get(w, doc_id), doc_id)
+    out = []
+    for doc_id, text in docs:
+        if doc_id is None:
+            continue
+        s = symbols(text or "")
+        gone = [False] * len(s)
+        for i in range(len(s) - length + 1):
+            if first[tuple(s[i:i + length])] < doc_id:
+                gone[i:i + length] = [True] * length
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((doc_id, len(s), sum(gone), spans, [x for x, g in zip(s, gone) if not g]))
+    return out
+
+
+def corpus():
+    rng = random.Random(5)
+    names = ["a", "la", "über", "the", "of", "ñandú", "x1", "tion"]
+    word = lambda: "".join(rng.choice(names) for _ in range(rng.randint(1, 3)))
+    passage = " ".join(word() for _ in range(70))
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 160)))) for i in range(24)]
+    docs += [(100 + i, f"{docs[i][1]} {passage}\n\t{docs[i + 1][1]}") for i in range(12)]
+    docs += [(200 + i, passage.replace("the", "THE", i)) for i in range(6)]
+    docs += [(300, "aaaa " * 200), (301, "aaaa " * 90), (302, "b" * 49), (303, "b" * 50), (304, "b" * 120), (305, " " * 200), (306, " " * 60)]
+    docs += [(400, None), (401, ""), (None, passage), (303, "b" * 120), (300, "aaaa " * 200), (-7, passage[100:])]
+    rng.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("shuffle", [0, 1])
+def test_bytes_equal_brute_force(spark, shuffle):
+    docs = corpus()
+    frame = spark.createDataFrame([(t, "own", i, "x") for i, t in docs], "text string, key string, doc_id long, core string").repartition(1 + 6 * shuffle)
+    got = sorted(tuple(r) for r in suffix_dedup(frame).drop("kept").collect())
+    want = sorted((i, n, r, s, hashlib.sha256(bytes(k)).hexdigest()) for i, n, r, s, k in brute(docs, lambda t: t.encode(), 50))
+    assert got == want and sum(r[2] for r in got) > 3000
+
+
+def test_words_equal_brute_force(spark):
+    docs = corpus()
+    frame = spark.createDataFrame([(t, i) for i, t in docs], "text string, doc_id long").repartition(5)
+    got = sorted(tuple(r) for r in debruijn_dedup(frame).drop("kept").collect())
+    want = sorted((i, n, r, hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, n, r, _, k in brute(docs, str.split, 50))
+    assert got == want and sum(r[2] for r in got) > 500
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix_dedup(empty).collect() == [] and debruijn_dedup(empty).collect() == []
+
+
+def test_runs_cover_all_windows_once():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (0, 3, 49, 50, 51, 400, 1000)]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    sums = arrays.byte_prefix(data)
+    at = np.arange(len(data) - 15)
+    first, count, _ = arrays.anchors(arrays.span_hash(sums, at, at + 16), bounds, 50, 16)
+    got = [x for a, n in zip(first, count) for x in range(a, a + n)]
+    assert got == [x for a, b in zip(bounds, bounds[1:]) for x in range(a, b - 49)]
+
+
+def test_covered_merges_touching_stretches():
+    places = np.array([(100 << repeats.COUNT_BITS) | 1, (0 << repeats.COUNT_BITS) | 3, (52 << repeats.COUNT_BITS) | 1])
+    starts, ends = repeats.covered(places, 50)
+    assert starts.tolist() == [0] and ends.tolist() == [150]
