@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from toolsentry.llm.debruijn_dedup import debruijn_dedup
+from toolsentry.llm.license_scan import license_scan
+from toolsentry.llm.minhash import document_fingerprints
 from toolsentry.llm.packing import best_fit
 from toolsentry.llm.simhash import simhash_groups
 from toolsentry.llm.suffix_dedup import suffix_dedup
 from toolsentry.llm.tables import table
+from toolsentry.llm.token_counts import token_counts
 from toolsentry.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +24,10 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 REGISTRY: dict[str, Query] = {
+    "op1_license_scan": over("documents", license_scan),
+    "op2_token_counts": over("documents", token_counts),
     "op3_simhash_dedup": over("documents", simhash_groups),
+    "op4_document_fingerprints": over("documents", document_fingerprints),
     "op5_best_fit_packing": over("documents", best_fit),
     "op7_suffix_dedup": over("documents", lambda docs: suffix_dedup(docs).drop("kept")),
     "op10_debruijn_dedup": over("documents", lambda docs: debruijn_dedup(docs).drop("kept")),
