@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from toolsentry.llm.debruijn_dedup import debruijn_dedup
+from toolsentry.llm.decontaminate import leaks
 from toolsentry.llm.license_scan import license_scan
+from toolsentry.llm.line_dedup import line_dedup
 from toolsentry.llm.minhash import document_fingerprints
 from toolsentry.llm.packing import best_fit
 from toolsentry.llm.simhash import simhash_groups
@@ -23,13 +26,23 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(configure(spark), sf_dir, name))
 
 
+def deduplicated_lines(docs: DataFrame) -> DataFrame:
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY: dict[str, Query] = {
     "op1_license_scan": over("documents", license_scan),
     "op2_token_counts": over("documents", token_counts),
     "op3_simhash_dedup": over("documents", simhash_groups),
     "op4_document_fingerprints": over("documents", document_fingerprints),
     "op5_best_fit_packing": over("documents", best_fit),
+    "op6_benchmark_decontamination": benchmark_leaks,
     "op7_suffix_dedup": over("documents", lambda docs: suffix_dedup(docs).drop("kept")),
+    "op9_line_dedup": over("documents", deduplicated_lines),
     "op10_debruijn_dedup": over("documents", lambda docs: debruijn_dedup(docs).drop("kept")),
 }
 
