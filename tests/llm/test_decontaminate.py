@@ -53,7 +53,7 @@ def test_candidates_recall_against_all_windows(spark):
     rows = asked.collect()
     _, directions = dec.prepared(rows, space)
     texts = pa.array([t for _, t in docs], pa.large_string())
-    hashes, places, *_ = dec.hashed_words(texts)
+    hashes, places = dec.hashed_words(texts)
     found, want = set(), set()
     for text, first, size, latent in dec.windows(hashes, places, space, dec.COSINE):
         found |= {(int(first[a]), int(size[a]), int(i)) for a, i in np.argwhere(latent @ directions.T >= dec.COSINE)}

@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ ITEMS_AT_ONCE = 4096
 
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
 
 OUT, OUT_DDL = arrow_schema([
     ("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64()),
@@ -47,12 +46,11 @@ class Space(NamedTuple):
     axes: np.ndarray
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts, the n + 1 places where texts' words begin, and word starts and ends in the bytes."""
-    data, bounds = flat(column)
-    data = _LOWER[data]
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and the n + 1 places where texts' words begin."""
+    data, bounds = flat(pc.utf8_lower(column))
     starts, ends, places = words(data, bounds, LETTERS)
-    return span_hash(byte_prefix(data), starts, ends), places, starts, ends
+    return span_hash(byte_prefix(data), starts, ends), places
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
@@ -65,7 +63,7 @@ def weights(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(FEATURES, np.int64), 0
         for part in slices(batches):
-            hashes, places, *_ = hashed_words(part.column("text"))
+            hashes, places = hashed_words(part.column("text"))
             sizes = np.diff(places)
             blocks = -(-sizes // PASSAGE)
             first = np.cumsum(blocks) - blocks
@@ -91,7 +89,7 @@ def _test_matrix(buckets: np.ndarray, width: int) -> np.ndarray:
 
 def vectors(column: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """TF-IDF of whole texts as rows, buckets and values, each text of length one."""
-    hashes, places, *_ = hashed_words(column)
+    hashes, places = hashed_words(column)
     row = np.repeat(np.arange(len(places) - 1), np.diff(places))
     cells, tf = np.unique(row * FEATURES + bucket_of(hashes), return_counts=True)
     row, bucket = cells // FEATURES, cells % FEATURES
@@ -169,8 +167,8 @@ def answer_words(text: str) -> str:
 def prepared(rows: list, space: Space) -> tuple[list[Item], np.ndarray]:
     """Items with their words, and their unit vectors in the latent space. Items without words match nothing."""
     column = pa.array([r.text or "" for r in rows], pa.large_string())
-    hashes, places, *_ = hashed_words(column)
-    answers, answer_places, *_ = hashed_words(pa.array([answer_words(r.text or "") for r in rows], pa.large_string()))
+    hashes, places = hashed_words(column)
+    answers, answer_places = hashed_words(pa.array([answer_words(r.text or "") for r in rows], pa.large_string()))
     items = [Item(r.item_id, hashes[places[i]:places[i + 1]].tolist(), answers[answer_places[i]:answer_places[i + 1]].tolist()) for i, r in enumerate(rows)]
     row, bucket, value = vectors(column, space.weights)
     at = np.minimum(np.searchsorted(space.buckets, bucket), max(0, len(space.buckets) - 1))
@@ -219,7 +217,9 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, cosine: float)
     latent = np.zeros((int(used.sum()), space.axes.shape[1]), np.float32)
     for a in range(0, len(word), 1 << 15):
         w = word[a:a + (1 << 15)]
-        np.add.at(latent, number[block[w]], space.axes[at[w]] * weight[w, None].astype(np.float32))
+        to = number[block[w]]
+        new = np.flatnonzero(np.diff(to, prepend=-1))
+        latent[to[new]] += np.add.reduceat(space.axes[at[w]] * weight[w, None].astype(np.float32), new, axis=0)
     for a in range(0, len(start), 1 << 13):
         s, e = start[a:a + (1 << 13)], stop[a:a + (1 << 13)]
         made = np.zeros((len(s), latent.shape[1]), np.float32)
@@ -259,7 +259,7 @@ def _of_block(docs: DataFrame, rows: list, space: Space, cosine: float, lcs_shar
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=1 << 20):
-            hashes, places, *_ = hashed_words(part.column("text"))
+            hashes, places = hashed_words(part.column("text"))
             if not len(hashes) or not len(space.buckets):
                 continue
             best: dict[tuple[int, int], tuple] = {}
