@@ -16,6 +16,9 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFF)
+#: Bytes of letters, digits and characters beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toolsentry.llm.arrays import byte_prefix, flat, mixed, slices, span_hash, words
+from toolsentry.llm.arrays import LETTERS, byte_prefix, flat, mixed, slices, span_hash, words
 from toolsentry.llm.tables import arrow_schema, texts
 
 FEATURES, RANK, OVERSAMPLE, POWER = 1 << 16, 256, 32, 2
@@ -27,9 +27,6 @@ BLOCK, SCALES, PASSAGE = 8, (2, 4, 8), 64
 COSINE, LCS_SHARE, ANSWER_SHARE, STRETCH = 0.3, 0.6, 0.5, 2
 ITEMS_AT_ONCE = 4096
 
-LETTERS = np.zeros(256, bool)
-LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-
 OUT, OUT_DDL = arrow_schema([
     ("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64()),
     ("first_word", pa.int64()), ("n_words", pa.int64()),

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from toolsentry.llm.debruijn_dedup import debruijn_dedup
 from toolsentry.llm.decontaminate import leaks
 from toolsentry.llm.license_scan import license_scan
 from toolsentry.llm.line_dedup import line_dedup
 from toolsentry.llm.minhash import document_fingerprints
 from toolsentry.llm.packing import best_fit
+from toolsentry.llm.quality import scored
 from toolsentry.llm.simhash import simhash_groups
 from toolsentry.llm.suffix_dedup import suffix_dedup
 from toolsentry.llm.tables import table
@@ -34,6 +36,11 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = scored(table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "quality_score", "toxic_score", "accepted")
+
+
 REGISTRY: dict[str, Query] = {
     "op1_license_scan": over("documents", license_scan),
     "op2_token_counts": over("documents", token_counts),
@@ -42,8 +49,10 @@ REGISTRY: dict[str, Query] = {
     "op5_best_fit_packing": over("documents", best_fit),
     "op6_benchmark_decontamination": benchmark_leaks,
     "op7_suffix_dedup": over("documents", lambda docs: suffix_dedup(docs).drop("kept")),
+    "op8_quality_classifier": quality_scores,
     "op9_line_dedup": over("documents", deduplicated_lines),
     "op10_debruijn_dedup": over("documents", lambda docs: debruijn_dedup(docs).drop("kept")),
+    "pipeline": corpus_pipeline.run,
 }
 
 
@@ -52,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
