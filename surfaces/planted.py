@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolsentry.functions import sql
+from toolsentry.operators import text_scan
+from toolsentry.operators.findings import finalize
 from toolsentry.sources.files import as_files
-from toolsentry.session import spread_small
 
 # -- phrases added to tool descriptions --------------------------------------------------------
 
@@ -135,7 +136,10 @@ PY_SNIPPETS = [
     "model.eval(x)\nos.system(self.command)\nos.popen(' '.join(parts), shell=True)\n",
     "def broken(:\n    os.system(name)\n",
     "total = 1 + 1\n",
+    "def unfinished(:\n    pass\n",
 ]
+# which Python snippets can't be parsed
+PY_BROKEN = [7, 9]
 # what each Python snippet must yield: (line in the snippet, sentence, severity)
 PY_EXPECTED = [
     [(4, "os.system() with a dynamically built command", 3)],
@@ -147,6 +151,7 @@ PY_EXPECTED = [
     [(3, "os.popen(shell=True) with a dynamic command", 3)],
     [],
     [],
+    [],
 ]
 FOLDERS = ["src", "tests", "scripts", "lib/core", "Examples/a", "packages/my-test/src", "pkg"]
 NAMES = ["main", "test_main", "util.test", "spec"]
@@ -200,13 +205,8 @@ CLIENT_EXPECTED = [
 ]
 
 
-KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A provided table; one with texts in too few splits to keep all cores busy is dealt out."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread_small(rows, KEYS[table]) if table in KEYS else rows
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def pick(options: list, key: Column | str) -> Column:
@@ -346,12 +346,18 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("target", F.lit("path").alias("kind"), "error")
 
 
-def allowlist(spark: SparkSession, findings: DataFrame) -> DataFrame:
-    """Every fingerprint that begins with 0 is allowed everywhere, with 1 in its own target."""
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors that claim a category by a document's number: two are missing, out-of-scope ones are among them."""
+    number = F.col("doc_id") % 11
+    category = F.concat(F.lit("MCP"), F.lpad((number + 1).cast("string"), 2, "0"))
+    return read(spark, sf_dir, "documents").filter(~number.isin(4, 7)).select(F.lit("planted").alias("scan"), category.alias("owasp_id"))
+
+
+def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the over-sharing findings, those whose fingerprint begins with 0 to 3 are allowed everywhere, 4 to 7 in their target."""
+    found = finalize(text_scan.tool_findings(tools(spark, sf_dir), None, ["D7"]))
     entry = F.substring("fingerprint", 1, 1)
-    return findings.filter(entry.isin("0", "1")).select(
-        F.when(entry == "1", F.col("target")).alias("target"), "fingerprint"
-    ).distinct()
+    return found.filter(entry < "8").select(F.when(entry >= "4", F.col("target")).alias("target"), "fingerprint").distinct()
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

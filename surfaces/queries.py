@@ -14,7 +14,7 @@ from toolsentry.operators import line_scan, manifest_scan, python_scan, scoring,
 from toolsentry.operators import findings as fnd
 from toolsentry.operators.rules import POISONING, merge_rules
 from toolsentry.operators.tool_text import tool_blob, tool_text
-from toolsentry.plans.audit import Audit
+from toolsentry.plans.audit import Audit, detector_categories
 from toolsentry.session import configure, scratch_path
 from toolsentry.sinks import reports
 from toolsentry.sources.files import exclude_paths, find_client_configs
@@ -32,23 +32,14 @@ def shown(found: DataFrame) -> DataFrame:
     )
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back, for results several plans use."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all scans before suppression."""
     return Audit(tools=planted.tools(spark, sf_dir), files=planted.all_files(spark, sf_dir)).all_findings()
 
 
 def kept_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed findings after suppression; reports and grades read this table."""
-    found = landed(everything(spark, sf_dir), "findings")
-    return fnd.suppress(found, planted.allowlist(spark, found))
+    """Findings after suppression, as one lazy plan. A caller with several reports lands it first (``write_findings``)."""
+    return fnd.suppress(everything(spark, sf_dir), planted.allowlist(spark, sf_dir))
 
 
 # -- flattening and text rules --------------------------------------------------------------------
@@ -123,8 +114,7 @@ def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppressed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = landed(everything(spark, sf_dir), "findings")
-    return fnd.suppressed_counts(found, planted.allowlist(spark, found))
+    return fnd.suppressed_counts(everything(spark, sf_dir), planted.allowlist(spark, sf_dir))
 
 
 def sorted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +131,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = reports.corpus_lines(summary(spark, sf_dir))
-    return lines.filter(F.col("section") > 0).select("target", "line")
+    return reports.corpus_lines(summary(spark, sf_dir)).select("target", "line")
 
 
 def gate_high(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,11 +139,18 @@ def gate_high(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fnd.coverage_gaps(kept_findings(spark, sf_dir))
+    return fnd.coverage_gaps(planted.claims(spark, sf_dir))
+
+
+def detector_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered detectors' claims next to what they found: no claim without findings, no findings without claim."""
+    claimed = detector_categories(spark).groupBy("owasp_id").agg(F.lit(True).alias("claimed"))
+    found = fnd.coverage_matrix(everything(spark, sf_dir))
+    return found.join(claimed, "owasp_id", "left").select("owasp_id", F.coalesce("claimed", F.lit(False)).alias("claimed"), "findings")
 
 
 def verdicts_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = landed(everything(spark, sf_dir), "findings")
+    found = kept_findings(spark, sf_dir)
     digit = F.substring("fingerprint", 2, 1)
     opinion = (
         F.when(digit < "4", F.lit(" \n "))
@@ -162,8 +158,7 @@ def verdicts_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.repeat(F.lit("long  "), F.lit(100)))
     )
     verdicts = found.select("fingerprint", opinion.alias("note"))
-    kept = fnd.suppress(found, planted.allowlist(spark, found))
-    return fnd.attach_verdict(kept, verdicts).select("target", "rule_id", "location", "fingerprint", "note")
+    return fnd.attach_verdict(found, verdicts).select("target", "rule_id", "location", "fingerprint", "note")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,48 +170,63 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results read back out of complete documents, so that nesting is checked too."""
-    kept = landed(kept_findings(spark, sf_dir), "kept")
-    documents = reports.sarif_documents(kept, planted.targets(spark, sf_dir), size=200)
+    """Results and rules read back out of complete documents, those of clean and unread targets too."""
+    documents = reports.sarif_documents(kept_findings(spark, sf_dir), planted.targets(spark, sf_dir), size=200)
     result = (
         "ruleId string, level string, "
         "locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: bigint>>>>, "
         "partialFingerprints map<string, string>, properties struct<evidence: string>"
     )
-    parsed = F.from_json("document", f"runs array<struct<results: array<struct<{result}>>>>")["runs"][0]["results"]
-    results = documents.select("target", F.explode(parsed).alias("r"))
-    place = F.col("r.locations")[0]["physicalLocation"]
-    return results.select(
-        "target", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
+    run = (
+        "tool struct<driver: struct<rules: array<struct<id: string>>>>, properties struct<part: bigint, parts: bigint>, "
+        "invocations array<struct<toolExecutionNotifications: array<struct<message: struct<text: string>>>>>, "
+        f"results array<struct<{result}>>"
+    )
+    parsed = documents.select("target", F.from_json("document", f"version string, runs array<struct<{run}>>").alias("d"))
+    opened = parsed.select("target", "d.version", F.col("d.runs")[0].alias("run"))
+    # the rules of a target are those of all its parts
+    ids = F.flatten(F.collect_set(F.transform("run.tool.driver.rules", lambda r: r["id"])))
+    rules = opened.groupBy("target").agg(F.array_join(F.sort_array(F.array_distinct(ids)), ",").alias("rule_ids"))
+    results = opened.select("target", "version", F.get("run.invocations", F.lit(0))["toolExecutionNotifications"][0]["message"]["text"].alias("error"),
+                            F.explode_outer("run.results").alias("r"))
+    place = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return results.join(rules, "target").select(
+        "target", "version", "rule_ids", "error", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
         place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"),
-        F.element_at("r.partialFingerprints", "toolsentry/v1").alias("fingerprint"),
+        F.try_element_at("r.partialFingerprints", F.lit("toolsentry/v1")).alias("fingerprint"),
         F.col("r.properties.evidence").alias("evidence"),
     )
 
 
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = landed(kept_findings(spark, sf_dir), "kept")
-    documents = reports.json_documents(kept, planted.targets(spark, sf_dir), size=200)
+    found = everything(spark, sf_dir)
+    allowed = planted.allowlist(spark, sf_dir)
+    documents = reports.json_documents(
+        fnd.suppress(found, allowed), planted.targets(spark, sf_dir), fnd.suppressed_counts(found, allowed), size=200
+    )
     finding = "id string, severity string, confidence string, location string, evidence string, fingerprint string"
     parsed = F.from_json(
-        "document", f"server string, count bigint, grade string, score int, findings array<struct<{finding}>>"
+        "document",
+        f"server string, error string, count bigint, suppressed bigint, grade string, score int, findings array<struct<{finding}>>",
     )
-    return documents.select(parsed.alias("d")).select("d.*", F.explode("d.findings").alias("f")).select(
-        F.col("server").alias("target"), "count", "grade", "score", F.col("f.id").alias("rule_id"), "f.severity",
-        "f.confidence", "f.location", "f.evidence", "f.fingerprint",
+    return documents.select(parsed.alias("d")).select("d.*", F.explode_outer("d.findings").alias("f")).select(
+        F.col("server").alias("target"), "error", "count", "suppressed", "grade", "score", F.col("f.id").alias("rule_id"),
+        "f.severity", "f.confidence", "f.location", "f.evidence", "f.fingerprint",
     )
 
 
 def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = landed(kept_findings(spark, sf_dir), "kept")
-    details = reports.markdown_lines(kept, planted.targets(spark, sf_dir)).filter(F.col("section") == 4)
+    """Headings with their summaries, and two lines of every detail block."""
+    lines = reports.markdown_lines(kept_findings(spark, sf_dir), planted.targets(spark, sf_dir))
     rows = F.split("line", "\n")
 
     def starting(mark: str) -> Column:
         return F.filter(rows, lambda r: F.startswith(r, F.lit(mark)))[0]
 
-    return details.select(
-        "target", starting("- **Evidence:**").alias("evidence_line"), starting("- **Fingerprint:**").alias("fingerprint_line")
+    head = F.col("section") == 0
+    return lines.filter(F.col("section").isin(0, 4)).select(
+        "target", F.when(head, rows[0]).otherwise(starting("- **Evidence:**")).alias("first"),
+        F.when(head, rows[2]).otherwise(starting("- **Fingerprint:**")).alias("second"),
     )
 
 
@@ -307,6 +317,7 @@ REGISTRY: dict[str, Query] = {
     "corpus_table": corpus_table,
     "coverage_matrix": lambda s, d: fnd.coverage_matrix(kept_findings(s, d)),
     "coverage_check": coverage_check,
+    "detector_claims": detector_claims,
     "attach_verdict": verdicts_attached,
     "owasp_label": labels,
     "sarif_rows": lambda s, d: reports.sarif_rows(kept_findings(s, d)).drop("message"),

@@ -1,6 +1,9 @@
 """Registered queries against their SQL on the smallest tables, and the shape of plans."""
 
+import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -10,13 +13,13 @@ import __spark_entry__ as entry
 import compare
 from surfaces import planted
 from toolsentry.operators import line_scan, manifest_scan, text_scan
-from toolsentry.operators.joins import spread_join
 from toolsentry.plans.audit import Audit
 from toolsentry.sources.files import read_files, write_files
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["tool_text_flatten", "poisoning_scan", "rule_merge", "js_sink_scan", "supply_chain_scan", "grade_by_target",
-           "sarif_documents", "drift_summary", "stream_drift_once"]
+           "sarif_documents", "json_documents", "report_markdown_rows", "corpus_table", "gate_high", "unparsed_sources", "coverage_check",
+           "detector_claims", "drift_summary", "stream_drift_once"]
 
 
 @pytest.fixture(scope="module")
@@ -64,15 +67,46 @@ def test_scans_of_a_files_table_read_what_they_need(spark, tmp_path):
     assert read_files(spark, str(tmp_path / "files")).count() == files.count()
 
 
-def test_spread_join_equals_plain_join_under_one_hot_key(spark):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
-    right = spark.createDataFrame([("hot", 1), ("1", 2), ("none", 3)], "k string, v int")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        got = spread_join(left, right, ["k"], how, ["id"])
-        want = left.join(right, "k", how)
-        assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-    spread = left.filter("k = 'hot'").select(F.pmod(F.xxhash64("id"), F.lit(16)).alias("s")).groupBy("s").count()
-    assert spread.count() == 16 and spread.agg(F.max("count")).first()[0] < 200
+def test_lock_cover_reads_manifests_and_lockfiles_only(spark, tmp_path):
+    write_files(planted.all_files(spark, SF), str(tmp_path / "files"))
+    cover = plan_of(manifest_scan.lock_cover(spark.read.parquet(str(tmp_path / "files"))))
+    scans = re.findall(r"PartitionFilters: \[(.*?)\]", cover)
+    assert len(scans) == 2 and all("role" in s for s in scans)
+
+
+def test_plans_do_not_depend_on_splits(spark, tmp_path):
+    documents = planted.read(spark, SF, "documents")
+    shapes = []
+    for n in (1, 40):
+        documents.repartition(n).write.mode("overwrite").parquet(f"{tmp_path}/{n}/documents.parquet")
+        plan = plan_of(entry.queries()["poisoning_scan"](spark, f"{tmp_path}/{n}"))
+        shapes.append(re.findall(r"^[ :+*()\d-]*(\w+)", plan, re.M))
+    assert shapes[0] == shapes[1]
+
+
+def test_queries_are_built_without_writing(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a query that is only built writes nothing")
+
+    monkeypatch.setattr("surfaces.queries.scratch_path", refuse)
+    for name in ("findings_suppressed", "grade_by_target", "attach_verdict", "sarif_documents", "json_documents", "corpus_table"):
+        assert entry.queries()[name](spark, SF).columns
+
+
+def test_package_reaches_workers_from_any_folder(tmp_path):
+    """Another working folder, no PYTHONPATH: Python workers get the package from the session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from toolsentry.session import local_session\n"
+        "s = local_session('2')\n"
+        f"print('ROWS', e.queries()['python_sink_scan'](s, {SF!r}).count(), e.queries()['unparsed_sources'](s, {SF!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    rows = re.search(r"ROWS (\d+) (\d+)", done.stdout)
+    assert rows and int(rows[1]) > 0 and int(rows[2]) > 0, done.stderr[-2000:]
 
 
 def test_repeating_a_target_repeats_its_findings_only(spark):

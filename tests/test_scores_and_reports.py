@@ -43,10 +43,10 @@ def test_fingerprints_identify_rule_place_and_evidence(make_findings):
 
 
 def test_grades_cap_hygiene_and_floor_without_severe(spark, make_findings):
-    found = make_findings({"lows": some(50, 1), "meds": some(10, 2) + some(50, 1), "highs": some(3, 3), "worst": some(3, 4), "info": some(9, 0)})
+    found = make_findings({"lows": some(50, 1), "meds": some(10, 2) + some(50, 1), "highs": some(3, 3), "worst": some(3, 4), "info": some(9, 0), "unread": some(1, 4)})
     got = {r.target: (r.grade, r.score, r.total) for r in
-           scoring.grade(found, make_targets(spark, "lows", "meds", "highs", "worst", "info", "clean")).collect()}
-    assert got == {"lows": ("A", 90, 50), "meds": ("C", 70, 60), "highs": ("F", 55, 3), "worst": ("F", 0, 3),
+           scoring.grade(found, make_targets(spark, "lows", "meds", "highs", "worst", "info", "clean", failed=["unread"])).collect()}
+    assert got == {"unread": (None, None, 0), "lows": ("A", 90, 50), "meds": ("C", 70, 60), "highs": ("F", 55, 3), "worst": ("F", 0, 3),
                    "info": ("A", 100, 9), "clean": ("A", 100, 0)}
     letters = spark.range(0, 101).select("id", scoring.letter(F.col("id")).alias("g"))
     assert {r.g: r.n for r in letters.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"A": 11, "B": 10, "C": 10, "D": 10, "F": 60}
@@ -64,6 +64,9 @@ def test_corpus_summary_totals_gate_and_order(spark, make_findings):
              for t in ("high", "medium", "none", "strange")}
     assert gates["high"] == {"bad": True, "ok": False, "none": False} and gates["medium"]["ok"]
     assert not any(gates["none"].values()) and not any(gates["strange"].values())
+    for threshold in ("high", "none"):
+        rows = scoring.gate(found, make_targets(spark, "ok", failed=["https://x"]), threshold).collect()
+        assert {r.target: (r.failed, r.reason) for r in rows} == {"ok": (False, None), "https://x": (True, "not fetched")}
 
 
 def test_suppression_is_global_or_per_target(spark, make_findings):
@@ -103,19 +106,24 @@ def test_coverage_is_honest(spark, make_findings):
     assert [r.l for r in labels] == ["MCP03: Tool Poisoning", "X9"]
 
 
-def test_sarif_documents_hold_everything_in_bounded_parts(spark, make_findings):
-    same = [("DUP", 2, "here", "same")] * 7
+def test_sarif_documents_hold_everything_in_parts(spark, make_findings):
+    same = [("DUP", 2, "here", "same")] * 60
     found = make_findings({"small": some(3, 3) + [("Q", 1, "a\\b.py:7", "e"), ("Q", 0, "pkg :: dep", "e")], "hot": some(40, 2) + same})
-    docs = reports.sarif_documents(found, make_targets(spark, "small", "hot", "empty"), size=5).collect()
+    docs = reports.sarif_documents(found, make_targets(spark, "small", "hot", "empty", failed=["unread"]), size=5).collect()
     parsed = [(r.target, json.loads(r.document)) for r in docs]
-    sizes = {}
+    sizes, failed = {}, {}
     for target, doc in parsed:
-        results = doc["runs"][0]["results"]
-        assert doc["version"] == "2.1.0" and len(results) <= 5
-        sizes.setdefault(target, []).append(len(results))
-        ids = [rule["id"] for rule in doc["runs"][0]["tool"]["driver"]["rules"]]
+        run = doc["runs"][0]
+        results = run["results"]
+        assert doc["version"] == "2.1.0" and run["properties"]["parts"] == (20 if target == "hot" else 1)
+        sizes.setdefault(target, {})[run["properties"]["part"]] = len(results)
+        failed[target] = run.get("invocations")
+        ids = [rule["id"] for rule in run["tool"]["driver"]["rules"]]
         assert len(ids) == len(set(ids)) and {r["ruleId"] for r in results} == set(ids)
-    assert sizes["small"] == [5] and sum(sizes["hot"]) == 47 and sizes["empty"] == [0]
+    assert sizes["small"] == {1: 5} and sum(sizes["hot"].values()) == 100 and max(sizes["hot"].values()) < 20
+    assert sorted(sizes["hot"]) == list(range(1, 21)) and sizes["empty"] == sizes["unread"] == {1: 0}
+    assert failed["empty"] is None and failed["unread"][0]["executionSuccessful"] is False
+    assert failed["unread"][0]["toolExecutionNotifications"][0]["message"]["text"] == "not fetched"
     small = next(d for t, d in parsed if t == "small")["runs"][0]
     assert [r["level"] for r in small["results"]] == ["error"] * 3 + ["note"] * 2
     places = [r["locations"][0]["physicalLocation"] for r in small["results"]]
@@ -140,20 +148,25 @@ def test_json_documents(spark, make_findings):
     found = make_findings({"a": some(1, 3) + some(1, 1)})
     suppressed = spark.createDataFrame([("a", 4)], "target string, suppressed bigint")
     docs = {r.target: json.loads(r.document) for r in
-            reports.json_documents(found, make_targets(spark, "a", "none"), suppressed).collect()}
+            reports.json_documents(found, make_targets(spark, "a", "none", failed=["unread"]), suppressed).collect()}
     a = docs["a"]
     assert (a["server"], a["count"], a["suppressed"], a["grade"], a["score"]) == ("a", 2, 4, "B", 84)
     assert [f["severity"] for f in a["findings"]] == ["HIGH", "LOW"] and a["findings"][0]["llm_note"] is None
-    assert docs["none"]["findings"] == [] and docs["none"]["grade"] == "A"
+    assert docs["none"]["findings"] == [] and docs["none"]["grade"] == "A" and (a["part"], a["parts"], a["error"]) == (1, 1, None)
+    unread = docs["unread"]
+    assert (unread["error"], unread["grade"], unread["score"], unread["count"]) == ("not fetched", None, None, None)
 
 
 def test_markdown_reads_as_one_document_per_target(spark, make_findings, tmp_path):
     found = make_findings({"a": some(2, 1) + some(1, 4), "b": some(1, 0)})
     suppressed = spark.createDataFrame([("a", 2)], "target string, suppressed bigint")
-    lines = reports.markdown_lines(found, make_targets(spark, "a", "b", "c"), suppressed)
+    lines = reports.markdown_lines(found, make_targets(spark, "a", "b", "c", failed=["unread"]), suppressed)
     path = tmp_path / "md"
-    reports.write_markdown(lines, str(path))
-    texts = {t: "".join(p.read_text() for p in sorted((path / f"target={t}").glob("part-*"))) for t in "abc"}
+    reports.write_markdown(lines, str(path), buckets=2)
+    assert len(list(path.glob("bucket=*"))) <= 2
+    rows = [json.loads(line) for p in sorted(path.glob("bucket=*/part-*")) for line in p.read_text().splitlines()]
+    texts = {t: "".join(r["line"] + "\n" for r in rows if r["target"] == t) for t in ("a", "b", "c", "unread")}
+    assert "**Not audited:** not fetched" in texts["unread"] and "Grade" not in texts["unread"]
     assert texts["a"].startswith("# Audit report: `a`\n\n**Grade: F (58/100)** · **3 findings** (CRITICAL: 1, LOW: 2)\n\n_2 finding")
     table = [line.split(" | ")[0] for line in texts["a"].splitlines() if line.startswith("| ") and "`" in line]
     assert table == ["| CRITICAL", "| LOW", "| LOW"] and texts["a"].count("#### ") == 3

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
 from toolsentry.functions.text import collapse_spaces, severity_name, sha256_prefix
-from toolsentry.operators.joins import spread_join
 from toolsentry.schemas import FINDING_COLUMNS
 
 
@@ -44,9 +43,9 @@ def _allowed(findings: DataFrame, allowlist: DataFrame, how: str) -> DataFrame:
     everywhere = allowlist.filter(F.col("target").isNull()).select("fingerprint").distinct()
     per_target = allowlist.filter(F.col("target").isNotNull()).select("target", "fingerprint").distinct()
     if how == "left_anti":
-        rest = spread_join(findings, everywhere, ["fingerprint"], how, ["target"])
+        rest = findings.join(everywhere, "fingerprint", how)
         return rest.join(per_target, ["target", "fingerprint"], how)
-    marked = spread_join(findings, everywhere.withColumn("_all", F.lit(True)), ["fingerprint"], "left", ["target"])
+    marked = findings.join(everywhere.withColumn("_all", F.lit(True)), "fingerprint", "left")
     marked = marked.join(per_target.withColumn("_own", F.lit(True)), ["target", "fingerprint"], "left")
     return marked.filter(F.col("_all") | F.col("_own")).drop("_all", "_own")
 
@@ -72,7 +71,7 @@ def attach_verdict(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
         .agg(F.min("note").alias("note"))
     )
     columns = findings.columns
-    return spread_join(findings.drop("note"), opinions, ["fingerprint"], "left", ["target"]).select(columns)
+    return findings.drop("note").join(opinions, "fingerprint", "left").select(columns)
 
 
 def review_snippets(findings: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from toolsentry import fixed_values as fv
 from toolsentry.functions import regex, sql
 from toolsentry.functions.text import base_name, dependency_name, split_lines, strip
 from toolsentry.operators.hits import HIT_TYPE, collected, hit
-from toolsentry.operators.joins import spread_join
 from toolsentry.operators.tool_text import as_text, present
 
 D4, D5 = "D4", "D5"
@@ -232,16 +231,17 @@ def ancestor_directories(path: Column) -> Column:
 def lock_cover(files: DataFrame) -> DataFrame:
     """``(target, path)`` of manifests with a lockfile of their ecosystem beside or above.
 
-    Reads names only. A large target has many manifests under one root directory, so that
-    key is spread.
+    Reads names only, and only of configs and lockfiles: a files table is partitioned by role. A large target has
+    many manifests under one root directory; the optimizer splits such a key where it is found to be hot.
     """
     manifests = (
-        files.filter(F.col("name").isin("package.json", "pyproject.toml"))
+        files.filter((F.col("role") == "config") & F.col("name").isin("package.json", "pyproject.toml"))
         .withColumn("ecosystem", _ecosystem({"npm": ["package.json"], "python": ["pyproject.toml"]}))
         .select("target", "path", "ecosystem", F.explode(ancestor_directories(F.col("path"))).alias("directory"))
     )
     locks = (
-        files.withColumn("ecosystem", _ecosystem({"npm": fv.NPM_LOCKFILES, "python": fv.PYTHON_LOCKFILES}))
+        files.filter(F.col("role") == "lock")
+        .withColumn("ecosystem", _ecosystem({"npm": fv.NPM_LOCKFILES, "python": fv.PYTHON_LOCKFILES}))
         .filter(F.col("ecosystem").isNotNull())
         .select(
             "target", "ecosystem",
@@ -251,7 +251,7 @@ def lock_cover(files: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    covered = spread_join(manifests, locks, ["target", "ecosystem", "directory"], "left_semi", ["path"])
+    covered = manifests.join(locks, ["target", "ecosystem", "directory"], "left_semi")
     return covered.select("target", "path").distinct()
 
 

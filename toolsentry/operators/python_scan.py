@@ -56,7 +56,22 @@ def _call_rows(content: str) -> Iterator[tuple]:
                 k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True
                 for k in node.keywords
             )
-            yield node.lineno, module, func, _shape(node.args[0] if node.args else None), shell, None
+            yield node.lineno, module, func, _shape(node.args[0] if node.args else None), shell
+
+
+def _problem(content: str) -> str | None:
+    """Why a file can't be parsed."""
+    try:
+        ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
+        return type(problem).__name__
+    return None
+
+
+def _problems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        errors = batch.content.map(_problem)
+        yield batch[["target", "path"]].assign(error=errors)[errors.notna()]
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,14 +80,14 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for target, path, location, content in zip(batch.target, batch.path, batch.location, batch.content):
             try:
                 found = list(_call_rows(content))
-            except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
-                found = [(None, None, None, None, None, type(problem).__name__)]
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                continue  # listed by unparsed_sources
             rows += [(target, path, location, *row) for row in found]
         yield pd.DataFrame(rows, columns=_COLUMNS).astype({"line_no": "Int32", "shell_true": "boolean"})
 
 
 def call_sites(files: DataFrame) -> DataFrame:
-    """Calls of possible sinks in Python sources, plus one ``error`` row per unreadable file.
+    """Calls of possible sinks in Python sources that can be parsed.
 
     Files that name no sink never reach Python. Identifiers may be spelled with compatibility
     characters, so that test only excludes files that are plain ASCII.
@@ -103,7 +118,6 @@ def _python_sink() -> str:
 def python_sink_findings(files: DataFrame) -> DataFrame:
     judged = (
         call_sites(files)
-        .filter(F.col("error").isNull())
         .withColumn("sink", F.expr(_python_sink()))
         .filter(F.col("sink").isNotNull())
         .withColumn("demoted", is_test_path(F.col("path")) | is_build_path(F.col("path")))
@@ -114,5 +128,7 @@ def python_sink_findings(files: DataFrame) -> DataFrame:
 
 
 def unparsed_sources(files: DataFrame) -> DataFrame:
-    """Python files that could not be parsed; the audit skips them but does not hide them."""
-    return call_sites(files).filter(F.col("error").isNotNull()).select("target", "path", "error")
+    """``(target, path, error)`` of every Python file that can't be parsed, whatever it names: the audit skips
+    such files but does not hide them."""
+    sources = files.filter((F.col("role") == "source") & (F.col("ext") == ".py") & F.col("content").isNotNull())
+    return sources.select("target", "path", "content").mapInPandas(_problems, "target STRING, path STRING, error STRING")

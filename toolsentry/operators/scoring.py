@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
+from toolsentry.functions.text import severity_name
 
 COUNTS = ["critical", "high", "medium", "low", "info"]
 
@@ -40,28 +41,28 @@ def letter(points: Column) -> Column:
     return grade.otherwise(F.lit("F"))
 
 
+def listed(targets: DataFrame) -> DataFrame:
+    """``(target, error)``, each target once; one that any row lists with an error could not be read."""
+    return targets.groupBy("target").agg(F.min("error").alias("error"))
+
+
 def grade(findings: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(target, grade, score, total, counts…)``; targets without findings get full marks."""
-    counted = targets.select("target").distinct().join(severity_counts(findings), "target", "left")
-    counted = counted.na.fill(0, ["total", *COUNTS])
+    """``(target, error, grade, score, total, counts…)``, one row per listed target.
+
+    Targets without findings get full marks; targets that could not be read get no marks at all:
+    their grade and score are NULL, and what was found before the error is not counted.
+    """
+    scanned = F.col("error").isNull()
+    counted = listed(targets).join(severity_counts(findings), "target", "left")
+    counts = [F.when(scanned, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias(c) for c in ["total", *COUNTS]]
     points = score(F.col("critical"), F.col("high"), F.col("medium"), F.col("low"))
-    return counted.withColumn("score", points).select(
-        "target", letter(F.col("score")).alias("grade"), "score", "total", *COUNTS
-    )
+    marked = counted.select("target", "error", *counts).withColumn("score", F.when(scanned, points))
+    return marked.select("target", "error", F.when(scanned, letter(F.col("score"))).alias("grade"), "score", "total", *COUNTS)
 
 
 def corpus_summary(findings: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per listed target; targets that could not be read keep their error and no grade."""
-    scanned = F.col("error").isNull()
-    graded = grade(findings, targets)
-    joined = targets.select("target", "error").join(graded, "target", "left")
-    return joined.select(
-        "target",
-        "error",
-        F.when(scanned, F.col("grade")).alias("grade"),
-        F.when(scanned, F.col("score")).alias("score"),
-        *[F.when(scanned, F.col(c)).otherwise(F.lit(0).cast("bigint")).alias(c) for c in ["total", *COUNTS]],
-    )
+    """One row per listed target, as ``grade`` has it: the table that corpus reports are made of."""
+    return grade(findings, targets)
 
 
 def corpus_totals(summary: DataFrame) -> DataFrame:
@@ -83,14 +84,20 @@ def corpus_sort(summary: DataFrame) -> DataFrame:
 
 
 def gate(findings: DataFrame, targets: DataFrame, fail_on: str = "none") -> DataFrame:
-    """``(target, failed)``: whether a target has a finding at or above the threshold."""
+    """``(target, failed, reason)``: whether a target has a finding at or above the threshold.
+
+    A target that could not be read never passes, whatever the threshold; its error is the reason.
+    """
     thresholds = {name.lower(): level for level, name in enumerate(fv.SEVERITY_NAMES) if level > fv.INFO}
     threshold = thresholds.get(fail_on.lower())
+    unread = F.col("error").isNotNull()
     if threshold is None:
-        return targets.select("target").distinct().withColumn("failed", F.lit(False))
+        return listed(targets).select("target", unread.alias("failed"), F.col("error").alias("reason"))
     worst = findings.groupBy("target").agg(F.max("severity").alias("worst"))
-    return targets.select("target").distinct().join(worst, "target", "left").select(
-        "target", F.coalesce(F.col("worst") >= threshold, F.lit(False)).alias("failed")
+    severe = F.coalesce(F.col("worst") >= threshold, F.lit(False))
+    found = F.when(severe, F.concat(F.lit("worst finding: "), severity_name(F.col("worst"))))
+    return listed(targets).join(worst, "target", "left").select(
+        "target", (unread | severe).alias("failed"), F.when(unread, F.col("error")).otherwise(found).alias("reason")
     )
 
 

@@ -17,7 +17,7 @@ VERDICTS = "fingerprint STRING, note STRING"
 BASELINES = "target STRING, tool STRING, def_hash STRING, captured_at TIMESTAMP"
 CALL_SITES = (
     "target STRING, path STRING, location STRING, line_no INT, module STRING, func STRING, "
-    "arg_shape STRING, shell_true BOOLEAN, error STRING"
+    "arg_shape STRING, shell_true BOOLEAN"
 )
 
 FINDING_COLUMNS = [

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -20,10 +21,26 @@ RUNTIME_SETTINGS = {
 }
 
 
+#: The archive of each application; the folders last as long as this process, which serves them to executors.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to all Python workers of an application, once; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = _shipped[context.applicationId] = tempfile.TemporaryDirectory(prefix="toolsentry-")
+        copied = os.path.join(folder.name, "package", os.path.basename(package))
+        shutil.copytree(package, copied, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(os.path.join(folder.name, "toolsentry"), "zip", os.path.dirname(copied)))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings above on a session."""
+    """Set the runtime settings above on a session and ship the package to its workers."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -43,16 +60,6 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return configure(session)
 
 
-def spread_small(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Deal rows out by their key if their input has fewer splits than the session has cores.
-
-    Text scans are bound by CPU, so a small table in one row group would keep one core busy.
-    A table with enough splits is left as it is: no shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for a run's files below the shared folder ``spark.checkpoint.dir`` names.
 

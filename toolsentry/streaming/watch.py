@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from toolsentry.operators.drift import def_hash, drift, latest_baseline
 from toolsentry.operators.findings import finalize
-from toolsentry.operators.joins import spread_join
 from toolsentry.operators.rules import Rule
 from toolsentry.operators.text_scan import TEXT_DETECTORS, tool_findings
 
@@ -29,7 +28,7 @@ def stream_scan(
     columns = found.columns
     everywhere = allowlist.filter(F.col("target").isNull()).select("fingerprint", F.lit(True).alias("_all")).distinct()
     own = allowlist.filter(F.col("target").isNotNull()).select("target", "fingerprint", F.lit(True).alias("_own")).distinct()
-    marked = spread_join(found, everywhere, ["fingerprint"], "left", ["target"])
+    marked = found.join(everywhere, "fingerprint", "left")
     marked = marked.join(own, ["target", "fingerprint"], "left")
     return marked.filter(F.col("_all").isNull() & F.col("_own").isNull()).select(columns)
 
@@ -37,6 +36,9 @@ def stream_scan(
 def stream_drift(tools: DataFrame, baselines: DataFrame, late: str = "1 hour") -> DataFrame:
     """CHANGED and ADDED tools of a snapshot stream, each definition once per ``late`` window.
 
+    ``baselines`` is one snapshot, as ``read_baseline`` gives it: it is joined with every micro-batch as it is,
+    without aggregating the history again.
+
     Repeated captures of one definition are dropped with a watermark, so state stays bounded
     by the definitions seen within the window. A tool missing from a stream proves nothing;
     REMOVED needs a whole snapshot, see ``snapshot_drift``.
@@ -48,7 +50,7 @@ def stream_drift(tools: DataFrame, baselines: DataFrame, late: str = "1 hour") -
         .withWatermark("captured_at", late)
         .dropDuplicatesWithinWatermark(["target", "tool", "new_hash"])
     )
-    known = latest_baseline(baselines).withColumnRenamed("def_hash", "old_hash")
+    known = baselines.select("target", "tool", F.col("def_hash").alias("old_hash"))
     change = F.when(F.col("old_hash").isNull(), F.lit("ADDED")).when(
         F.col("old_hash") != F.col("new_hash"), F.lit("CHANGED")
     )
@@ -61,16 +63,28 @@ def stream_drift(tools: DataFrame, baselines: DataFrame, late: str = "1 hour") -
 
 
 def snapshot_drift(hashes: DataFrame, baselines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the full drift, REMOVED included, of each micro-batch of complete snapshots.
+    """Write the full drift, REMOVED included, of each snapshot that is complete.
 
-    ``hashes`` streams ``target, tool, def_hash``; every target in a batch must be complete
-    there. A batch that is run again after a failure replaces its own output.
+    ``hashes`` streams ``target, snapshot, n_tools, tool, def_hash``: a capture names its snapshot and how many tools it
+    has. Rows of a snapshot may come in several micro-batches; they are kept in ``{path}/seen`` until all are there, and
+    only then compared with ``baselines`` (one snapshot, as ``read_baseline`` gives it). So a capture that was cut in two
+    never shows tools as REMOVED. A batch that is run again after a failure replaces its own output.
     """
+    seen, kinds = f"{path}/seen", "target STRING, snapshot STRING, n_tools BIGINT, tool STRING, def_hash STRING"
 
     def compare(batch: DataFrame, batch_id: int) -> None:
-        present = batch.select("target").distinct()
-        known = latest_baseline(baselines).join(present, "target", "left_semi")
-        drift(batch, known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        so_far = spark.read.schema(f"{kinds}, batch BIGINT").parquet(seen).filter(F.col("batch") <= batch_id)
+        named = ["target", "snapshot"]
+        whole = so_far.groupBy(*named).agg(F.count_distinct("tool").alias("n"), F.max("n_tools").alias("n_tools"), F.max("batch").alias("last"))
+        complete = whole.filter((F.col("n") >= F.col("n_tools")) & (F.col("last") == batch_id)).select(*named)
+        tools = so_far.join(complete, named, "left_semi").groupBy(*named, "tool").agg(F.max("def_hash").alias("def_hash"))
+        asked = complete.join(baselines.select("target", "tool", "def_hash"), "target")
+        keyed = F.concat_ws("\x00", "target", "snapshot").alias("target")
+        changes = drift(tools.select(keyed, "tool", "def_hash"), asked.select(keyed, "tool", "def_hash"))
+        split = F.split("target", "\x00")
+        changes.withColumns({"target": split[0], "snapshot": split[1]}).write.mode("overwrite").parquet(f"{path}/drift/batch={batch_id}")
 
     return (
         hashes.writeStream.foreachBatch(compare)
