@@ -79,6 +79,15 @@ PAGE_COMMENTS = [
 ]
 
 
+# lines of target lists and allowlists; {} stands for the row's own mark
+TARGET_LINES = [
+    "https://git.example/r{}", "  /srv/pkg{}\t", "# note {}", "", "git@git.example:r{}", "http://h.example/{}", " \t ", "rel/{}#x",
+    "ftp://h.example/{}",
+]
+ALLOW_LINES = ["{}", " {}  # known", "# {}", "", "{}#old", "\t{}\t", "   # {}", "#"]
+PRUNED_PATHS = ["src", "node_modules/x", "a/.git/b", "build", "lib/dist", "Build", "buildx", ".venv/lib", "a.git", "x/__pycache__", "venv"]
+
+
 # -- credentials, put together here so that no whole token is stored in the repository ----------
 
 def _tail(length: int, alphabet: str = "Ab3Cd4Ef5Gh6Jk7Mn8Pq9Rs2Tu") -> str:

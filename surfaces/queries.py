@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaces import planted
+from surfaces import listings, planted
 from toolsentry.functions.text import is_build_path, is_test_path, split_lines
 from toolsentry.operators import drift as drifting
 from toolsentry.operators import line_scan, manifest_scan, python_scan, scoring, text_scan
@@ -330,6 +330,8 @@ REGISTRY: dict[str, Query] = {
     "drift_summary": drift_summary,
     "stream_scan_once": stream_scan_once,
     "stream_drift_once": stream_drift_once,
+    "rules_first_seen": lambda s, d: reports.rules_first_seen(kept_findings(s, d)).drop("title"),
+    **listings.QUERIES,
 }
 
 
