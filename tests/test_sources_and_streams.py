@@ -1,17 +1,19 @@
 """Reading trees, captures and lists; streams against their batch results."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from toolsentry.operators import drift, scoring
 from toolsentry.plans.audit import Audit
-from toolsentry.schemas import TOOLS
+from toolsentry.schemas import TARGETS, TOOLS
 from toolsentry.sources.files import exclude_paths, find_client_configs, read_files, write_files
 from toolsentry.sources.lists import allow_union, read_allowlist, read_targets
 from toolsentry.sources.tools import inspect_tools, read_captures
-from toolsentry.sources.tree import read_trees
+from toolsentry.sinks import tables
+from toolsentry.sources.tree import check_targets, read_root_allowlists, read_trees
 from toolsentry.streaming.watch import snapshot_drift, stream_drift, stream_scan
 
 
@@ -133,11 +135,38 @@ def test_stream_drift_drops_repeats_and_late_captures(spark, tmp_path):
     assert sorted((r.tool, r.change) for r in got.collect()) == [("a", "CHANGED"), ("c", "ADDED")]
 
 
-def test_snapshot_drift_reports_removed(spark, tmp_path):
-    schema = "target string, tool string, def_hash string"
-    base = spark.createDataFrame([("t", "a", "1"), ("t", "b", "1"), ("u", "a", "1")], schema).withColumn("captured_at", F.current_timestamp())
-    spark.createDataFrame([("t", "a", "2")], schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+def test_snapshot_drift_waits_for_whole_snapshots(spark, tmp_path):
+    schema = "target string, snapshot string, n_tools long, tool string, def_hash string"
+    base = spark.createDataFrame([("t", "a", "1"), ("t", "b", "1"), ("t", "c", "1"), ("u", "a", "1")], "target string, tool string, def_hash string")
+    source = str(tmp_path / "in")
+    # the first snapshot comes in two batches, the second one never comes whole
+    for rows in ([("t", "s1", 2, "a", "2")], [("t", "s1", 2, "b", "1"), ("u", "s2", 2, "a", "9")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     snapshot_drift(stream, base, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r.target, r.tool, r.change) for r in got.collect()) == [("t", "a", "CHANGED"), ("t", "b", "REMOVED")]
+    got = spark.read.parquet(str(tmp_path / "out" / "drift"))
+    assert sorted((r.target, r.snapshot, r.tool, r.change) for r in got.collect()) == [("t", "s1", "a", "CHANGED"), ("t", "s1", "c", "REMOVED")]
+
+
+def test_newest_baseline_is_read_alone(spark, tmp_path):
+    path = str(tmp_path / "base")
+    for snapshot, value in (("2024-01-01", "1"), ("2024-01-02", "2")):
+        hashes = spark.createDataFrame([("t", "a", value)], "target string, tool string, def_hash string")
+        tables.write_baseline(hashes, path, snapshot)
+    newest = tables.read_baseline(spark, path)
+    assert [r.def_hash for r in newest.collect()] == ["2"] and tables.read_baseline(spark, path, "2024-01-01").first().def_hash == "1"
+    assert re.search(r"PartitionFilters: .*snapshot#\d+ = 2024-01-02", newest._jdf.queryExecution().executedPlan().toString())
+
+
+def test_missing_roots_get_an_error_and_no_grade(spark, corpus):
+    listed = spark.createDataFrame([(str(corpus / "none"), "path", None), (str(corpus), "path", None), ("https://x", "git", "not fetched")], TARGETS)
+    checked = check_targets(listed)
+    assert {r.target: r.error for r in checked.collect()} == {str(corpus / "none"): "not a readable folder", str(corpus): None, "https://x": "not fetched"}
+    grades = {r.target: r.grade for r in Audit(files=read_trees(checked)).corpus(checked).collect()}
+    assert grades[str(corpus / "none")] is None and grades[str(corpus)] is not None
+
+
+def test_allowlists_of_roots(spark, corpus):
+    targets = spark.createDataFrame([(str(corpus), "path", None), (str(corpus / "none"), "path", None)], TARGETS)
+    got = {(r.target, r.fingerprint) for r in read_root_allowlists(targets, "allow").collect()}
+    assert got == {(str(corpus), "aaa"), (str(corpus), "bbb")}

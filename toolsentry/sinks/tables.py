@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolsentry.functions.text import sha256_prefix
@@ -30,6 +30,13 @@ def write_baseline(hashes: DataFrame, path: str, snapshot: str) -> None:
     )
 
 
+def read_baseline(spark: SparkSession, path: str, snapshot: str | None = None) -> DataFrame:
+    """One snapshot of a baseline table, the newest by name if none is given; other snapshots are not read."""
+    stored = spark.read.parquet(path)
+    named = snapshot if snapshot is not None else stored.agg(F.max("snapshot")).first()[0]
+    return stored.filter(F.col("snapshot") == F.lit(named))
+
+
 def new_allow_entries(entries: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Entries not yet on the allowlist, each once."""
     wanted, known = entries.select("target", "fingerprint").distinct().alias("n"), allowlist.alias("k")

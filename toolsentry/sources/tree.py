@@ -7,8 +7,9 @@ tasks, and a second pass reads contents. A huge target is listed by one task but
 
 from __future__ import annotations
 
+import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePath
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
 from toolsentry.sources.files import as_files
+from toolsentry.sources.lists import allowlist_from_lines
 
 _PRUNED = frozenset(fv.PRUNED_DIRS)
 _BY_NAME = frozenset(fv.CONFIG_NAMES + fv.NPM_LOCKFILES + fv.PYTHON_LOCKFILES)
@@ -37,9 +39,29 @@ def _walk(root: str) -> Iterator[str]:
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for target in batch.target:
-            rows = [(target, path) for path in _walk(target)]
-            for start in range(0, len(rows), 10_000):
-                yield pd.DataFrame(rows[start:start + 10_000], columns=["target", "path"])
+            paths = _walk(target)
+            while part := list(itertools.islice(paths, 10_000)):
+                yield pd.DataFrame({"target": target, "path": part})
+
+
+def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        errors = [None if os.path.isdir(t) and os.access(t, os.R_OK | os.X_OK) else "not a readable folder" for t in batch.target]
+        yield batch.assign(error=errors)
+
+
+def _root_lines(name: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for target in batch.target:
+                try:
+                    with open(os.path.join(target, name), encoding="utf-8", errors="ignore") as handle:
+                        while part := list(itertools.islice(handle, 10_000)):
+                            yield pd.DataFrame({"target": target, "value": part})
+                except OSError:
+                    continue
+
+    return read
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,6 +88,24 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
+def check_targets(targets: DataFrame) -> DataFrame:
+    """``targets`` with an error for each path that is no readable folder, so that it gets no grade.
+
+    ``read_trees`` gives no rows for such a target; only this tells it from a clean one.
+    """
+    unchecked = (F.col("kind") == "path") & F.col("error").isNull()
+    paths = targets.filter(unchecked).select("target", "kind", F.lit("").alias("error"))
+    checked = paths.mapInPandas(_check, "target STRING, kind STRING, error STRING")
+    return checked.unionByName(targets.filter(~unchecked).select("target", "kind", "error"))
+
+
+def read_root_allowlists(targets: DataFrame, name: str) -> DataFrame:
+    """``(target, fingerprint)`` of the allowlist that each tree has at ``name``, a path below its root."""
+    roots = targets.filter((F.col("kind") == "path") & F.col("error").isNull()).select("target").distinct()
+    lines = roots.mapInPandas(_root_lines(name), "target STRING, value STRING")
+    return allowlist_from_lines(lines, target=F.col("target"))
+
+
 def read_trees(targets: DataFrame, partitions: int | None = None) -> DataFrame:
     """Sources, configs and lockfile names below each ``kind = 'path'`` target.
 
