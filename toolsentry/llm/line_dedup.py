@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its five-word shingles (a shorter line is one token). Tokens are put in one order, rare ones
-first: rarity is counted in a fixed number of hash buckets over all lines. Two token sets with a Jaccard similarity of 4/5 or
+first: rarity is counted in a fixed number of hash buckets over all lines, and in classes. Two token sets with a Jaccard similarity of 4/5 or
 more share a token among the first ``n - ceil(4n/5) + 1`` of each (prefix filter), have similar sizes (length filter), and
 the places of the shared token leave room for enough other ones (positional filter). What passes is verified on all tokens.
 """
@@ -14,20 +14,22 @@ from pyspark.sql import functions as F
 from toolsentry.llm.tables import landed, text_key, texts
 
 SHINGLE = 5
-BUCKETS = 1 << 16
+BUCKETS, PACKED = 1 << 16, 15
 #: Sets of fewer tokens are similar enough only if they are equal.
 LEAST_TOKENS = 4
 
 
-def _words(line: str) -> Column:
-    return F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
+def _tokens(line: str) -> Column:
+    """Hashes of a line's distinct shingles; empty for a line without words. Words are bound to a name once:
+    plans that move or repeat the expression don't split the line again for every shingle."""
+    words = F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
 
+    def of_words(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
+        short = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        return F.array_distinct(F.when(F.size(w) < SHINGLE, short).otherwise(each))
 
-def _tokens(words: str) -> Column:
-    """Hashes of the shingles of a column of words."""
-    w = F.col(words)
-    each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
-    return F.when(F.size(w) < SHINGLE, F.array(F.xxhash64(w))).otherwise(each)
+    return F.get(F.transform(F.array(words), of_words), F.lit(0))
 
 
 def _bucket(token: Column) -> Column:
@@ -36,24 +38,37 @@ def _bucket(token: Column) -> Column:
 
 def tokenized(keyed: DataFrame) -> DataFrame:
     """``(doc_id, key, line_no, tokens)`` of every line that has words; lines are numbered from 0."""
-    lines = keyed.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "key", "line_no", _words("line").alias("words")).filter(F.size("words") > 0)
-    return words.select("doc_id", "key", "line_no", F.array_distinct(_tokens("words")).alias("tokens"))
+    # the outer form: a filter that the plan would infer for the inner one splits every text twice
+    lines = keyed.select("doc_id", "key", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(F.rlike("line", F.lit(r"\S"))).select("doc_id", "key", "line_no", _tokens("line").alias("tokens"))
 
 
 def rarity(lines: DataFrame) -> Column:
-    """An array of ``BUCKETS`` small numbers: the logarithm of how many tokens of all lines fall into each bucket."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
-    buckets = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    level = F.coalesce(F.floor(F.log2("n")), F.lit(0)).cast("bigint").alias("level")
-    levels = buckets.join(counts, "bucket", "left").select("bucket", level)
-    return levels.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"])).scalar()
+    """How frequent the tokens of each bucket are among all lines, in 16 classes of the logarithm against the mean.
+
+    A table of ``BUCKETS`` classes, 15 of them in each number of an array: its size is fixed, so it is part of the plan.
+    """
+    counts = lines.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = landed(counts, "rarity")
+    mean = counts.agg(F.sum("n")).first()[0]
+    level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.col("n") * BUCKETS / F.lit(float(mean or 1)))) + 1)).cast("bigint")
+    packed = counts.select((F.col("bucket") / PACKED).cast("int").alias("at"), F.call_function("shiftleft", level, 4 * (F.col("bucket") % PACKED)).alias("levels"))
+    table = [0] * (BUCKETS // PACKED + 1)
+    for row in packed.groupBy("at").agg(F.bit_or("levels").alias("levels")).collect():
+        table[row["at"]] = row["levels"]
+    return F.expr(f"array({', '.join(f'{v}L' for v in table)})")
+
+
+def _level(levels: Column, token: Column) -> Column:
+    bucket = _bucket(token)
+    return F.call_function("shiftright", F.get(levels, (bucket / PACKED).cast("int")), 4 * (bucket % PACKED)).bitwiseAND(F.lit(15))
 
 
 def ordered_sets(lines: DataFrame) -> DataFrame:
     """``(doc_id, line_no, key, signature, n, prefix)``: each line's set by its signature, size and first tokens."""
-    rank = F.transform("tokens", lambda t: F.shiftleft(F.get(F.col("levels"), _bucket(t)), 57).bitwiseOR(F.shiftrightunsigned(t, 7)))
-    ranked = lines.withColumn("levels", rarity(lines)).select("doc_id", "line_no", "key", F.sort_array(rank).alias("ranked"))
+    levels = rarity(lines)
+    rank = F.transform("tokens", lambda t: F.shiftleft(_level(levels, t), 58).bitwiseOR(F.shiftrightunsigned(t, 6)))
+    ranked = lines.select("doc_id", "line_no", "key", F.sort_array(rank).alias("ranked"))
     n = F.size("ranked")
     first = F.slice("ranked", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
     prefix = F.when(n >= LEAST_TOKENS, F.transform(first, lambda t: F.hash(t)))
@@ -85,9 +100,9 @@ def later_lines(keyed: DataFrame) -> DataFrame:
     chosen = firsts.join(wanted, "signature").select("signature", "first.*")
     by_doc = chosen.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("numbers"))
     holding = keyed.join(by_doc, ["doc_id", "key"])
-    shown = holding.select("doc_id", "key", "numbers", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.array_contains("numbers", F.col("line_no")))
-    words = shown.select("doc_id", "key", "line_no", _words("line").alias("words"))
-    full = words.select("doc_id", "key", "line_no", F.array_distinct(_tokens("words")).alias("tokens")).dropDuplicates(["doc_id", "key", "line_no"])
+    lines = holding.select("doc_id", "key", "numbers", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    shown = lines.filter(F.array_contains("numbers", F.col("line_no")))
+    full = shown.select("doc_id", "key", "line_no", _tokens("line").alias("tokens")).dropDuplicates(["doc_id", "key", "line_no"])
     known = chosen.join(full, ["doc_id", "key", "line_no"]).select("signature", "tokens", F.struct("doc_id", "line_no", "key").alias("first"))
     both = pairs
     for side in ("a", "b"):
