@@ -1,0 +1,65 @@
+"""DuckDB SQL for the operators that SQL can express over whole tables of moderate size."""
+
+from __future__ import annotations
+
+SPACE = r"'[\t-\r ]+'"
+WORDS = f"list_filter(regexp_split_to_array(coalesce({{}}, ''), {SPACE}), lambda w: w <> '')"
+
+LINE_DEDUP = f"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM docs),
+worded AS (SELECT doc_id, line_no, {WORDS.format('line')} AS w FROM lines),
+sets AS (
+  SELECT doc_id, line_no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS tokens
+  FROM worded WHERE len(w) > 0),
+tokens AS (SELECT doc_id, line_no, len(tokens) AS n, unnest(tokens) AS token FROM sets),
+gone AS (
+  SELECT DISTINCT doc_id, line_no FROM (
+    SELECT b.doc_id, b.line_no, a.doc_id AS other, a.line_no AS other_line, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS shared
+    FROM tokens a JOIN tokens b ON a.token = b.token AND (a.doc_id, a.line_no) < (b.doc_id, b.line_no)
+    GROUP BY ALL HAVING 9 * count(*) >= 4 * (any_value(a.n) + any_value(b.n)))),
+numbers AS (SELECT doc_id, list(line_no) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(parts), 0)::INTEGER AS n_lines, coalesce(len(gone), 0)::INTEGER AS n_removed,
+  CASE WHEN text IS NOT NULL THEN sha256(array_to_string(
+    [p FOR p, i IN parts IF NOT list_contains(coalesce(gone, []), i)], chr(10))) END AS kept_sha256
+FROM docs d LEFT JOIN numbers n ON n.doc_id = d.doc_id"""
+
+DEBRUIJN_DEDUP = f"""
+WITH docs AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)),
+firsts AS (SELECT s, min(doc_id) AS source FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS place FROM windows JOIN firsts USING (s), range(0, 50) AS steps(k) WHERE source < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM docs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
+SUFFIX_DEDUP = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substring(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM docs)),
+firsts AS (SELECT s, min(doc_id) AS source FROM windows GROUP BY s),
+starts AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE source < doc_id),
+marked AS (
+  SELECT doc_id, i, i > coalesce(max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh
+  FROM starts),
+numbered AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, span, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans),
+pieces AS (
+  SELECT doc_id, min(a) AS first, sum(z - a) AS removed, count(*) AS n,
+    string_agg(substring(h, 2 * z - 1, 2 * (coalesce(next, length(h) // 2 + 1) - z)), '' ORDER BY a) AS rest
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN first IS NULL THEN h ELSE substring(h, 1, 2 * first - 2) || rest END)) AS kept_sha256
+FROM docs d LEFT JOIN pieces p ON p.doc_id = d.doc_id"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op7_suffix_dedup": SUFFIX_DEDUP, "op9_line_dedup": LINE_DEDUP, "op10_debruijn_dedup": DEBRUIJN_DEDUP}

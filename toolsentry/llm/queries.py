@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from toolsentry.llm import oracles
 from toolsentry.llm.debruijn_dedup import debruijn_dedup
 from toolsentry.llm.decontaminate import leaks
 from toolsentry.llm.license_scan import license_scan
@@ -61,4 +62,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | oracles.oracle_sql()
