@@ -208,7 +208,7 @@ def python_loose(requirement: str, name: str) -> str:
 
 def lookalike(name: str) -> str:
     """The alphabetically first popular package at edit distance one, or NULL."""
-    near = f"abs(length(popular) - length({name})) <= 1 AND levenshtein({name}, popular) = 1"
+    near = f"abs(length(popular) - length({name})) <= 1 AND levenshtein({name}, popular, 1) = 1"
     return f"array_min(filter({sql.array(fv.POPULAR_PACKAGES)}, popular -> {near}))"
 
 
