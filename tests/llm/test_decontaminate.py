@@ -55,7 +55,7 @@ def test_candidates_recall_against_all_windows(spark):
     texts = pa.array([t for _, t in docs], pa.large_string())
     hashes, places = dec.hashed_words(texts)
     found, want = set(), set()
-    for text, first, size, latent in dec.windows(hashes, places, space, dec.COSINE):
+    for text, first, size, latent in dec.windows(hashes, places, space, dec.weighted_axes(space), dec.COSINE):
         found |= {(int(first[a]), int(size[a]), int(i)) for a, i in np.argwhere(latent @ directions.T >= dec.COSINE)}
     row, bucket, value = dec.vectors(pa.array([r.text for r in rows], pa.large_string()), weight)
     dense = np.zeros((len(rows), dec.FEATURES), np.float32)

@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from toolsentry.llm import arrays, repeats
+from toolsentry.llm import suffix_dedup as suffixes
 from toolsentry.llm.debruijn_dedup import debruijn_dedup
 from toolsentry.llm.suffix_dedup import suffix_dedup
 
@@ -57,6 +59,17 @@ def test_bytes_equal_brute_force(spark, shuffle):
     assert got == want and sum(r[2] for r in got) > 3000
 
 
+def test_cores_that_fill_several_ranges(spark, monkeypatch):
+    """Splitters within nearly all cores: their windows go by their own hashes."""
+    docs = corpus()
+    table = pa.table({"doc_id": [i for i, _ in docs if i is not None], "text": [t or "" for i, t in docs if i is not None]})
+    keys = np.unique(suffixes.Slice(table, 50, 16).key)
+    monkeypatch.setattr(suffixes, "sampled_splitters", lambda *_: keys[::2])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(frame).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())
+    assert got == sorted((i, n, r, s) for i, n, r, s, _ in brute(docs, lambda t: t.encode(), 50))
+
+
 def test_words_equal_brute_force(spark):
     docs = corpus()
     frame = spark.createDataFrame([(t, i) for i, t in docs], "text string, doc_id long").repartition(5)

@@ -8,7 +8,6 @@ sums: two spans of equal bytes have equal hashes wherever they stand.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +53,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=4)
+_cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASES[which]
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(size, b, np.uint64)
-        steps[0] = 1
-        both.append(np.multiply.accumulate(steps))
-    return both[0], both[1]
+    """Powers of a base and of its inverse, at least ``size`` of each; the longest made so far serve all."""
+    if which not in _cached or len(_cached[which][0]) < size:
+        base, both = _BASES[which], []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(size, b, np.uint64)
+            steps[0] = 1
+            both.append(np.multiply.accumulate(steps))
+        _cached[which] = both[0], both[1]
+    return _cached[which]
 
 
 def prefix(symbols: np.ndarray, which: int = 0) -> np.ndarray:

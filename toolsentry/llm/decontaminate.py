@@ -3,7 +3,7 @@
 Words (lower-case letters, digits and characters beyond ASCII) fall into ``FEATURES`` hash buckets. A bucket's weight is its
 inverse frequency among all passages of all documents. A randomised SVD of the benchmark's TF-IDF passages, whose products
 with the test matrix are summed by Spark, gives the latent space (Halko, Martinsson and Tropp, Finding Structure with
-Randomness, 2011). Every window of 16, 32 and 64 words of every document is projected, and windows whose cosine with an
+Randomness, 2011). Windows of 32 and 64 words, which begin at every half of their length, are projected, and windows whose cosine with an
 item reaches ``COSINE`` are candidates. A candidate is a leak if the longest common subsequence of item and surroundings
 holds enough of the item's words, and enough of its answer, the item's last sentence, is there in order.
 """
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from toolsentry.llm.arrays import LETTERS, byte_prefix, flat, mixed, slices, span_hash, words
 from toolsentry.llm.tables import arrow_schema, texts
 
-FEATURES, RANK, OVERSAMPLE, POWER = 1 << 16, 256, 32, 2
-BLOCK, SCALES, PASSAGE = 8, (2, 4, 8), 64
-COSINE, LCS_SHARE, ANSWER_SHARE, STRETCH = 0.3, 0.6, 0.5, 2
+FEATURES, RANK, OVERSAMPLE, POWER = 1 << 18, 128, 32, 2
+BLOCK, SCALES, PASSAGE = 8, (4, 8), 64
+COSINE, LCS_SHARE, ANSWER_SHARE = 0.35, 0.6, 0.5
 ITEMS_AT_ONCE = 4096
 
 OUT, OUT_DDL = arrow_schema([
@@ -176,7 +176,13 @@ def prepared(rows: list, space: Space) -> tuple[list[Item], np.ndarray]:
     return items, made / np.maximum(norm, 1e-12)
 
 
-def windows(hashes: np.ndarray, places: np.ndarray, space: Space, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def weighted_axes(space: Space) -> np.ndarray:
+    """Each known bucket's coordinates times its weight, and a row of zeros."""
+    rows = space.axes * space.weights[space.buckets, None].astype(np.float32)
+    return np.concatenate([rows, np.zeros((1, rows.shape[1]), np.float32)])
+
+
+def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows that may reach the cosine with some item: text, first word, number of words, and latent vector
     divided by the window's own length in TF-IDF."""
     sizes = np.diff(places)
@@ -211,12 +217,14 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, cosine: float)
     used = np.cumsum(marks[:-1]) > 0
     number = np.cumsum(used) - 1
     word = np.flatnonzero(known & used[block])
-    latent = np.zeros((int(used.sum()), space.axes.shape[1]), np.float32)
-    for a in range(0, len(word), 1 << 15):
-        w = word[a:a + (1 << 15)]
-        to = number[block[w]]
-        new = np.flatnonzero(np.diff(to, prepend=-1))
-        latent[to[new]] += np.add.reduceat(space.axes[at[w]] * weight[w, None].astype(np.float32), new, axis=0)
+    # a block's words side by side; places without a known word hold the row of zeros
+    held = np.full((int(used.sum()), BLOCK), len(space.buckets))
+    held[number[block[word]], (word - places[text_of[block[word]]]) % BLOCK] = at[word]
+    latent = np.zeros((len(held), weighted.shape[1]), np.float32)
+    for a in range(0, len(held), 1 << 12):
+        part = latent[a:a + (1 << 12)]
+        for place in range(BLOCK):
+            part += weighted[held[a:a + (1 << 12), place]]
     for a in range(0, len(start), 1 << 13):
         s, e = start[a:a + (1 << 13)], stop[a:a + (1 << 13)]
         made = np.zeros((len(s), latent.shape[1]), np.float32)
@@ -230,6 +238,25 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, cosine: float)
         yield text, word0, word1 - word0, made
 
 
+def regions(found: np.ndarray, scores: np.ndarray, places: np.ndarray, asked: list[Item]) -> Iterator[tuple[int, int, int, int, float]]:
+    """Text, item, stretch of words and best cosine: windows of one item that lie within its length of each other
+    are one stretch, with as many words on either side as the item has."""
+    size = np.array([len(item.words) for item in asked])[found[:, 1]]
+    start = np.maximum(found[:, 2] - size, places[found[:, 0]])
+    stop = np.minimum(found[:, 3] + size, places[found[:, 0] + 1])
+    order = np.lexsort((start, found[:, 1], found[:, 0]))
+    now: list | None = None
+    for t, i, a, b, score in zip(found[order, 0].tolist(), found[order, 1].tolist(), start[order].tolist(), stop[order].tolist(), scores[order].tolist()):
+        if now and now[0] == t and now[1] == i and a <= now[3]:
+            now[3], now[4] = max(now[3], b), max(now[4], score)
+            continue
+        if now:
+            yield tuple(now)
+        now = [t, i, a, b, score]
+    if now:
+        yield tuple(now)
+
+
 def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE) -> DataFrame:
     """``(doc_id, item_id, cosine, lcs_share, answer_share, first_word, n_words)``: the best place of each item in each document
     that leaks it. Words are counted from 0.
@@ -255,28 +282,34 @@ def _of_block(docs: DataFrame, rows: list, space: Space, cosine: float, lcs_shar
     asked, directions = prepared(rows, space)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighted = weighted_axes(space)
         for part in slices(batches, limit=1 << 20):
             hashes, places = hashed_words(part.column("text"))
             if not len(hashes) or not len(space.buckets):
                 continue
+            places_, rows_ = [], []
+            for text, first, size, latent in windows(hashes, places, space, weighted, cosine):
+                scores = latent @ directions.T
+                at, i = np.nonzero(scores >= cosine)
+                places_.append(np.stack([text[at], i, first[at], first[at] + size[at]], 1))
+                rows_.append(scores[at, i])
+            if not places_:
+                continue
+            found, scores = np.concatenate(places_), np.concatenate(rows_)
             best: dict[tuple[int, int], tuple] = {}
-            for text, first, size, vectors_ in windows(hashes, places, space, cosine):
-                scores = vectors_ @ directions.T
-                for at, i in np.argwhere(scores >= cosine):
-                    item, t = asked[i], int(text[at])
-                    m = len(item.words)
-                    a = max(int(places[t]), int(first[at]) - m)
-                    b = min(int(places[t + 1]), int(first[at] + size[at]) + m)
-                    share = common(item.words, near := hashes[a:b].tolist()) / m
-                    if share < lcs_share:
-                        continue
-                    answered = common(item.answer, near) / len(item.answer) if item.answer else 1.0
-                    row = (round(float(scores[at, i]), 4), round(share, 4), round(answered, 4), a - int(places[t]), b - a)
-                    if answered >= answer_share and row[1::-1] > best.get((t, int(i)), (0, 0))[1::-1]:
-                        best[t, int(i)] = row
+            for t, i, a, b, score in regions(found, scores, places, asked):
+                item, near = asked[i], hashes[a:b].tolist()
+                share = common(item.words, near) / len(item.words)
+                if share < lcs_share:
+                    continue
+                answered = common(item.answer, near) / len(item.answer) if item.answer else 1.0
+                row = (round(share, 4), round(score, 4), round(answered, 4), a - int(places[t]), b - a)
+                if answered >= answer_share and row[:2] > best.get((t, i), (0, 0))[:2]:
+                    best[t, i] = row
             keys = sorted(best)
             ids = part.column("doc_id").take(pa.array([t for t, _ in keys], pa.int64()))
-            columns = list(zip(*(best[k] for k in keys))) or [()] * 5
+            share, score, *rest = list(zip(*(best[k] for k in keys))) or [()] * 5
+            columns = [score, share, *rest]
             yield pa.RecordBatch.from_arrays([ids, pa.array([asked[i].item_id for _, i in keys], pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(OUT)[2:]))], schema=OUT)
 
     return docs.mapInArrow(find, OUT_DDL)

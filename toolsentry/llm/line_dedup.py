@@ -15,6 +15,7 @@ from toolsentry.llm.tables import landed, text_key, texts
 
 SHINGLE = 5
 BUCKETS, PACKED = 1 << 16, 15
+WIDEST = (1 << 16) - 1
 #: Sets of fewer tokens are similar enough only if they are equal.
 LEAST_TOKENS = 4
 
@@ -76,13 +77,22 @@ def ordered_sets(lines: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """``(a, b)``: signatures of different sets that pass the prefix, length and positional filters."""
-    index = sets.filter("prefix is not null").select("signature", "n", F.posexplode("prefix").alias("at", "token"))
-    a = index.select("token", F.col("signature").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    b = index.select("token", F.col("signature").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    similar_sizes = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & similar_sizes & (9 * most >= 4 * (F.col("n_a") + F.col("n_b"))))
+    """``(a, b)``: signatures of different sets that pass the prefix, length and positional filters.
+
+    An entry of the index is two numbers: the signature, and token, size and place packed into one. Sizes and places
+    beyond ``WIDEST`` are not told apart, and the filters let such pairs pass.
+    """
+    entries = sets.filter("prefix is not null").select("signature", "n", F.posexplode_outer("prefix").alias("at", "token"))
+    size, place = (F.least(F.col(c), F.lit(WIDEST)).cast("bigint") for c in ("n", "at"))
+    entry = F.shiftleft(F.col("token").cast("bigint"), 32).bitwiseOR(F.shiftleft(size, 16)).bitwiseOR(place)
+    index = entries.select("signature", entry.alias("entry"))
+    a = index.select(F.col("signature").alias("a"), F.col("entry").alias("entry_a"))
+    b = index.select(F.col("signature").alias("b"), F.col("entry").alias("entry_b"))
+    (n_a, at_a), (n_b, at_b) = ((F.shiftright(e, 16).bitwiseAND(F.lit(WIDEST)), F.col(e).bitwiseAND(F.lit(WIDEST))) for e in ("entry_a", "entry_b"))
+    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
+    enough = (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * most >= 4 * (n_a + n_b))
+    same = F.shiftright("entry_a", 32) == F.shiftright("entry_b", 32)
+    met = a.join(b, same & (F.col("a") < F.col("b")) & (enough | (n_a == WIDEST) | (n_b == WIDEST)))
     return met.select("a", "b").distinct()
 
 

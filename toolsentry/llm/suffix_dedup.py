@@ -1,50 +1,265 @@
 """Exact substring deduplication over bytes by range-partitioned suffixes.
 
-Only suffixes that begin a run of windows (``repeats``) are sorted. Spark samples splitters and range-partitions
-the suffixes by a hash of their leading bytes (the run's core), each range is sorted by core, span and document,
-and neighbours are compared there. Splitters lie between cores, so suffixes of equal leading bytes meet in one
-range and no comparison is lost at a boundary. Windows of suffixes that agree in their leading bytes and branch later
-are sorted once more as suffixes of their own, by all their bytes.
+Documents are dealt into slices of a few megabytes. Only suffixes that begin a run of windows (``repeats``) are
+compared; each has a core, the hash of its leading bytes (its anchor), and a span, the hash of all the bytes of its
+run. A slice sends every distinct pair of core and span once, with the first document that holds it, so a string with very many
+copies moves a pair for each slice. Splitters sampled from the pairs cut them into ranges; a range sorts its pairs by core,
+then span, and compares neighbours:
+
+- a span that an earlier document holds is repeated as a whole;
+- a core with several spans branches somewhere behind or before its leading bytes: the first documents of its spans send
+  the bytes of their runs, the range sorts all windows in them and answers which ones an earlier document holds.
+
+A core that fills several ranges has a splitter within it. Its pairs are taken as branching on either side of the boundary,
+and its windows are sent one by one and ranged by their own hashes, so nothing is lost at a boundary and no range gathers a
+whole core. Answers go back to the slices that hold the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from toolsentry.llm import repeats
-from toolsentry.llm.tables import arrow_schema, landed, texts
+from toolsentry.llm.arrays import anchors, byte_prefix, flat, mixed, span_hash
+from toolsentry.llm.tables import arrow_schema, texts
 
 LENGTH, LEADING = 50, 16
+SLICE_BYTES, RANGE_BYTES, SAMPLE = 1 << 20, 16 << 20, 64
+
+SENT, SENT_DDL = arrow_schema([("bucket", pa.int32()), ("slice", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
+ANSWER, ANSWER_DDL = arrow_schema([("slice", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("content", pa.binary())])
 OUT, OUT_DDL = arrow_schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
     ("kept_sha256", pa.string()), ("kept", pa.binary()),
 ])
+#: A pair: 48 bits of the core and 16 of the span, then 32 more of the span, then the document's id.
+PAIR = np.dtype([("key", "<u8"), ("more", "<u4"), ("doc", "<u2")])
+RUN = np.dtype([("key", "<u8"), ("more", "<u4"), ("doc", "<u2"), ("size", "<u2")])
+MASK = np.dtype([("key", "<u8"), ("more", "<u4"), ("mask", "<u8")])
+REPEATED, OPEN, SINGLE, PARTS = 0, 1, 2, 3
+_CORE = np.uint64(0xFFFFFFFFFFFF0000)
+
+
+class Slice:
+    """The runs of the texts of a slice, and their distinct pairs, each with the first document that holds it."""
+
+    def __init__(self, table: pa.Table, length: int, leading: int):
+        table = table.combine_chunks()
+        self.ids = table.column("doc_id").to_numpy()
+        column = table.column("text")
+        self.data, self.bounds = flat(column.chunk(0) if column.num_chunks else pa.array([], pa.string()))
+        self.length = length
+        none = np.zeros(0, np.int64)
+        self.first, self.count, self.text = none, none, none
+        self.sums = byte_prefix(self.data)
+        cores = none.view(np.uint64)
+        if len(self.data) >= length:
+            at = np.arange(len(self.data) - leading + 1)
+            hashes = span_hash(self.sums, at, at + leading)
+            self.first, self.count, where = anchors(hashes, self.bounds, length, leading)
+            self.text = np.searchsorted(self.bounds, self.first, "right") - 1
+            cores = hashes[where]
+        spans = span_hash(self.sums, self.first, self.first + self.count + length - 1)
+        self.key, self.more = (cores & _CORE) | (spans >> np.uint64(48)), (spans & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def single(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of some runs: places, texts, keys and further bits."""
+        count = self.count[runs]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = np.repeat(self.first[runs], count) + step
+        key = span_hash(self.sums, first, first + self.length)
+        other = span_hash(byte_prefix(self.data, 1), first, first + self.length, 1) if len(first) else key
+        return first, np.repeat(self.text[runs], count), key, (other >> np.uint64(32)).astype(np.uint32)
+
+
+def grouped(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs by core, then span, and where in that order a new pair begins."""
+    order = np.lexsort((more, key))
+    k, m = key[order], more[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    return order, np.flatnonzero(new)
+
+
+def sent(ids: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, splitters: np.ndarray, number: int) -> pa.Table:
+    """Distinct pairs with their first documents, one row for each range that they fall into.
+
+    ``content`` has the ids of the documents named, then the pairs, whose documents are places in those ids.
+    """
+    order, begin = grouped(key, more)
+    first = np.minimum.reduceat(doc[order], begin) if len(begin) else doc
+    key, more = key[order][begin], more[order][begin]
+    bucket = np.searchsorted(splitters, key, "right")
+    rows = []
+    for b in np.unique(bucket):
+        # pairs are in order of their key, so a range is one stretch of them
+        a, z = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
+        for c in range(a, z, 1 << 16):
+            part = slice(c, min(z, c + (1 << 16)))
+            named, at = np.unique(first[part], return_inverse=True)
+            pairs = np.zeros(len(at), PAIR)
+            pairs["key"], pairs["more"], pairs["doc"] = key[part], more[part], at
+            rows.append((int(b), number, len(named), named.astype("<i8").tobytes() + pairs.tobytes()))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)] if rows else [pa.array([], f.type) for f in SENT], schema=SENT)
+
+
+def sent_runs(part: Slice, runs: np.ndarray, splitters: np.ndarray, number: int) -> pa.Table:
+    """Runs with all their bytes, one row for each range of cores."""
+    runs = runs[np.argsort(part.key[runs], kind="stable")]
+    bucket = np.searchsorted(splitters, part.key[runs] & _CORE, "right")
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(runs) else np.zeros(0, np.int64)
+    rows = []
+    for a, z in zip(edges.tolist(), np.append(edges[1:], len(runs)).tolist()):
+        for c in range(a, z, 1 << 16):
+            own = runs[c:min(z, c + (1 << 16))]
+            named, at = np.unique(part.ids[part.text[own]], return_inverse=True)
+            size = part.count[own] + part.length - 1
+            heads = np.zeros(len(own), RUN)
+            heads["key"], heads["more"], heads["doc"], heads["size"] = part.key[own], part.more[own], at, size
+            places = np.repeat(part.first[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            content = named.astype("<i8").tobytes() + np.int64(len(own)).tobytes() + heads.tobytes() + part.data[places].tobytes()
+            rows.append((int(bucket[c]), number, len(named), content))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)] if rows else [pa.array([], f.type) for f in SENT], schema=SENT)
+
+
+def compare_windows(length: int) -> Callable[[pa.Table], pa.Table]:
+    """Compares the windows of all runs of a range; answers each run with a mask of those that an earlier document holds."""
+
+    def of_range(table: pa.Table) -> pa.Table:
+        heads, docs, contents, origin = [], [], [], []
+        numbers = table.column("slice").to_pylist()
+        for row, (n, content) in enumerate(zip(table.column("n").to_pylist(), table.column("content"))):
+            raw = np.frombuffer(content.as_buffer(), np.uint8)
+            count = int(raw[8 * n:8 * n + 8].view("<i8")[0])
+            end = 8 * n + 8 + count * RUN.itemsize
+            heads.append(raw[8 * n + 8:end].view(RUN))
+            docs.append(raw[:8 * n].view("<i8")[heads[-1]["doc"]])
+            contents.append(raw[end:])
+            origin.append(np.full(count, row))
+        head, doc, data, origin = map(np.concatenate, (heads, docs, contents, origin))
+        size = head["size"].astype(np.int64)
+        count = size - length + 1
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = np.repeat(np.cumsum(size) - size, count) + step
+        key, other = (span_hash(byte_prefix(data, w), first, first + length, w) for w in (0, 1))
+        gone = later(key, (other >> np.uint64(32)).astype(np.uint32), np.repeat(doc, count))[0]
+        masks = np.bitwise_or.reduceat(np.where(gone, np.uint64(1) << step.astype(np.uint64), np.uint64(0)), np.cumsum(count) - count)
+        rows = []
+        edges = np.searchsorted(origin, np.arange(len(numbers) + 1))
+        for row, number in enumerate(numbers):
+            own = np.arange(edges[row], edges[row + 1])
+            own = own[masks[own] != 0]
+            if len(own):
+                answer = np.zeros(len(own), MASK)
+                answer["key"], answer["more"], answer["mask"] = head["key"][own], head["more"][own], masks[own]
+                rows.append((number, PARTS, len(own), answer.tobytes()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWER)] if rows else [pa.array([], f.type) for f in ANSWER], schema=ANSWER)
+
+    return of_range
+
 
+def compare(splitters: np.ndarray, kind: int) -> Callable[[pa.Table], pa.Table]:
+    """Compares the pairs of a range and answers each slice: pairs that an earlier document holds and, for runs, pairs
+    that the slice holds first and whose core branches."""
 
-def compared(rows: DataFrame) -> DataFrame:
-    """Sorted suffixes with the first document of their span, and whether their core branches between documents."""
-    by_core, by_span = W.partitionBy("core"), W.partitionBy("core", "span")
-    ranged = rows.repartitionByRange("core").sortWithinPartitions("core", "span")
-    return ranged.select(
-        "*", F.min("doc_id").over(by_span).alias("source"),
-        ((F.min("span").over(by_core) < F.max("span").over(by_core)) & (F.min("doc_id").over(by_core) < F.max("doc_id").over(by_core))).alias("branches"),
-    ).filter("source < doc_id or branches").select("doc_id", "key", "place", (F.col("source") < F.col("doc_id")).alias("repeated"))
+    def of_range(table: pa.Table) -> pa.Table:
+        keys, mores, docs, origin, slices_ = [], [], [], [], table.column("slice").to_pylist()
+        for row, (n, content) in enumerate(zip(table.column("n").to_pylist(), table.column("content"))):
+            raw = np.frombuffer(content.as_buffer(), np.uint8)
+            named, pairs = raw[:8 * n].view("<i8"), raw[8 * n:].view(PAIR)
+            keys.append(pairs["key"])
+            mores.append(pairs["more"])
+            docs.append(named[pairs["doc"]])
+            origin.append(np.full(len(pairs), row))
+        key, more, doc, origin = map(np.concatenate, (keys, mores, docs, origin))
+        order, begin = grouped(key, more)
+        size = np.diff(np.append(begin, len(key)))
+        key, more, doc, origin = key[order], more[order], doc[order], origin[order]
+        source = np.minimum.reduceat(doc, begin)
+        repeated = doc > np.repeat(source, size)
+        outcome = [(REPEATED if kind == OPEN else SINGLE, repeated)]
+        if kind == OPEN:
+            core = key[begin] & _CORE
+            start = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
+            spans = np.diff(np.append(start, len(core)))
+            several = np.minimum.reduceat(source, start) < np.maximum.reduceat(np.maximum.reduceat(doc, begin), start)
+            cut = np.isin(core[start], splitters & _CORE)
+            branches = np.repeat(np.repeat(cut | (several & (spans > 1)), spans), size)
+            outcome.append((OPEN, branches & ~repeated))
+        rows = []
+        for what, chosen in outcome:
+            at = np.flatnonzero(chosen)
+            at = at[np.argsort(origin[at], kind="stable")]
+            edges = np.searchsorted(origin[at], np.arange(len(slices_) + 1))
+            for row, number in enumerate(slices_):
+                own = at[edges[row]:edges[row + 1]]
+                if len(own):
+                    answer = np.zeros(len(own), PAIR)
+                    answer["key"], answer["more"] = key[own], more[own]
+                    rows.append((number, what, len(own), answer.tobytes()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWER)] if rows else [pa.array([], f.type) for f in ANSWER], schema=ANSWER)
 
+    return of_range
 
-def repeated_places(docs: DataFrame, length: int = LENGTH, leading: int = LEADING) -> DataFrame:
-    """``(doc_id, key, place)`` of runs of windows that also start in a document with a smaller id."""
-    first = landed(compared(repeats.runs(docs, repeats.bytes_of, length, leading)), "suffixes")
-    single = repeats.windows(docs, first.filter("not repeated"), repeats.bytes_of, length)
-    ranged = single.repartitionByRange("core")
-    again = ranged.withColumn("source", F.min("doc_id").over(W.partitionBy("core"))).filter("source < doc_id")
-    columns = ["doc_id", "key", "place"]
-    return first.filter("repeated").select(columns).unionByName(again.select(columns))
+
+def answered(answers: pa.Table, kind: int) -> np.ndarray:
+    """The entries of a slice's answers of a kind."""
+    what = MASK if kind == PARTS else PAIR
+    rows = [c.as_buffer() for k, c in zip(answers.column("kind").to_pylist(), answers.column("content")) if k == kind]
+    return np.concatenate([np.frombuffer(r, what) for r in rows]) if rows else np.zeros(0, what)
+
+
+def wide(key: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """One number for a pair, told apart within a slice."""
+    return mixed(key + more.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def among(key: np.ndarray, more: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which pairs are among the given ones."""
+    return np.isin(wide(key, more), wide(pairs["key"], pairs["more"]))
+
+
+def masked(part: Slice, runs: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of runs that a mask marks: their places and texts."""
+    if not len(runs) or not len(parts):
+        return part.first[:0], part.first[:0]
+    order = np.argsort(wide(parts["key"], parts["more"]))
+    names, masks = wide(parts["key"], parts["more"])[order], parts["mask"][order]
+    own = wide(part.key[runs], part.more[runs])
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    mask = np.where(names[at] == own, masks[at], np.uint64(0))
+    run, bit = np.nonzero((mask[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+    return part.first[runs[run]] + bit, part.text[runs[run]]
+
+
+def later(key: np.ndarray, more: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a slice's pairs an earlier document of the slice holds, and the first document of each pair."""
+    order, begin = grouped(key, more)
+    first = np.zeros(len(key), doc.dtype)
+    if len(begin):
+        first[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(key))))
+    return doc > first, first
+
+
+def sampled_splitters(docs: DataFrame, ranges: int, length: int, leading: int) -> np.ndarray:
+    """Keys that cut the pairs into ranges of about equal size, from the runs of a bounded sample of documents."""
+    count = docs.count()
+    every = max(1, count // (ranges * SAMPLE))
+    schema, ddl = arrow_schema([("key", pa.int64())])
+
+    def pick(table: pa.Table) -> pa.Table:
+        keys = np.unique(Slice(table, length, leading).key)
+        return pa.Table.from_arrays([pa.array(keys[::max(1, len(keys) // (16 * SAMPLE))].view(np.int64))], schema=schema)
+
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    rows = chosen.groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ranges))).applyInArrow(pick, ddl).toArrow()
+    keys = np.sort(rows.column("key").to_numpy().view(np.uint64))
+    return np.unique(keys[np.arange(1, ranges) * len(keys) // ranges]) if len(keys) else np.zeros(0, np.uint64)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, leading: int = LEADING) -> DataFrame:
@@ -52,25 +267,74 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, leading: int = LEADING)
     bytes that also starts in a document with a smaller ``doc_id`` is removed; strings are judged on the input.
 
     Texts shorter than ``length``, empty and null ones keep all they have. Rows of one ``doc_id`` never remove each
-    other. ``kept`` holds the remaining bytes, which may end within a character.
+    other. ``kept`` holds the remaining bytes, which may end within a character. All steps are one lazy plan, in which the
+    texts are shuffled once.
     """
     own = texts(docs)
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices, ranges = max(partitions, -(-total // SLICE_BYTES)), max(partitions, -(-total // RANGE_BYTES))
+    splitters = sampled_splitters(own, ranges, length, leading)
+    dealt = own.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        part = Slice(table, length, leading)
+        return sent(part.ids, part.key, part.more, part.ids[part.text], splitters, table.column("slice")[0].as_py())
+
+    hot = np.unique(splitters & _CORE)
+
+    def opened(part: Slice, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs that are repeated as a whole, open runs, and open runs of cores that fill several ranges."""
+        after, _ = later(part.key, part.more, part.ids[part.text])
+        whole = after | among(part.key, part.more, answered(answers, REPEATED))
+        open_ = ~whole & among(part.key, part.more, answered(answers, OPEN))
+        cut_ = np.isin(part.key & _CORE, hot)
+        return whole, np.flatnonzero(open_ & ~cut_), np.flatnonzero(open_ & cut_)
+
+    def bytes_of_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return SENT.empty_table()
+        part = Slice(table, length, leading)
+        return sent_runs(part, opened(part, answers)[1], splitters, table.column("slice")[0].as_py())
+
+    def single_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return SENT.empty_table()
+        part = Slice(table, length, leading)
+        _, text, key, more = part.single(opened(part, answers)[2])
+        return sent(part.ids, key, more, part.ids[text], splitters, table.column("slice")[0].as_py())
+
+    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return OUT.empty_table()
+        part = Slice(table, length, leading)
+        whole, runs, hot_runs = opened(part, answers)
+        first, text, key, more = part.single(hot_runs)
+        gone = later(key, more, part.ids[text])[0] | among(key, more, answered(answers, SINGLE))
+        inner, inner_text = masked(part, runs, answered(answers, PARTS))
+        first, text = np.append(first[gone], inner), np.append(text[gone], inner_text)
+        places = np.concatenate([(part.first[whole] << repeats.COUNT_BITS) | part.count[whole], (first << repeats.COUNT_BITS) | 1])
+        texts_ = np.concatenate([part.text[whole], text])
+        order = np.argsort(texts_, kind="stable")
+        places, edges = places[order], np.searchsorted(texts_[order], np.arange(len(part.ids) + 1))
+        rows = []
+        for i, doc_id in enumerate(part.ids.tolist()):
+            a, b = int(part.bounds[i]), int(part.bounds[i + 1])
+            keep, at, removed, spans = [], a, 0, 0
+            if edges[i] < edges[i + 1]:
+                starts, ends = repeats.covered(places[edges[i]:edges[i + 1]], length)
+                removed, spans = int((ends - starts).sum()), len(starts)
+                for s, e in zip(starts.tolist(), ends.tolist()):
+                    keep.append(part.data[at:s].tobytes())
+                    at = e
+            kept = b"".join([*keep, part.data[at:b].tobytes()])
+            rows.append((doc_id, b - a, removed, spans, repeats.sha256(kept), kept))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), OUT)], schema=OUT)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("places")):
-                content = text.as_py()
-                if not places.is_valid:
-                    rows.append((doc_id, len(content), 0, 0, repeats.sha256(content), content))
-                    continue
-                starts, ends = repeats.covered(places.values.to_numpy(), length)
-                keep, at = [], 0
-                for a, b in zip(starts.tolist(), ends.tolist()):
-                    keep.append(content[at:a])
-                    at = b
-                kept = b"".join([*keep, content[at:]])
-                rows.append((doc_id, len(content), int((ends - starts).sum()), len(starts), repeats.sha256(kept), kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), OUT)] if rows else [pa.array([], f.type) for f in OUT], schema=OUT)
-
-    return repeats.with_repeats(own, repeated_places(own, length, leading)).mapInArrow(cut, OUT_DDL)
+    by_slice = dealt.groupBy("slice")
+    runs = by_slice.applyInArrow(pairs, SENT_DDL).groupBy("bucket").applyInArrow(compare(splitters, OPEN), ANSWER_DDL)
+    to_slice = by_slice.cogroup(runs.groupBy("slice"))
+    inner = to_slice.applyInArrow(bytes_of_runs, SENT_DDL).groupBy("bucket").applyInArrow(compare_windows(length), ANSWER_DDL)
+    single = to_slice.applyInArrow(single_windows, SENT_DDL).groupBy("bucket").applyInArrow(compare(splitters, SINGLE), ANSWER_DDL)
+    answers = runs.unionByName(inner).unionByName(single)
+    return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(cut, OUT_DDL)
