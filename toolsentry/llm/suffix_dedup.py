@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toolsentry.llm import repeats
-from toolsentry.llm.arrays import anchors, byte_prefix, flat, mixed, span_hash
+from toolsentry.llm.arrays import anchors, byte_prefix, flat, give_back, mixed, span_hash
 from toolsentry.llm.tables import arrow_schema, texts
 
 LENGTH, LEADING = 50, 16
-SLICE_BYTES, RANGE_BYTES, SAMPLE = 1 << 20, 16 << 20, 64
+SLICE_BYTES, RANGE_BYTES, SAMPLE = 1 << 19, 8 << 20, 64
 
 SENT, SENT_DDL = arrow_schema([("bucket", pa.int32()), ("slice", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
 ANSWER, ANSWER_DDL = arrow_schema([("slice", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("content", pa.binary())])
@@ -45,10 +45,22 @@ REPEATED, OPEN, SINGLE, PARTS = 0, 1, 2, 3
 _CORE = np.uint64(0xFFFFFFFFFFFF0000)
 
 
+def planes(entries: np.ndarray) -> bytes:
+    """Entries byte by byte, all first bytes before all second ones: sorted keys share their high bytes, which then
+    compress to nearly nothing in a shuffle."""
+    return entries.view(np.uint8).reshape(len(entries), -1).T.tobytes()
+
+
+def entries(raw: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """What ``planes`` was made of."""
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
 class Slice:
     """The runs of the texts of a slice, and their distinct pairs, each with the first document that holds it."""
 
     def __init__(self, table: pa.Table, length: int, leading: int):
+        give_back()
         table = table.combine_chunks()
         self.ids = table.column("doc_id").to_numpy()
         column = table.column("text")
@@ -104,7 +116,7 @@ def sent(ids: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, sp
             named, at = np.unique(first[part], return_inverse=True)
             pairs = np.zeros(len(at), PAIR)
             pairs["key"], pairs["more"], pairs["doc"] = key[part], more[part], at
-            rows.append((int(b), number, len(named), named.astype("<i8").tobytes() + pairs.tobytes()))
+            rows.append((int(b), number, len(named), named.astype("<i8").tobytes() + planes(pairs)))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)] if rows else [pa.array([], f.type) for f in SENT], schema=SENT)
 
 
@@ -131,6 +143,7 @@ def compare_windows(length: int) -> Callable[[pa.Table], pa.Table]:
     """Compares the windows of all runs of a range; answers each run with a mask of those that an earlier document holds."""
 
     def of_range(table: pa.Table) -> pa.Table:
+        give_back()
         heads, docs, contents, origin = [], [], [], []
         numbers = table.column("slice").to_pylist()
         for row, (n, content) in enumerate(zip(table.column("n").to_pylist(), table.column("content"))):
@@ -157,7 +170,7 @@ def compare_windows(length: int) -> Callable[[pa.Table], pa.Table]:
             if len(own):
                 answer = np.zeros(len(own), MASK)
                 answer["key"], answer["more"], answer["mask"] = head["key"][own], head["more"][own], masks[own]
-                rows.append((number, PARTS, len(own), answer.tobytes()))
+                rows.append((number, PARTS, len(own), planes(answer)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWER)] if rows else [pa.array([], f.type) for f in ANSWER], schema=ANSWER)
 
     return of_range
@@ -168,10 +181,11 @@ def compare(splitters: np.ndarray, kind: int) -> Callable[[pa.Table], pa.Table]:
     that the slice holds first and whose core branches."""
 
     def of_range(table: pa.Table) -> pa.Table:
+        give_back()
         keys, mores, docs, origin, slices_ = [], [], [], [], table.column("slice").to_pylist()
         for row, (n, content) in enumerate(zip(table.column("n").to_pylist(), table.column("content"))):
             raw = np.frombuffer(content.as_buffer(), np.uint8)
-            named, pairs = raw[:8 * n].view("<i8"), raw[8 * n:].view(PAIR)
+            named, pairs = raw[:8 * n].view("<i8"), entries(raw[8 * n:], PAIR)
             keys.append(pairs["key"])
             mores.append(pairs["more"])
             docs.append(named[pairs["doc"]])
@@ -201,7 +215,7 @@ def compare(splitters: np.ndarray, kind: int) -> Callable[[pa.Table], pa.Table]:
                 if len(own):
                     answer = np.zeros(len(own), PAIR)
                     answer["key"], answer["more"] = key[own], more[own]
-                    rows.append((number, what, len(own), answer.tobytes()))
+                    rows.append((number, what, len(own), planes(answer)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWER)] if rows else [pa.array([], f.type) for f in ANSWER], schema=ANSWER)
 
     return of_range
@@ -211,7 +225,7 @@ def answered(answers: pa.Table, kind: int) -> np.ndarray:
     """The entries of a slice's answers of a kind."""
     what = MASK if kind == PARTS else PAIR
     rows = [c.as_buffer() for k, c in zip(answers.column("kind").to_pylist(), answers.column("content")) if k == kind]
-    return np.concatenate([np.frombuffer(r, what) for r in rows]) if rows else np.zeros(0, what)
+    return np.concatenate([entries(np.frombuffer(r, np.uint8), what) for r in rows]) if rows else np.zeros(0, what)
 
 
 def wide(key: np.ndarray, more: np.ndarray) -> np.ndarray:
