@@ -108,12 +108,12 @@ def later_lines(keyed: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("signature")).union(pairs.select("b")).distinct()
     firsts = occurrences.groupBy("signature").agg(F.min(place).alias("first"))
     chosen = firsts.join(wanted, "signature").select("signature", "first.*")
-    by_doc = chosen.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("numbers"))
-    holding = keyed.join(by_doc, ["doc_id", "key"])
-    lines = holding.select("doc_id", "key", "numbers", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    shown = lines.filter(F.array_contains("numbers", F.col("line_no")))
-    full = shown.select("doc_id", "key", "line_no", _tokens("line").alias("tokens")).dropDuplicates(["doc_id", "key", "line_no"])
-    known = chosen.join(full, ["doc_id", "key", "line_no"]).select("signature", "tokens", F.struct("doc_id", "line_no", "key").alias("first"))
+    # each document's lines to look at, with their signatures: the texts move, the tokens made of them don't move back
+    by_doc = chosen.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("line_no", "signature"))).alias("wanted"))
+    lines = keyed.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "wanted", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    shown = lines.filter(F.map_contains_key("wanted", F.col("line_no")))
+    # repeated documents give a line twice; what is beaten is counted once below
+    known = shown.select(F.element_at("wanted", F.col("line_no")).alias("signature"), _tokens("line").alias("tokens"), place.alias("first"))
     both = pairs
     for side in ("a", "b"):
         both = both.join(known.select(F.col("signature").alias(side), F.col("tokens").alias(f"tokens_{side}"), F.col("first").alias(f"first_{side}")), side)
