@@ -102,3 +102,25 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c")], docs)
     assert dec.leaks(some, spark.createDataFrame([], items)).collect() == []
     assert dec.leaks(spark.createDataFrame([], docs), spark.createDataFrame([(1, "a b c")], items)).collect() == []
+
+
+def spans(texts):
+    hashes, places = dec.hashed_words(pa.array(texts, pa.large_string()))
+    every = np.unique(dec.bucket_of(hashes))
+    space = dec.Space(np.ones(dec.FEATURES), every, np.ones((len(every), 1), np.float32))
+    found = {t: set() for t in range(len(texts))}
+    for text, first, size, _ in dec.windows(hashes, places, space, dec.weighted_axes(space), dec.COSINE):
+        for t, a, n in zip(text.tolist(), first.tolist(), size.tolist()):
+            found[t].add((a - int(places[t]), n))
+    return [found[t] for t in range(len(texts))]
+
+
+def test_windows_do_not_depend_on_neighbours():
+    """Every word of every text is in a window, and a text alone has the windows it has among others."""
+    texts = [" ".join(f"w{t}x{i}" for i in range(n)) for t, n in enumerate([40, 8, 16, 7, 0, 1, 100, 9])]
+    together = spans(texts)
+    for text, found in zip(texts, together):
+        n = len(text.split())
+        assert {w for a, size in found for w in range(a, a + size)} == set(range(n))
+        assert found == (spans([text])[0] if n else set())
+        assert not n or any(a + size == n and size >= min(n, 57) for a, size in found)

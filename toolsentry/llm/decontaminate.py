@@ -184,7 +184,7 @@ def weighted_axes(space: Space) -> np.ndarray:
 
 def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows that may reach the cosine with some item: text, first word, number of words, and latent vector
-    divided by the window's own length in TF-IDF."""
+    divided by the window's own length in TF-IDF. A text's windows don't depend on the texts beside it."""
     sizes = np.diff(places)
     blocks = -(-sizes // BLOCK)
     first_block = np.cumsum(blocks) - blocks
@@ -200,8 +200,11 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.n
     ends = first_block + blocks
     spans = []
     for scale in SCALES:
-        start = np.arange(0, count, max(1, scale // 2))
-        # windows begin anywhere on a common grid and end with their text
+        step = max(1, scale // 2)
+        each = -(-blocks // step)
+        start = np.repeat(first_block, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * step
+        # each text has its own grid from its first word on, and a window that ends at its last word
+        start = np.append(start, (first_block + np.maximum(blocks - scale, 0))[blocks > 0])
         stop = np.minimum(start + scale, ends[text_of[start]])
         spans.append(np.stack([start, stop], 1))
     start, stop = np.unique(np.concatenate(spans), axis=0).T
