@@ -124,3 +124,23 @@ def test_windows_do_not_depend_on_neighbours():
         assert {w for a, size in found for w in range(a, a + size)} == set(range(n))
         assert found == (spans([text])[0] if n else set())
         assert not n or any(a + size == n and size >= min(n, 57) for a, size in found)
+
+
+def test_every_item_of_a_large_benchmark_keeps_its_energy(spark):
+    """Verbatim copies of thousands of items are found, all of them."""
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(30000)]
+    items = [(i, made(rng, rng.randint(16, 59), names)) for i in range(3000)]
+    docs = [(i, " ".join([made(rng, rng.randint(0, 90), names), items[i * 7][1], made(rng, rng.randint(0, 90), names)])) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    rows = asked.limit(600).collect()
+    weight = dec.weights(frame)
+    for first in range(0, len(rows), dec.RANK):
+        some = rows[first:first + dec.RANK]
+        space = dec.latent_space(spark.createDataFrame(some), weight)
+        row, bucket, value = dec.vectors(pa.array([r.text for r in some], pa.large_string()), weight)
+        kept = np.zeros((len(some), space.axes.shape[1]))
+        np.add.at(kept, row, space.axes[np.searchsorted(space.buckets, bucket)] * value[:, None])
+        assert (np.linalg.norm(kept, axis=1) >= 0.95).all()
+    assert {(r.doc_id, r.item_id) for r in dec.leaks(frame, asked).collect()} >= {(i, i * 7) for i in range(400)}

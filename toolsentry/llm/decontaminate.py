@@ -3,7 +3,8 @@
 Words (lower-case letters, digits and characters beyond ASCII) fall into ``FEATURES`` hash buckets. A bucket's weight is its
 inverse frequency among all passages of all documents. A randomised SVD of the benchmark's TF-IDF passages, whose products
 with the test matrix are summed by Spark, gives the latent space (Halko, Martinsson and Tropp, Finding Structure with
-Randomness, 2011). Windows of 32 and 64 words, which begin at every half of their length, are projected, and windows whose cosine with an
+Randomness, 2011). Every ``RANK`` items have a space of their own with as many directions, so an item of a large
+benchmark keeps its energy as one of a small benchmark does. Windows of 32 and 64 words, which begin at every half of their length, are projected, and windows whose cosine with an
 item reaches ``COSINE`` are candidates. A candidate is a leak if the longest common subsequence of item and surroundings
 holds enough of the item's words, and enough of its answer, the item's last sentence, is there in order.
 """
@@ -16,15 +17,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolsentry.llm.arrays import LETTERS, byte_prefix, flat, mixed, slices, span_hash, words
 from toolsentry.llm.tables import arrow_schema, texts
 
-FEATURES, RANK, OVERSAMPLE, POWER = 1 << 18, 128, 32, 2
+FEATURES, RANK, OVERSAMPLE, POWER = 1 << 18, 256, 32, 2
 BLOCK, SCALES, PASSAGE = 8, (4, 8), 64
-COSINE, LCS_SHARE, ANSWER_SHARE = 0.35, 0.6, 0.5
+COSINE, LCS_SHARE, ANSWER_SHARE = 0.3, 0.6, 0.5
 ITEMS_AT_ONCE = 4096
 
 OUT, OUT_DDL = arrow_schema([
@@ -176,6 +177,20 @@ def prepared(rows: list, space: Space) -> tuple[list[Item], np.ndarray]:
     return items, made / np.maximum(norm, 1e-12)
 
 
+def spaces(spark: SparkSession, rows: list, weight: np.ndarray) -> tuple[list[Item], list[tuple[int, Space, np.ndarray]]]:
+    """Items, and for every ``RANK`` of them the first one's number, their space, and what each known bucket adds to the
+    product with each of them (its weighted axes times their directions)."""
+    items, made = [], []
+    for first in range(0, len(rows), RANK):
+        some = rows[first:first + RANK]
+        space = latent_space(spark.createDataFrame([(r.text,) for r in some], "text string"), weight, len(some))
+        own, directions = prepared(some, space)
+        items += own
+        if len(space.buckets):
+            made.append((first, space._replace(axes=space.axes[:0]), weighted_axes(space) @ directions.T))
+    return items, made
+
+
 def weighted_axes(space: Space) -> np.ndarray:
     """Each known bucket's coordinates times its weight, and a row of zeros."""
     rows = space.axes * space.weights[space.buckets, None].astype(np.float32)
@@ -183,8 +198,8 @@ def weighted_axes(space: Space) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows that may reach the cosine with some item: text, first word, number of words, and latent vector
-    divided by the window's own length in TF-IDF. A text's windows don't depend on the texts beside it."""
+    """Windows that may reach the cosine with some item: text, first word, number of words, and the sum of the words' rows
+    of ``weighted`` divided by the window's own length in TF-IDF. A text's windows don't depend on the texts beside it."""
     sizes = np.diff(places)
     blocks = -(-sizes // BLOCK)
     first_block = np.cumsum(blocks) - blocks
@@ -228,13 +243,11 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.n
         part = latent[a:a + (1 << 12)]
         for place in range(BLOCK):
             part += weighted[held[a:a + (1 << 12), place]]
+    sums = np.zeros((len(latent) + 1, latent.shape[1]))
+    np.cumsum(latent, axis=0, dtype=np.float64, out=sums[1:])
     for a in range(0, len(start), 1 << 13):
         s, e = start[a:a + (1 << 13)], stop[a:a + (1 << 13)]
-        made = np.zeros((len(s), latent.shape[1]), np.float32)
-        for step in range(max(SCALES)):
-            inside = s + step < e
-            made[inside] += latent[number[s[inside] + step]]
-        made /= np.sqrt(own[a:a + (1 << 13), None]).astype(np.float32)
+        made = (sums[number[s] + e - s] - sums[number[s]]) / np.sqrt(own[a:a + (1 << 13), None])
         text = text_of[s]
         word0 = places[text] + (s - first_block[text]) * BLOCK
         word1 = np.minimum(places[text] + (e - first_block[text]) * BLOCK, places[text + 1])
@@ -270,32 +283,31 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_share:
     """
     own = texts(docs)
     asked = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    space = latent_space(asked, weights(own))
+    weight = weights(own)
     total = asked.count()
     blocks = max(1, -(-total // ITEMS_AT_ONCE))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    found = [_of_block(own, dealt.filter(F.col("block") == b).collect(), space, cosine, lcs_share, answer_share) for b in range(blocks)]
+    found = [_of_block(own, dealt.filter(F.col("block") == b).collect(), weight, cosine, lcs_share, answer_share) for b in range(blocks)]
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)
     return result
 
 
-def _of_block(docs: DataFrame, rows: list, space: Space, cosine: float, lcs_share: float, answer_share: float) -> DataFrame:
-    asked, directions = prepared(rows, space)
+def _of_block(docs: DataFrame, rows: list, weight: np.ndarray, cosine: float, lcs_share: float, answer_share: float) -> DataFrame:
+    asked, groups = spaces(docs.sparkSession, rows, weight)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = weighted_axes(space)
         for part in slices(batches, limit=1 << 20):
             hashes, places = hashed_words(part.column("text"))
-            if not len(hashes) or not len(space.buckets):
+            if not len(hashes):
                 continue
             places_, rows_ = [], []
-            for text, first, size, latent in windows(hashes, places, space, weighted, cosine):
-                scores = latent @ directions.T
-                at, i = np.nonzero(scores >= cosine)
-                places_.append(np.stack([text[at], i, first[at], first[at] + size[at]], 1))
-                rows_.append(scores[at, i])
+            for number, space, products in groups:
+                for text, first, size, scores in windows(hashes, places, space, products, cosine):
+                    at, i = np.nonzero(scores >= cosine)
+                    places_.append(np.stack([text[at], number + i, first[at], first[at] + size[at]], 1))
+                    rows_.append(scores[at, i])
             if not places_:
                 continue
             found, scores = np.concatenate(places_), np.concatenate(rows_)
