@@ -3,15 +3,17 @@
 Words (lower-case letters, digits and characters beyond ASCII) fall into ``FEATURES`` hash buckets. A bucket's weight is its
 inverse frequency among all passages of all documents. A randomised SVD of the benchmark's TF-IDF passages, whose products
 with the test matrix are summed by Spark, gives the latent space (Halko, Martinsson and Tropp, Finding Structure with
-Randomness, 2011). Every ``RANK`` items have a space of their own with as many directions, so an item of a large
-benchmark keeps its energy as one of a small benchmark does. Windows of 32 and 64 words, which begin at every half of their length, are projected, and windows whose cosine with an
-item reaches ``COSINE`` are candidates. A candidate is a leak if the longest common subsequence of item and surroundings
+Randomness, 2011). Every ``RANK`` passages of items have a space of their own with as many directions, so an item of a large
+benchmark keeps its energy as one of a small benchmark does. Items of more than ``PASSAGE`` words are split into passages, each with a vector. Windows of 8 to 64
+words, as long as the passages asked for, begin at every half of their length, and those whose cosine with a passage
+reaches ``COSINE`` are candidates for its item. A candidate is a leak if the longest common subsequence of item and surroundings
 holds enough of the item's words, and enough of its answer, the item's last sentence, is there in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,9 +26,10 @@ from toolsentry.llm.arrays import LETTERS, byte_prefix, flat, mixed, slices, spa
 from toolsentry.llm.tables import arrow_schema, texts
 
 FEATURES, RANK, OVERSAMPLE, POWER = 1 << 18, 256, 32, 2
-BLOCK, SCALES, PASSAGE = 8, (4, 8), 64
+BLOCK, SCALES, PASSAGE = 8, (2, 4, 8), 64
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.3, 0.6, 0.5
 ITEMS_AT_ONCE = 4096
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 OUT, OUT_DDL = arrow_schema([
     ("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64()),
@@ -162,12 +165,17 @@ def answer_words(text: str) -> str:
     return lines[-1] if lines else ""
 
 
+def items_of(rows: list) -> list[Item]:
+    """Items with their words and their answers'."""
+    hashes, places = hashed_words(pa.array([r.text or "" for r in rows], pa.large_string()))
+    answers, answer_places = hashed_words(pa.array([answer_words(r.text or "") for r in rows], pa.large_string()))
+    return [Item(r.item_id, hashes[places[i]:places[i + 1]].tolist(), answers[answer_places[i]:answer_places[i + 1]].tolist()) for i, r in enumerate(rows)]
+
+
 def prepared(rows: list, space: Space) -> tuple[list[Item], np.ndarray]:
-    """Items with their words, and their unit vectors in the latent space. Items without words match nothing."""
+    """Items, and their unit vectors in the latent space. Items without words match nothing."""
+    items = items_of(rows)
     column = pa.array([r.text or "" for r in rows], pa.large_string())
-    hashes, places = hashed_words(column)
-    answers, answer_places = hashed_words(pa.array([answer_words(r.text or "") for r in rows], pa.large_string()))
-    items = [Item(r.item_id, hashes[places[i]:places[i + 1]].tolist(), answers[answer_places[i]:answer_places[i + 1]].tolist()) for i, r in enumerate(rows)]
     row, bucket, value = vectors(column, space.weights)
     at = np.minimum(np.searchsorted(space.buckets, bucket), max(0, len(space.buckets) - 1))
     held = space.buckets[at] == bucket if len(space.buckets) else np.zeros(len(bucket), bool)
@@ -177,18 +185,51 @@ def prepared(rows: list, space: Space) -> tuple[list[Item], np.ndarray]:
     return items, made / np.maximum(norm, 1e-12)
 
 
-def spaces(spark: SparkSession, rows: list, weight: np.ndarray) -> tuple[list[Item], list[tuple[int, Space, np.ndarray]]]:
-    """Items, and for every ``RANK`` of them the first one's number, their space, and what each known bucket adds to the
-    product with each of them (its weighted axes times their directions)."""
-    items, made = [], []
-    for first in range(0, len(rows), RANK):
-        some = rows[first:first + RANK]
-        space = latent_space(spark.createDataFrame([(r.text,) for r in some], "text string"), weight, len(some))
-        own, directions = prepared(some, space)
-        items += own
+class Passage(NamedTuple):
+    """A part of an item: the item's number, its words between spaces, and how many they are."""
+
+    item_id: int
+    text: str
+    size: int
+
+
+class Group(NamedTuple):
+    """Passages that share a space: each one's item, the space, what each known bucket adds to the product with each of
+    them (its weighted axes times their directions), and the windows' scales."""
+
+    items: np.ndarray
+    space: Space
+    products: np.ndarray
+    scales: list[int]
+
+
+def passages(rows: list) -> list[Passage]:
+    """Items in even parts of at most ``PASSAGE`` words, the shortest first. Words are those of ``hashed_words``."""
+    made = []
+    for number, row in enumerate(rows):
+        parts = _WORD.findall(row.text or "")
+        count = -(-len(parts) // PASSAGE)
+        edges = [len(parts) * k // count for k in range(count + 1)] if count else []
+        made += [Passage(number, " ".join(parts[a:b]), b - a) for a, b in zip(edges, edges[1:])]
+    return sorted(made, key=lambda p: p.size)
+
+
+def scales_of(sizes: list[int]) -> list[int]:
+    """Blocks of the shortest windows that hold passages of such sizes. One that a block holds may lie across two."""
+    fitting = {1 << max(0, (-(-size // BLOCK) - 1).bit_length()) for size in sizes}
+    return sorted(fitting | ({2} if 1 in fitting else set()))
+
+
+def groups_of(spark: SparkSession, rows: list, weight: np.ndarray) -> list[Group]:
+    """Passages of all items, ``RANK`` at a time."""
+    parts, made = passages(rows), []
+    for first in range(0, len(parts), RANK):
+        some = parts[first:first + RANK]
+        space = latent_space(spark.createDataFrame([(p.text,) for p in some], "text string"), weight, len(some))
         if len(space.buckets):
-            made.append((first, space._replace(axes=space.axes[:0]), weighted_axes(space) @ directions.T))
-    return items, made
+            products = weighted_axes(space) @ prepared(some, space)[1].T
+            made.append(Group(np.array([p.item_id for p in some]), space._replace(axes=space.axes[:0]), products, scales_of([p.size for p in some])))
+    return made
 
 
 def weighted_axes(space: Space) -> np.ndarray:
@@ -197,7 +238,7 @@ def weighted_axes(space: Space) -> np.ndarray:
     return np.concatenate([rows, np.zeros((1, rows.shape[1]), np.float32)])
 
 
-def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.ndarray, cosine: float, scales: Iterable[int] = SCALES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows that may reach the cosine with some item: text, first word, number of words, and the sum of the words' rows
     of ``weighted`` divided by the window's own length in TF-IDF. A text's windows don't depend on the texts beside it."""
     sizes = np.diff(places)
@@ -214,7 +255,7 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.n
     shared = np.append(0, np.cumsum(np.bincount(block[known], weight[known] ** 2, count)))
     ends = first_block + blocks
     spans = []
-    for scale in SCALES:
+    for scale in scales:
         step = max(1, scale // 2)
         each = -(-blocks // step)
         start = np.repeat(first_block, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * step
@@ -295,7 +336,7 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_share:
 
 
 def _of_block(docs: DataFrame, rows: list, weight: np.ndarray, cosine: float, lcs_share: float, answer_share: float) -> DataFrame:
-    asked, groups = spaces(docs.sparkSession, rows, weight)
+    asked, groups = items_of(rows), groups_of(docs.sparkSession, rows, weight)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=1 << 20):
@@ -303,10 +344,10 @@ def _of_block(docs: DataFrame, rows: list, weight: np.ndarray, cosine: float, lc
             if not len(hashes):
                 continue
             places_, rows_ = [], []
-            for number, space, products in groups:
-                for text, first, size, scores in windows(hashes, places, space, products, cosine):
+            for group in groups:
+                for text, first, size, scores in windows(hashes, places, group.space, group.products, cosine, group.scales):
                     at, i = np.nonzero(scores >= cosine)
-                    places_.append(np.stack([text[at], number + i, first[at], first[at] + size[at]], 1))
+                    places_.append(np.stack([text[at], group.items[i], first[at], first[at] + size[at]], 1))
                     rows_.append(scores[at, i])
             if not places_:
                 continue
