@@ -197,3 +197,22 @@ def test_recall_against_windows_at_every_word_and_length(spark):
     got = {(r.doc_id, r.item_id) for r in dec.leaks(frame, asked).collect()}
     print(len(want), len(want & got), len(got - want), sorted(want - got)[:20])
     assert len(want & got) >= 0.95 * len(want) and len(want) > 90
+
+
+def test_long_clean_documents_on_an_item_s_topic_stay(spark):
+    """Half of a long document's words are an item's, in any order: no stretch of it is a copy, however long it is."""
+    rng = random.Random(17)
+    names = [f"w{i}" for i in range(20000)]
+    items = [(i, made(rng, n, names) + ".\n" + made(rng, 5, names)) for i, n in enumerate([25, 30, 40, 55, 90])]
+    docs = []
+    for i, text in items:
+        own = text.replace(".", "").split()
+        docs += [(i * 2, " ".join(rng.choice(own) if rng.random() < 0.5 else rng.choice(names) for _ in range(6000)))]
+        docs += [(i * 2 + 1, docs[-1][1] + " " + text + " " + made(rng, 40, names))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dec.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i * 2 + 1, i) for i, _ in items}
+    for r in got:
+        size = len(items[r.item_id][1].split())
+        assert r.n_words <= dec.SPAN * size and r.first_word <= 6000 + size and r.first_word + r.n_words >= 6000
+        assert r.lcs_share >= 0.7

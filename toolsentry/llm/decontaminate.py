@@ -6,8 +6,9 @@ with the test matrix are summed by Spark, gives the latent space (Halko, Martins
 Randomness, 2011). Every ``RANK`` passages of items have a space of their own with as many directions, so an item of a large
 benchmark keeps its energy as one of a small benchmark does. Items of more than ``PASSAGE`` words are split into passages, each with a vector. Windows of 8 to 64
 words, as long as the passages asked for, begin at every half of their length, and those whose cosine with a passage
-reaches ``COSINE`` are candidates for its item. A candidate is a leak if the longest common subsequence of item and surroundings
-holds enough of the item's words, and enough of its answer, the item's last sentence, is there in order.
+reaches ``COSINE`` are candidates for its item. A candidate is a leak if some ``SPAN`` lengths of the item in its surroundings
+have a longest common subsequence with the item that holds enough of the item's words, and enough of its answer, the
+item's last sentence, is there in order. A span's length does not depend on the document's.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from toolsentry.llm.tables import arrow_schema, texts
 FEATURES, RANK, OVERSAMPLE, POWER = 1 << 18, 256, 32, 2
 BLOCK, SCALES, PASSAGE = 8, (2, 4, 8), 64
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.3, 0.6, 0.5
+SPAN = 2
 ITEMS_AT_ONCE = 4096
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
@@ -314,6 +316,29 @@ def regions(found: np.ndarray, scores: np.ndarray, places: np.ndarray, asked: li
         yield tuple(now)
 
 
+def confirmed(item: Item, near: np.ndarray, lcs_share: float, answer_share: float) -> Iterator[tuple[float, float, int, int]]:
+    """Shares of the item and of its answer in spans of ``near`` that hold enough of both, and where the spans begin and end.
+
+    Spans are ``SPAN`` times as long as the item and begin at every half of its length."""
+    size = len(item.words)
+    span, step = SPAN * size, max(1, size // 2)
+    # other words are in no common subsequence; the answer's words are the item's
+    met = np.flatnonzero(np.isin(near, np.array(item.words, np.uint64)))
+    starts = np.arange(0, max(1, len(near) - span + step), step)
+    first, last = np.searchsorted(met, starts), np.searchsorted(met, starts + span)
+    shared = near[met].tolist()
+    for n in np.flatnonzero(last - first >= lcs_share * size).tolist():
+        if n and first[n] == first[n - 1] and last[n] == last[n - 1]:
+            continue
+        words_ = shared[first[n]:last[n]]
+        share = common(item.words, words_) / size
+        if share < lcs_share:
+            continue
+        answered = common(item.answer, words_) / len(item.answer) if item.answer else 1.0
+        if answered >= answer_share:
+            yield share, answered, int(starts[n]), min(int(starts[n]) + span, len(near))
+
+
 def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE) -> DataFrame:
     """``(doc_id, item_id, cosine, lcs_share, answer_share, first_word, n_words)``: the best place of each item in each document
     that leaks it. Words are counted from 0.
@@ -354,14 +379,10 @@ def _of_block(docs: DataFrame, rows: list, weight: np.ndarray, cosine: float, lc
             found, scores = np.concatenate(places_), np.concatenate(rows_)
             best: dict[tuple[int, int], tuple] = {}
             for t, i, a, b, score in regions(found, scores, places, asked):
-                item, near = asked[i], hashes[a:b].tolist()
-                share = common(item.words, near) / len(item.words)
-                if share < lcs_share:
-                    continue
-                answered = common(item.answer, near) / len(item.answer) if item.answer else 1.0
-                row = (round(share, 4), round(score, 4), round(answered, 4), a - int(places[t]), b - a)
-                if answered >= answer_share and row[:2] > best.get((t, i), (0, 0))[:2]:
-                    best[t, i] = row
+                for share, answered, start, stop in confirmed(asked[i], hashes[a:b], lcs_share, answer_share):
+                    row = (round(share, 4), round(score, 4), round(answered, 4), a + start - int(places[t]), stop - start)
+                    if row[:2] > best.get((t, i), (0, 0))[:2]:
+                        best[t, i] = row
             keys = sorted(best)
             ids = part.column("doc_id").take(pa.array([t for t, _ in keys], pa.int64()))
             share, score, *rest = list(zip(*(best[k] for k in keys))) or [()] * 5
