@@ -159,3 +159,14 @@ def test_repeated_rows_and_empty_tables(spark):
     assert minhash.document_fingerprints(twice).count() == 6
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.document_fingerprints(none).collect() == [] and licences.license_scan(none).collect() == [] and token_counts(none).collect() == []
+
+
+@pytest.mark.parametrize(("text", "labels", "expressions", "permissive"), [
+    ("/* spdx-license-identifier: mit */ x; /* spdx-license-identifier: gpl-3.0-only */", "gpl,mit", "mit; gpl-3.0-only", False),
+    ("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0 OR ISC x\nSPDX-License-Identifier: 0BSD", "0bsd,apache,isc,mit", "mit; apache-2.0 isc or; 0bsd", True),
+    ("License-Expression: AND License-Expression: (MIT) ", "mit", "mit", True),
+    ("SPDX-License-Identifier: MIT AND SPDX-License-Identifier: MIT", "mit", "mit", True),
+])
+def test_every_tag_of_a_line_is_read(text, labels, expressions, permissive):
+    row = licences.scan(text.encode())
+    assert (row[5], row[7], row[8]) == (labels, expressions, permissive)
