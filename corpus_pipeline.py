@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents and their places in sequences of 1024."""
     configure(spark)
-    return best_fit(docs)
+    return best_fit(docs, special=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -91,3 +91,27 @@ def test_plans_hold_every_piece_and_are_tight():
 
 def test_empty_table(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_queries_take_added_tokens_as_the_library_does(spark, tmp_path):
+    """Ids, packing and counts of the registered queries, by the tokenizers library with its default settings."""
+    from toolsentry.llm.queries import REGISTRY
+
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>  \n<|endoftext|>é", "<|endoftext", *odd_texts()]
+    want = [e.ids for e in default.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    for text, ids in zip(texts, want):
+        assert ids_of(text, special=True).tolist() == ids
+    home = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{home}/documents.parquet")
+    places = REGISTRY["op5_best_fit_packing"](spark, home).collect()
+    for doc_id, ids in enumerate(want):
+        full = np.array([*ids, 2], "<u4")
+        own = sorted((r for r in places if r.doc_id == doc_id), key=lambda r: r.piece)
+        assert [r.ids_crc32 for r in own] == [zlib.crc32(full[r.start:r.start + r.length].tobytes()) for r in own]
+        assert sum(r.length for r in own) == len(full)
+    counts = {}
+    for r in REGISTRY["op2_token_counts"](spark, home).collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + r.n_tokens
+    assert [counts[i] for i in range(len(texts))] == [len(ids) for ids in want]

@@ -28,7 +28,7 @@ PIECES, PIECES_DDL = arrow_schema([
 PLACED, PLACED_DDL = arrow_schema([*((f.name, f.type) for f in PIECES), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, special: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: the ids of each whole text and the id ``end``, in pieces of
     ``capacity`` ids; the first piece has what is left over. Null and empty texts are the id ``end`` alone."""
 
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
         for part in slices(batches):
             rows = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = np.append(ids_of(text, vocabulary), np.uint32(end)).astype("<u4")
+                ids = np.append(ids_of(text, vocabulary, special), np.uint32(end)).astype("<u4")
                 start = 0
                 for piece in range(-(-len(ids) // capacity)):
                     stop = start + capacity if piece else (len(ids) - 1) % capacity + 1
@@ -120,9 +120,10 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked(rows).mapInArrow(place, PLACED_DDL)
 
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, special: bool = False) -> DataFrame:
     """Whole documents as token pieces, packed into as few sequences of ``capacity`` ids as found.
 
     Sequences are filled from offset 0 without gaps. Rows without ``doc_id`` are left out; repeated rows are packed each.
+    Strings of added tokens are these tokens if ``special``.
     """
-    return packed(landed(pieces(docs, capacity, end, vocabulary), "pieces"), capacity)
+    return packed(landed(pieces(docs, capacity, end, vocabulary, special), "pieces"), capacity)

@@ -44,10 +44,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Query] = {
     "op1_license_scan": over("documents", license_scan),
-    "op2_token_counts": over("documents", token_counts),
+    "op2_token_counts": over("documents", lambda docs: token_counts(docs, special=True)),
     "op3_simhash_dedup": over("documents", simhash_groups),
     "op4_document_fingerprints": over("documents", document_fingerprints),
-    "op5_best_fit_packing": over("documents", best_fit),
+    "op5_best_fit_packing": over("documents", lambda docs: best_fit(docs, special=True)),
     "op6_benchmark_decontamination": benchmark_leaks,
     "op7_suffix_dedup": over("documents", lambda docs: suffix_dedup(docs).drop("kept")),
     "op8_quality_classifier": quality_scores,

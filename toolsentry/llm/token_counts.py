@@ -56,13 +56,14 @@ def attributed(token_starts: np.ndarray, token_sizes: np.ndarray, section_starts
     return counts, crossing
 
 
-def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), rule: str = "first", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), rule: str = "first", vocabulary: str = VOCABULARY, special: bool = False) -> DataFrame:
     """``(doc_id, field, section, start_char, end_char, n_tokens, n_crossing)``: one row for each line of each field.
 
     Fields are joined by a line feed, which belongs to the field before it; a line's own line feed belongs to it.
     ``start_char`` and ``end_char`` count code points within the field; ``n_tokens`` is whole under ``first`` and
     ``most``, and sums to the document's tokens under every rule. Null and empty fields are one empty section with the
     tokens of their joiner, if any. Rows without ``doc_id`` are left out; repeated rows are counted each.
+    Strings of added tokens are these tokens if ``special``.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
@@ -75,7 +76,7 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), rule: str
         sizes = encoding(vocabulary)[1]
         for part in slices(batches):
             data, bounds = flat(part.column("text"))
-            encoded = [ids_of(text, vocabulary) for text in part.column("text").to_pylist()]
+            encoded = [ids_of(text, vocabulary, special) for text in part.column("text").to_pylist()]
             widths = sizes[np.concatenate(encoded)]
             token_starts = np.cumsum(widths) - widths
             # code points before each byte

@@ -1,12 +1,14 @@
 """Token ids of whole texts, with the vocabulary of a public tokenizer.
 
 The rank file holds the vocabulary of ``byte_bpe_50k.json`` as bytes and ranks; ids are the same (a test compares
-them), and it encodes several times faster. Every token is a string of bytes, so token offsets are running sums.
+them), and it encodes several times faster. Added tokens are read from the json; callers say whether their strings in
+a text are those tokens, as they are to the tokenizers library, or ordinary text. Every token is a string of bytes, so token offsets are running sums.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -23,12 +25,15 @@ def encoding(vocabulary: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarra
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-    for token, rank in ranks.items():
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    sizes = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+    for token, rank in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
         sizes[rank] = len(token)
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), sizes
 
 
-def ids_of(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of a whole text; strings of special tokens are ordinary text."""
-    return np.array(encoding(vocabulary)[0].encode_ordinary(text), np.uint32)
+def ids_of(text: str, vocabulary: str = VOCABULARY, special: bool = False) -> np.ndarray:
+    """Ids of a whole text. Strings of added tokens are these tokens if ``special``, or else ordinary text."""
+    encoder = encoding(vocabulary)[0]
+    return np.array(encoder.encode(text, allowed_special="all") if special else encoder.encode_ordinary(text), np.uint32)
