@@ -60,15 +60,23 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return configure(session)
 
 
+#: The scratch folder of each local application that names none; it goes when this process ends.
+_scratch: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for a run's files below the shared folder ``spark.checkpoint.dir`` names.
 
-    Only a local session without that setting falls back to a folder of this machine.
+    All folders of an application lie below one that bears its id, to be removed as one when nothing reads them any
+    more. A local session without that setting gets a folder of its own that goes with this process; on a cluster the
+    setting must be there, since executors do not share a machine's folders.
     """
+    application = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors can reach")
+        if application not in _scratch:
+            _scratch[application] = tempfile.TemporaryDirectory(prefix="toolsentry-scratch-", ignore_cleanup_errors=True)
+        shared = _scratch[application].name
+    return os.path.join(shared, application, f"{name}-{uuid.uuid4().hex}")
