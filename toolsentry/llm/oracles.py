@@ -61,5 +61,66 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGI
 FROM docs d LEFT JOIN pieces p ON p.doc_id = d.doc_id"""
 
 
+def _clustering(rounds: int = 5, clusters: int = 40) -> str:
+    """K-means over whole vectors: one pair of steps for each round."""
+    gap = "list_sum(list_transform(range(1, 65), lambda d: (p.v[d] - c.v[d]) * (p.v[d] - c.v[d])))::BIGINT"
+
+    def nearest(n: int) -> str:
+        pairs = f"SELECT p.row, any_value(p.vec_id) AS vec_id, any_value(p.v) AS v, min(({gap}, c.cluster)) AS best FROM kept p CROSS JOIN c{n} c GROUP BY p.row"
+        return f"a{n} AS MATERIALIZED (SELECT row, vec_id, v, best[1] AS distance, best[2] AS cluster FROM ({pairs}))"
+
+    def moved(n: int) -> str:
+        sums = f"SELECT cluster, d, sum(v[d]) AS s, count(*) AS n FROM a{n - 1}, range(1, 65) AS dims(d) GROUP BY ALL"
+        exact = "CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END"
+        means = f"SELECT cluster, list(({exact})::BIGINT ORDER BY d) AS v FROM ({sums}) GROUP BY cluster"
+        return f"c{n} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{n - 1} c LEFT JOIN ({means}) m USING (cluster))"
+
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", f"""
+c0 AS MATERIALIZED (
+  SELECT place - 1 AS cluster, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id), v) AS place FROM kept) WHERE place <= {clusters})"""]
+    for n in range(1, rounds + 1):
+        steps += [nearest(n - 1), moved(n)]
+    steps.append(nearest(rounds))
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
+RESAMPLING = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+worded AS (
+  SELECT 'd' || row_number() OVER () AS row, doc_id, text FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT 'b' || row_number() OVER (), NULL, text FROM benchmark),
+split AS (
+  SELECT row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM worded),
+runs AS (
+  SELECT row, array_to_string(w[i:i + n - 1], ' ') AS run, count(*) AS times
+  FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, range(1, 4) AS sizes(n)) GROUP BY ALL),
+hashed AS (
+  SELECT run, xor(4294967295, list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 10000 AS bucket
+  FROM (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM runs)), steps),
+found AS (SELECT row, bucket, sum(times) AS times FROM runs JOIN hashed USING (run) GROUP BY ALL),
+counts AS (
+  SELECT bucket, coalesce(sum(times) FILTER (row LIKE 'd%'), 0) AS s, coalesce(sum(times) FILTER (row LIKE 'b%'), 0) AS t FROM found GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (SELECT row, sum(times)::BIGINT AS n_features, sum(times * gain)::BIGINT AS weight FROM found JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS enough, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (row) WHERE doc_id IS NOT NULL),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY enough DESC, score DESC, doc_id) AS place, 5 * (count(*) FILTER (enough) OVER ()) // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": SUFFIX_DEDUP, "op9_line_dedup": LINE_DEDUP, "op10_debruijn_dedup": DEBRUIJN_DEDUP}
+    return {
+        "op7_suffix_dedup": SUFFIX_DEDUP, "op9_line_dedup": LINE_DEDUP, "op10_debruijn_dedup": DEBRUIJN_DEDUP,
+        "op12_centroid_clustering": _clustering(), "op13_resampling": RESAMPLING,
+    }

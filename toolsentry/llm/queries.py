@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from toolsentry.llm import oracles
+from toolsentry.llm.centroid_clustering import cluster
 from toolsentry.llm.debruijn_dedup import debruijn_dedup
 from toolsentry.llm.decontaminate import leaks
+from toolsentry.llm.kd_sharding import shard_list
 from toolsentry.llm.license_scan import license_scan
 from toolsentry.llm.line_dedup import line_dedup
 from toolsentry.llm.minhash import document_fingerprints
 from toolsentry.llm.packing import best_fit
 from toolsentry.llm.quality import scored
+from toolsentry.llm.resampling import resample
 from toolsentry.llm.simhash import simhash_groups
 from toolsentry.llm.suffix_dedup import suffix_dedup
 from toolsentry.llm.tables import table
@@ -42,6 +45,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality_score", "toxic_score", "accepted")
 
 
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY: dict[str, Query] = {
     "op1_license_scan": over("documents", license_scan),
     "op2_token_counts": over("documents", lambda docs: token_counts(docs, special=True)),
@@ -53,6 +60,9 @@ REGISTRY: dict[str, Query] = {
     "op8_quality_classifier": quality_scores,
     "op9_line_dedup": over("documents", deduplicated_lines),
     "op10_debruijn_dedup": over("documents", lambda docs: debruijn_dedup(docs).drop("kept")),
+    "op11_kd_sharding": over("documents", shard_list),
+    "op12_centroid_clustering": over("embeddings", cluster),
+    "op13_resampling": resampled,
     "pipeline": corpus_pipeline.run,
 }
 
