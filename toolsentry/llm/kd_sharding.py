@@ -184,7 +184,7 @@ def kd_tree(rows: DataFrame, shards: int = SHARDS) -> Cell:
         while searches:
             value = root.decide(lambda c: searches[c.first].value() if c.first in searches else F.lit(None).cast("double"))
             low, wide = (root.decide(lambda c: F.lit(f(searches[c.first]) if c.first in searches else 1.0))
-                         for f in (lambda s: s.low, lambda s: max(s.high - s.low, 5e-324) / BUCKETS))
+                         for f in (lambda s: s.low, lambda s: (s.high - s.low) / BUCKETS or 1.0))
             cell = root.decide(lambda c: F.lit(c.first)).alias("cell")
             bucket = F.floor((F.col("value") - F.col("start")) / F.col("wide")).alias("bucket")
             sought = rows.select(cell, value.alias("value"), low.alias("start"), wide.alias("wide"), "weight", "tie").filter("value is not null")

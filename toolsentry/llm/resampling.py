@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from toolsentry.functions.ranking import positioned
 from toolsentry.llm.arrays import slices
-from toolsentry.llm.tables import arrow_schema, texts
+from toolsentry.llm.tables import arrow_schema, landed, texts
 
 BUCKETS = 10_000
 LONGEST = 3
@@ -138,7 +138,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     for the counts and for the weights; ranks come from ranges of the slim rows, not from one window.
     """
     own = texts(docs)
-    rows = weighted(own, gains(feature_counts(own), feature_counts(target)))
+    # landed, since dealing by ranges reads its rows twice
+    rows = landed(weighted(own, gains(feature_counts(own), feature_counts(target))), "weights")
     enough = F.col("n_words") >= least_words
     placed = positioned(rows, [enough.desc(), F.col("score").desc(), F.col("doc_id").asc()], "place")
     drawn = placed.agg(F.count_if(enough)).first()[0] * percent // 100
