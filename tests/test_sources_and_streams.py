@@ -1,6 +1,7 @@
 """Reading trees, captures and lists; streams against their batch results."""
 
 import json
+import os
 import re
 
 import pytest
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from toolsentry.operators import drift, scoring
 from toolsentry.plans.audit import Audit
 from toolsentry.schemas import TARGETS, TOOLS
-from toolsentry.sources.files import exclude_paths, find_client_configs, read_files, write_files
+from toolsentry.sources.files import as_files, exclude_paths, find_client_configs, read_files, write_files
 from toolsentry.sources.lists import allow_union, read_allowlist, read_targets
 from toolsentry.sources.tools import inspect_tools, read_captures
 from toolsentry.sinks import tables
+from toolsentry.sources import tree
 from toolsentry.sources.tree import check_targets, read_root_allowlists, read_trees
 from toolsentry.streaming.watch import snapshot_drift, stream_drift, stream_scan
 
@@ -170,3 +172,53 @@ def test_allowlists_of_roots(spark, corpus):
     targets = spark.createDataFrame([(str(corpus), "path", None), (str(corpus / "none"), "path", None)], TARGETS)
     got = {(r.target, r.fingerprint) for r in read_root_allowlists(targets, "allow").collect()}
     assert got == {(str(corpus), "aaa"), (str(corpus), "bbb")}
+
+
+def test_audit_tree_source_equals_read_trees(spark, corpus):
+    tree.register_tree_source(spark)
+    roots = [str(corpus / "bad"), str(corpus / "clean")]
+    rows = spark.read.format("audit_tree").option("roots", json.dumps(roots)).load()
+    targets = spark.createDataFrame([(r, "path", None) for r in roots], TARGETS)
+    listed = tree.tree_rows(targets)
+    assert rows.columns == listed.columns and sorted(map(str, rows.collect())) == sorted(map(str, listed.collect()))
+    assert rows.rdd.getNumPartitions() == 2 + 3  # each root, _hidden, .github, conf; no pruned folder
+    configs = spark.read.format("audit_tree").load(roots[0]).filter("role = 'config' and name in ('package.json', 'x')")
+    assert [r.path for r in configs.collect()] == ["package.json"]
+    plan = configs._jdf.queryExecution().optimizedPlan().toString()
+    assert "config" not in plan and "package.json" not in plan  # both filters are the walk's
+    assert rows.filter(F.col("target") == roots[1]).rdd.getNumPartitions() == 2
+    odd = tree.ignored_bytes(rows).collect()
+    assert [(r.path, r.ignored_bytes) for r in odd] == [("_hidden/__init__.py", 1)]
+    assert rows.filter("read_as is not null").first().read_as.endswith("\\xff")
+
+
+def test_what_cannot_be_read_is_listed_and_not_clean(spark, corpus, tmp_path, monkeypatch):
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    for root in (good, bad):
+        (root / "src").mkdir(parents=True)
+        (root / "src" / "a.py").write_text("x = 1")
+    # opens, but every read fails, whoever asks
+    (bad / "src" / "b.py").symlink_to("/proc/self/mem")
+    targets = spark.createDataFrame([(str(good), "path", None), (str(bad), "path", None)], TARGETS)
+    rows = tree.tree_rows(targets)
+    assert [(r.path, bool(r.error)) for r in tree.unread(rows).collect()] == [("src/b.py", True)]
+    checked = tree.with_read_errors(targets, rows)
+    grades = {r.target: (r.grade, r.error) for r in Audit(files=read_trees(targets)).corpus(checked).collect()}
+    assert grades[str(good)] == ("A", None) and grades[str(bad)][0] is None and "src/b.py" in grades[str(bad)][1]
+    write_files(rows, str(tmp_path / "landed"))
+    assert {r.path for r in read_files(spark, str(tmp_path / "landed")).collect()} == {"src/a.py"}
+
+    def refuse(folder, scan=os.scandir):
+        if str(folder).endswith("src"):
+            raise PermissionError(13, "Permission denied", str(folder))
+        return scan(folder)
+
+    monkeypatch.setattr(os, "scandir", refuse)
+    assert list(tree.walk(str(good))) == [("src", "Permission denied")]
+
+
+def test_roles_and_bytes_in_python_equal_the_columns(spark):
+    names = ["a.py", ".env", "a.JS", "yarn.lock", "x.tar.gz", "..a.js", ".js", "package.json", "Makefile", "a.", "mcp.json"]
+    rows = as_files(spark.createDataFrame([("t", n, "") for n in names], "target string, path string, content string")).collect()
+    assert {r.name: r.role for r in rows} == {n: tree.role_of(n) for n in names}
+    assert tree.decode(b"a\r\nb\xff\xfe\xc3(\r\xe2\x82") == ("a\nb(\n", 5)

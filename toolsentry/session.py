@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # filters reach sources written in Python
+    "spark.sql.python.filterPushdown.enabled": "true",
     # repeated keys in manifests: the last one counts, as JSON readers do
     "spark.sql.variant.allowDuplicateKeys": "true",
     # sources travel to Python in batches of bounded bytes, whatever the file sizes

@@ -22,27 +22,34 @@ def classify(name: Column) -> Column:
     )
 
 
-def as_files(table: DataFrame) -> DataFrame:
+def as_files(table: DataFrame, *more: str) -> DataFrame:
     """A table with ``target, path, content`` (and maybe ``location`` and ``name``) in the files
-    schema, without anything below pruned directories."""
+    schema (and the columns ``more``), without anything below pruned directories."""
     location = F.col("location") if "location" in table.columns else F.col("path")
     name = F.col("name") if "name" in table.columns else base_name(F.col("path"))
     return (
         table.filter(~is_pruned_path(F.col("path")))
-        .select("target", "path", name.alias("name"), "content", location.alias("location"))
+        .select("target", "path", name.alias("name"), "content", location.alias("location"), *more)
         .withColumn("ext", extension(F.col("name")))
         .withColumn("role", classify(F.col("name")))
-        .select(_COLUMNS)
+        .select(*_COLUMNS, *more)
     )
 
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A landed table of file contents; the form to use at scale."""
-    return as_files(spark.read.format(fmt).load(path))
+    """A landed table of file contents; the form to use at scale.
+
+    A table that ``write_files`` made is taken as it is: its ``role`` is the folder a row lies in, so a scan of one role reads
+    that folder alone. Any other table is classified by its paths. Rows with an ``error`` hold no content and are left out.
+    """
+    table = spark.read.format(fmt).load(path)
+    if "error" in table.columns:
+        table = table.filter(F.col("error").isNull())
+    return table.select(_COLUMNS) if set(_COLUMNS) <= set(table.columns) else as_files(table)
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """Land a files table so that scans read only the roles and extensions they need."""
+    """Land a files table (or the rows of ``tree_rows``) so that scans read only the roles they need."""
     files.write.mode("overwrite").partitionBy("role").parquet(path)
 
 

@@ -1,47 +1,90 @@
 """Directory trees as a files table.
 
-Spark's file sources hide names that begin with ``_`` or ``.``, which an audit must see, so
-trees are walked by tasks instead: one pass lists paths, the paths are dealt evenly over all
-tasks, and a second pass reads contents. A huge target is listed by one task but read by many.
+Spark's file sources hide names that begin with ``_`` or ``.``, which an audit must see, so trees are walked by tasks
+instead. ``spark.read.format("audit_tree")`` reads roots given by path: one partition for each folder below a root, with
+filters on ``role`` and ``name`` pushed into the walk, so that only wanted files are opened. ``read_trees`` does the same for a
+table of targets of any length: one pass lists paths, the paths are dealt evenly over all tasks, and a second pass reads
+contents. Both list what could not be read (``tree_rows``, ``unread``), and ``with_read_errors`` takes a target with
+such paths its grade.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import PurePath
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.types import StructType
 
 from toolsentry import fixed_values as fv
+from toolsentry.schemas import FILES
 from toolsentry.sources.files import as_files
 from toolsentry.sources.lists import allowlist_from_lines
 
+TREE_ROWS = f"{FILES}, error STRING, ignored_bytes BIGINT, read_as STRING"
+
 _PRUNED = frozenset(fv.PRUNED_DIRS)
-_BY_NAME = frozenset(fv.CONFIG_NAMES + fv.NPM_LOCKFILES + fv.PYTHON_LOCKFILES)
+_CONFIGS = frozenset(fv.CONFIG_NAMES)
 _LOCKS = frozenset(fv.NPM_LOCKFILES + fv.PYTHON_LOCKFILES)
 _BATCH_BYTES = 16 * 1024 * 1024
 
 
-def _walk(root: str) -> Iterator[str]:
-    for folder, subfolders, names in os.walk(root):
-        subfolders[:] = [d for d in subfolders if d not in _PRUNED]
-        for name in names:
-            wanted = name in _BY_NAME or os.path.splitext(name)[1].lower() in fv.SOURCE_EXTENSIONS
+def role_of(name: str) -> str:
+    """The role of a file by its name, as ``classify`` says it of a column."""
+    if name in _CONFIGS:
+        return "config"
+    if name in _LOCKS:
+        return "lock"
+    return "source" if os.path.splitext(name)[1].lower() in fv.SOURCE_EXTENSIONS else "other"
+
+
+def walk(root: str, below: str = "", deep: bool = True) -> Iterator[tuple[str, str | None]]:
+    """``(path, error)`` of the wanted files below a folder of a root, and of folders that can't be listed."""
+    failed: list[OSError] = []
+    for folder, subfolders, names in os.walk(os.path.join(root, below) if below else root, onerror=failed.append):
+        subfolders[:] = sorted(d for d in subfolders if d not in _PRUNED) if deep else []
+        for name in sorted(names):
             full = os.path.join(folder, name)
-            if wanted and os.path.isfile(full):
-                yield os.path.relpath(full, root).replace(os.sep, "/")
+            if role_of(name) != "other" and os.path.isfile(full):
+                yield os.path.relpath(full, root).replace(os.sep, "/"), None
+    for problem in failed:
+        yield os.path.relpath(problem.filename or root, root).replace(os.sep, "/"), problem.strerror or "unreadable"
+
+
+def decode(data: bytes) -> tuple[str, int]:
+    """Text of a file and how many of its bytes are no UTF-8 and were left out; every newline spelling is one line feed."""
+    text = data.decode("utf-8", "ignore")
+    return text.replace("\r\n", "\n").replace("\r", "\n"), len(data) - len(text.encode())
+
+
+def contents(root: str, path: str) -> tuple[str | None, str | None, int, str | None]:
+    """``(content, error, ignored bytes, lossless text)``: the lossless text, where bytes were left out, has each of them as
+    a lone mark, U+DC80 to U+DCFF, written ``\\xNN``, so that none is lost without trace. Lockfiles are not opened."""
+    name = PurePath(path).name
+    if name in _LOCKS:
+        return None, None, 0, None
+    try:
+        with open(os.path.join(root, path), "rb") as handle:
+            data = handle.read()
+    except OSError as problem:
+        return None, problem.strerror or "unreadable", 0, None
+    text, ignored = decode(data)
+    return text, None, ignored, data.decode("utf-8", "backslashreplace") if ignored else None
 
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for target in batch.target:
-            paths = _walk(target)
+            paths = walk(target)
             while part := list(itertools.islice(paths, 10_000)):
-                yield pd.DataFrame({"target": target, "path": part})
+                yield pd.DataFrame(part, columns=["path", "error"]).assign(target=target)[["target", "path", "error"]]
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,22 +108,13 @@ def _root_lines(name: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["target", "path", "location", "content"]
+    columns = ["target", "path", "location", "content", "error", "ignored_bytes", "read_as"]
     rows, size = [], 0
     for batch in batches:
-        for target, path in zip(batch.target, batch.path):
-            full = PurePath(target) / path
-            content = None
-            if full.name not in _LOCKS:
-                try:
-                    with open(full, "rb") as handle:
-                        content = handle.read().decode("utf-8", "ignore")
-                except OSError:
-                    continue
-                # text mode: every newline spelling reads as one line feed
-                content = content.replace("\r\n", "\n").replace("\r", "\n")
-                size += len(content)
-            rows.append((target, path, str(full), content))
+        for target, path, error in zip(batch.target, batch.path, batch.error):
+            content, problem, ignored, read_as = (None, error, 0, None) if error else contents(target, path)
+            size += len(content or "") + len(read_as or "")
+            rows.append((target, path, str(PurePath(target) / path), content, problem, ignored, read_as))
             if size > _BATCH_BYTES:
                 yield pd.DataFrame(rows, columns=columns)
                 rows, size = [], 0
@@ -106,14 +140,116 @@ def read_root_allowlists(targets: DataFrame, name: str) -> DataFrame:
     return allowlist_from_lines(lines, target=F.col("target"))
 
 
-def read_trees(targets: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Sources, configs and lockfile names below each ``kind = 'path'`` target.
+def tree_rows(targets: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Every wanted file below each ``kind = 'path'`` target in the files schema, with what went wrong.
 
-    Target paths must be reachable from every executor. Unreadable files are skipped and
-    bytes that are no UTF-8 are ignored.
+    ``error`` is set for files and folders that could not be read (``content`` is null then), ``ignored_bytes`` counts bytes
+    that are no UTF-8 and so are not in ``content``, and ``read_as`` has the text of such files with those bytes spelled
+    out. Target paths must be reachable from every executor.
     """
     roots = targets.filter((F.col("kind") == "path") & F.col("error").isNull()).select("target").distinct()
-    paths = roots.mapInPandas(_list, "target STRING, path STRING")
+    paths = roots.mapInPandas(_list, "target STRING, path STRING, error STRING")
     spread = F.xxhash64("target", "path")
     dealt = paths.repartition(partitions, spread) if partitions else paths.repartition(spread)
-    return as_files(dealt.mapInPandas(_read, "target STRING, path STRING, location STRING, content STRING"))
+    read = dealt.mapInPandas(
+        _read, "target STRING, path STRING, location STRING, content STRING, error STRING, ignored_bytes BIGINT, read_as STRING")
+    return as_files(read, "error", "ignored_bytes", "read_as")
+
+
+def read_trees(targets: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Sources, configs and lockfile names below each ``kind = 'path'`` target; what could not be read is in ``tree_rows``."""
+    rows = tree_rows(targets, partitions)
+    return rows.filter(F.col("error").isNull()).drop("error", "ignored_bytes", "read_as")
+
+
+def unread(rows: DataFrame) -> DataFrame:
+    """``(target, path, error)`` of the files and folders of ``tree_rows`` that could not be read."""
+    return rows.filter(F.col("error").isNotNull()).select("target", "path", "error")
+
+
+def ignored_bytes(rows: DataFrame) -> DataFrame:
+    """``(target, path, ignored_bytes)`` of the files whose text lacks bytes that are no UTF-8."""
+    return rows.filter(F.col("ignored_bytes") > 0).select("target", "path", "ignored_bytes")
+
+
+def with_read_errors(targets: DataFrame, rows: DataFrame) -> DataFrame:
+    """``targets`` with an error for each target of which a file or folder could not be read: nothing unread is clean."""
+    lost = unread(rows).groupBy("target").agg(F.count("*").alias("lost"), F.min(F.struct("path", "error")).alias("first"))
+    said = F.concat(F.col("lost").cast("string"), F.lit(" paths could not be read, the first: "), "first.path", F.lit(": "), "first.error")
+    return targets.join(lost, "target", "left").select("target", "kind", F.coalesce("error", said).alias("error"))
+
+
+# -- the same as a data source ------------------------------------------------------------------------
+
+
+@dataclass
+class TreePart(InputPartition):
+    """A folder of a root with all below it, or a root's own files alone."""
+
+    root: str
+    below: str
+    deep: bool
+
+
+class TreeReader(DataSourceReader):
+    """Walks folders; filters on ``role``, ``name`` and ``target`` say which it walks, lists and opens.
+
+    Folders that can't be listed are rows of the role ``unread``, files that can't be read rows of their role with an ``error``.
+    """
+
+    def __init__(self, roots: list[str]) -> None:
+        self.roots = roots
+        self.wanted: dict[str, set[str]] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for one in filters:
+            values = {one.value} if isinstance(one, EqualTo) else set(one.value) if isinstance(one, In) else None
+            column = one.attribute[0] if values is not None and len(one.attribute) == 1 else None
+            if column in ("role", "name", "target"):
+                self.wanted[column] = self.wanted.get(column, values) & values
+            else:
+                yield one
+
+    def partitions(self) -> list[TreePart]:
+        parts = []
+        for root in self.roots:
+            if "target" in self.wanted and root not in self.wanted["target"]:
+                continue
+            parts.append(TreePart(root, "", False))
+            try:
+                with os.scandir(root) as entries:
+                    folders = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False) and e.name not in _PRUNED)
+            except OSError:
+                continue  # the root's own part lists the error
+            parts += [TreePart(root, folder, True) for folder in folders]
+        return parts
+
+    def read(self, partition: TreePart) -> Iterator[tuple]:
+        for path, error in walk(partition.root, partition.below, partition.deep):
+            name = PurePath(path).name
+            role = "unread" if error else role_of(name)
+            if any(value not in self.wanted.get(column, {value}) for column, value in (("role", role), ("name", name))):
+                continue
+            content, problem, ignored, read_as = (None, error, 0, None) if error else contents(partition.root, path)
+            location = str(PurePath(partition.root) / path)
+            yield (partition.root, path, name, os.path.splitext(name)[1].lower(), role, location, content, problem, ignored, read_as)
+
+
+class TreeSource(DataSource):
+    """``spark.read.format("audit_tree").load(root)``, or with all roots as a JSON list in the option ``roots``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "audit_tree"
+
+    def schema(self) -> str:
+        return TREE_ROWS
+
+    def reader(self, schema: StructType) -> TreeReader:
+        roots = json.loads(self.options["roots"]) if "roots" in self.options else [self.options["path"]]
+        return TreeReader([root.rstrip("/") or "/" for root in roots])
+
+
+def register_tree_source(spark: SparkSession) -> None:
+    """Make ``audit_tree`` known to a session."""
+    spark.dataSource.register(TreeSource)
