@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from toolsentry.functions import sql
 from toolsentry.operators import text_scan
+from toolsentry.operators.drift import def_hash
 from toolsentry.operators.findings import finalize
 from toolsentry.sources.files import as_files
 
@@ -391,3 +392,19 @@ SNAPSHOT_CUT = "2024-01-16 00:00:00"
 
 def before_cut() -> Column:
     return F.col("captured_at") < F.lit(SNAPSHOT_CUT).cast("timestamp")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly captures after the cut, as rows of parts that come again: those of some users are cut short, some are empty."""
+    user = F.substring("target", 6, 20).cast("bigint")
+    hashed = snapshots(spark, sf_dir).filter(~before_cut()).select(
+        "target", F.date_format(F.date_trunc("week", "captured_at"), "yyyy-MM-dd").alias("snapshot"), "tool",
+        def_hash(F.col("description"), F.col("input_schema")).alias("def_hash"), "captured_at")
+    tools = hashed.groupBy("target", "snapshot", "tool").agg(F.max("def_hash").alias("def_hash"), F.min("captured_at").alias("captured_at"))
+    named = tools.groupBy("target", "snapshot").agg((F.count("*") + F.when(user % 7 == 3, 1).otherwise(0)).alias("n_tools"))
+    again = F.explode(F.sequence(F.lit(0), F.crc32("tool") % 2)).alias("again")
+    rows = tools.join(named, ["target", "snapshot"]).select("*", again)
+    empty = snapshots(spark, sf_dir).filter(user % 5 == 0).select(
+        "target", F.lit("empty").alias("snapshot"), F.lit(0).cast("bigint").alias("n_tools"), F.lit(None).cast("string").alias("tool"),
+        F.lit(None).cast("string").alias("def_hash"), F.lit(SNAPSHOT_CUT).cast("timestamp").alias("captured_at")).distinct()
+    return rows.select(empty.columns).unionByName(empty)

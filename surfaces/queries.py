@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from toolsentry.plans.audit import Audit, detector_categories
 from toolsentry.session import configure, scratch_path
 from toolsentry.sinks import reports
 from toolsentry.sources.files import exclude_paths, find_client_configs
+from toolsentry.streaming.snapshots import snapshot_drift
 from toolsentry.streaming.watch import stream_drift, stream_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +275,17 @@ def stream_drift_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(changes, "drift").drop("captured_at")
 
 
+def stream_snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of whole captures, REMOVED included, from a stream that brings each capture in several micro-batches."""
+    rows = planted.captures(spark, sf_dir)
+    path = scratch_path(spark, "captures")
+    rows.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    snapshot_drift(stream, hashes(spark, sf_dir, early=True), f"{path}/out", f"{path}/state", timedelta(days=40)).awaitTermination()
+    kinds = "target STRING, snapshot STRING, tool STRING, change STRING, old_hash STRING, new_hash STRING"
+    return spark.read.schema(kinds).parquet(f"{path}/out/drift").drop("batch")
+
+
 REGISTRY: dict[str, Query] = {
     "tool_text_flatten": lambda s, d: tool_text(planted.tools(s, d)),
     "tool_blob_concat": lambda s, d: tool_blob(planted.tools(s, d)),
@@ -330,6 +343,7 @@ REGISTRY: dict[str, Query] = {
     "drift_summary": drift_summary,
     "stream_scan_once": stream_scan_once,
     "stream_drift_once": stream_drift_once,
+    "stream_snapshot_drift": stream_snapshot_drift,
     "rules_first_seen": lambda s, d: reports.rules_first_seen(kept_findings(s, d)).drop("title"),
     **listings.QUERIES,
 }

@@ -16,7 +16,8 @@ from toolsentry.sources.tools import inspect_tools, read_captures
 from toolsentry.sinks import tables
 from toolsentry.sources import tree
 from toolsentry.sources.tree import check_targets, read_root_allowlists, read_trees
-from toolsentry.streaming.watch import snapshot_drift, stream_drift, stream_scan
+from toolsentry.streaming.snapshots import CAPTURES, snapshot_drift
+from toolsentry.streaming.watch import stream_drift, stream_scan
 
 
 @pytest.fixture(scope="module")
@@ -137,17 +138,32 @@ def test_stream_drift_drops_repeats_and_late_captures(spark, tmp_path):
     assert sorted((r.tool, r.change) for r in got.collect()) == [("a", "CHANGED"), ("c", "ADDED")]
 
 
+def captured(spark, source, *batches):
+    for rows in batches:
+        frame = spark.createDataFrame(rows, CAPTURES.replace("captured_at TIMESTAMP", "captured_at STRING"))
+        frame.withColumn("captured_at", F.to_timestamp("captured_at")).coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", 1).parquet(source)
+
+
 def test_snapshot_drift_waits_for_whole_snapshots(spark, tmp_path):
-    schema = "target string, snapshot string, n_tools long, tool string, def_hash string"
-    base = spark.createDataFrame([("t", "a", "1"), ("t", "b", "1"), ("t", "c", "1"), ("u", "a", "1")], "target string, tool string, def_hash string")
-    source = str(tmp_path / "in")
-    # the first snapshot comes in two batches, the second one never comes whole
-    for rows in ([("t", "s1", 2, "a", "2")], [("t", "s1", 2, "b", "1"), ("u", "s2", 2, "a", "9")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    snapshot_drift(stream, base, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "drift"))
-    assert sorted((r.target, r.snapshot, r.tool, r.change) for r in got.collect()) == [("t", "s1", "a", "CHANGED"), ("t", "s1", "c", "REMOVED")]
+    base = spark.createDataFrame([("t", "a", "1"), ("t", "b", "1"), ("t", "c", "1"), ("u", "a", "1"), ("v", "x", "1")], "target string, tool string, def_hash string")
+    day = "2024-01-02 00:00:00"
+    stream = captured(
+        spark, str(tmp_path / "in"),
+        # the first snapshot comes in two batches, its rows twice; the second one never comes whole; the third has no tools
+        [("t", "s1", 2, "a", "2", day), ("t", "s1", 2, "a", "2", day)],
+        [("t", "s1", 2, "b", "1", day), ("u", "s2", 2, "a", "9", day), ("v", "s3", 0, None, None, day), (None, "s", 1, "a", "1", day)],
+        # what was given out already is repeated, then time goes on and state ends
+        [("t", "s1", 2, "a", "2", day), ("v", "s3", 0, None, None, day)],
+        [("w", "later", 1, "a", "1", "2024-01-03 00:00:00")],
+        [("w", "last", 1, "a", "1", "2024-01-04 00:00:00")],
+    )
+    out = str(tmp_path / "out")
+    snapshot_drift(stream, base, out, str(tmp_path / "c")).awaitTermination()
+    got = spark.read.parquet(f"{out}/drift").filter("target <> 'w'").collect()
+    assert sorted((r.target, r.snapshot, r.tool, r.change) for r in got) == [
+        ("t", "s1", "a", "CHANGED"), ("t", "s1", "c", "REMOVED"), ("v", "s3", "x", "REMOVED")]
+    assert [(r.target, r.snapshot, r.n_tools, r.seen) for r in spark.read.parquet(f"{out}/expired").collect()] == [("u", "s2", 2, 1)]
 
 
 def test_newest_baseline_is_read_alone(spark, tmp_path):

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # filters reach sources written in Python
     "spark.sql.python.filterPushdown.enabled": "true",
+    # keyed state with timers; it lies on disk, so it may outgrow memory
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # repeated keys in manifests: the last one counts, as JSON readers do
     "spark.sql.variant.allowDuplicateKeys": "true",
     # sources travel to Python in batches of bounded bytes, whatever the file sizes

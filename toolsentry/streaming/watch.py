@@ -6,9 +6,8 @@ from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from toolsentry.operators.drift import def_hash, drift, latest_baseline
+from toolsentry.operators.drift import def_hash
 from toolsentry.operators.findings import finalize
 from toolsentry.operators.rules import Rule
 from toolsentry.operators.text_scan import TEXT_DETECTORS, tool_findings
@@ -41,7 +40,7 @@ def stream_drift(tools: DataFrame, baselines: DataFrame, late: str = "1 hour") -
 
     Repeated captures of one definition are dropped with a watermark, so state stays bounded
     by the definitions seen within the window. A tool missing from a stream proves nothing;
-    REMOVED needs a whole snapshot, see ``snapshot_drift``.
+    REMOVED needs a whole snapshot, see ``snapshots``.
     """
     seen = (
         tools.select(
@@ -60,35 +59,3 @@ def stream_drift(tools: DataFrame, baselines: DataFrame, late: str = "1 hour") -
         .filter(F.col("change").isNotNull())
         .select("target", "tool", "change", "old_hash", "new_hash", "captured_at")
     )
-
-
-def snapshot_drift(hashes: DataFrame, baselines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the full drift, REMOVED included, of each snapshot that is complete.
-
-    ``hashes`` streams ``target, snapshot, n_tools, tool, def_hash``: a capture names its snapshot and how many tools it
-    has. Rows of a snapshot may come in several micro-batches; they are kept in ``{path}/seen`` until all are there, and
-    only then compared with ``baselines`` (one snapshot, as ``read_baseline`` gives it). So a capture that was cut in two
-    never shows tools as REMOVED. A batch that is run again after a failure replaces its own output.
-    """
-    seen, kinds = f"{path}/seen", "target STRING, snapshot STRING, n_tools BIGINT, tool STRING, def_hash STRING"
-
-    def compare(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-        so_far = spark.read.schema(f"{kinds}, batch BIGINT").parquet(seen).filter(F.col("batch") <= batch_id)
-        named = ["target", "snapshot"]
-        whole = so_far.groupBy(*named).agg(F.count_distinct("tool").alias("n"), F.max("n_tools").alias("n_tools"), F.max("batch").alias("last"))
-        complete = whole.filter((F.col("n") >= F.col("n_tools")) & (F.col("last") == batch_id)).select(*named)
-        tools = so_far.join(complete, named, "left_semi").groupBy(*named, "tool").agg(F.max("def_hash").alias("def_hash"))
-        asked = complete.join(baselines.select("target", "tool", "def_hash"), "target")
-        keyed = F.concat_ws("\x00", "target", "snapshot").alias("target")
-        changes = drift(tools.select(keyed, "tool", "def_hash"), asked.select(keyed, "tool", "def_hash"))
-        split = F.split("target", "\x00")
-        changes.withColumns({"target": split[0], "snapshot": split[1]}).write.mode("overwrite").parquet(f"{path}/drift/batch={batch_id}")
-
-    return (
-        hashes.writeStream.foreachBatch(compare)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
