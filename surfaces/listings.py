@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfaces import planted
+from toolsentry import fixed_values as fv
 from toolsentry.operators import drift
+from toolsentry.operators.findings import finalize
+from toolsentry.operators.lookalikes import lookalikes, typosquat_findings
 from toolsentry.sinks import tables
 from toolsentry.sources.files import as_files
 from toolsentry.sources.lists import allow_union, allowlist_from_lines, targets_from_lines
+from toolsentry.sources.tree import decoded
 from toolsentry.sources.tools import as_tools, inspect_tools, tools_from_payload
 
 
@@ -80,7 +84,38 @@ def unpruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_files(documents.select(F.col("source").alias("target"), path.alias("path"), F.col("text").alias("content"))).select("target", "path", "role")
 
 
+def _words(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9]+"), F.lit(0))
+    return planted.read(spark, sf_dir, table).select(F.explode(words).alias("name"))
+
+
+def lookalike_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations next to a dictionary of all words of documents."""
+    return lookalikes(_words(spark, sf_dir, "conversations"), _words(spark, sf_dir, "documents"))
+
+
+def typosquat_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted manifests against a table of popular names and the sources' names."""
+    sources = planted.read(spark, sf_dir, "documents").select(F.col("source").alias("name"))
+    popular = spark.createDataFrame([(n,) for n in fv.POPULAR_PACKAGES], "name string")
+    found = finalize(typosquat_findings(planted.package_files(spark, sf_dir), popular.unionByName(sources)))
+    return found.select("target", "rule_id", F.col("severity").cast("int").alias("severity"), "owasp_id", "confidence", "location", "evidence", "fingerprint")
+
+
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes of which some are no UTF-8: their text, and the files with bytes that were left out."""
+    documents = planted.read(spark, sf_dir, "documents")
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    odd = planted.pick(planted.ODD_BYTES, "doc_id")
+    raw = F.concat(F.lit(b"x\r\n"), F.unhex(odd), text, F.unhex(odd))
+    files = decoded(documents.select(F.col("source").alias("target"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), raw.alias("bytes")))
+    return files.select("target", "path", F.sha2("content", 256).alias("content_sha256"), "ignored_bytes", F.length("read_as").alias("lossless_chars"))
+
+
 QUERIES = {
+    "lookalike_words": lookalike_words,
+    "typosquat_table": typosquat_table,
+    "decoded_files": decoded_files,
     "target_list": target_list,
     "allow_lists": allow_lists,
     "allow_add_new": new_entries,

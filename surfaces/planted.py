@@ -86,6 +86,8 @@ TARGET_LINES = [
     "ftp://h.example/{}",
 ]
 ALLOW_LINES = ["{}", " {}  # known", "# {}", "", "{}#old", "\t{}\t", "   # {}", "#"]
+# bytes in hexadecimal, none of them UTF-8 as they stand
+ODD_BYTES = ["", "FF", "C328", "", "E282", "80FE", ""]
 PRUNED_PATHS = ["src", "node_modules/x", "a/.git/b", "build", "lib/dist", "Build", "buildx", ".venv/lib", "a.git", "x/__pycache__", "venv"]
 
 

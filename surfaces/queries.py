@@ -124,6 +124,11 @@ def sorted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fnd.with_severity_label(ordered).select("severity_label", "target", "rule_id", "location", "fingerprint")
 
 
+def findings_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = fnd.findings_positions(kept_findings(spark, sf_dir))
+    return fnd.with_severity_label(placed).select("position", "severity_label", "target", "rule_id", "location", "fingerprint")
+
+
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.grade(kept_findings(spark, sf_dir), planted.targets(spark, sf_dir))
 
@@ -321,6 +326,8 @@ REGISTRY: dict[str, Query] = {
     "findings_suppressed": lambda s, d: shown(kept_findings(s, d)),
     "suppressed_counts": suppressed_counts,
     "findings_sorted": sorted_findings,
+    "findings_positions": findings_positions,
+    "corpus_positions": lambda s, d: scoring.corpus_positions(summary(s, d)).select("position", "target", "error", "score"),
     "severity_counts": lambda s, d: scoring.severity_counts(kept_findings(s, d)),
     "grade_by_target": graded,
     "corpus_summary": summary,

@@ -17,7 +17,8 @@ def positioned(rows: DataFrame, order: list[Column], name: str = "position") ->
     Rows are dealt by ranges of the order and sorted within them, which is the only shuffle; the sorted ranges are
     written to the scratch folder, where a row's partition and place in it are read off its row number. What a place
     lacks is the number of rows in earlier ranges: a running sum over one count for each range. Rows that are equal
-    in ``order`` are dealt too, so a hot value does not fill one range; their places among each other are any.
+    in ``order`` are dealt too, so a hot value does not fill one range; their places among each other are any. Ranges come
+    from a sample, which reads the rows once more: land rows that are costly to make.
     """
     spark = rows.sparkSession
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
+from toolsentry.functions.ranking import positioned
 from toolsentry.functions.text import collapse_spaces, severity_name, sha256_prefix
 from toolsentry.schemas import FINDING_COLUMNS
 
@@ -114,9 +115,19 @@ def coverage_gaps(detector_categories: DataFrame) -> DataFrame:
     )
 
 
+def severest_first() -> list[Column]:
+    """The order of findings in reports; a total order but for equal findings."""
+    return [F.col("severity").desc(), *[F.col(c).asc() for c in ("target", "detector", "location", "rule_id", "fingerprint")]]
+
+
 def findings_sort(findings: DataFrame) -> DataFrame:
     """Severest first, in a total order."""
-    return findings.orderBy(F.col("severity").desc(), "target", "detector", "location", "rule_id", "fingerprint")
+    return findings.orderBy(*severest_first())
+
+
+def findings_positions(findings: DataFrame) -> DataFrame:
+    """Findings with their ``position`` (1, 2, 3 ...) in the order of ``findings_sort``, so the order survives any later step."""
+    return positioned(findings, severest_first())
 
 
 def with_severity_label(findings: DataFrame) -> DataFrame:

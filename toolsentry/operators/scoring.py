@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolsentry import fixed_values as fv
+from toolsentry.functions.ranking import positioned
 from toolsentry.functions.text import severity_name
 
 COUNTS = ["critical", "high", "medium", "low", "info"]
@@ -78,9 +79,18 @@ def corpus_totals(summary: DataFrame) -> DataFrame:
     )
 
 
+def worst_first() -> list[Column]:
+    return [F.col("score").asc_nulls_last(), F.col("target").asc()]
+
+
 def corpus_sort(summary: DataFrame) -> DataFrame:
     """Worst score first, unreadable targets last."""
-    return summary.orderBy(F.col("score").asc_nulls_last(), "target")
+    return summary.orderBy(*worst_first())
+
+
+def corpus_positions(summary: DataFrame) -> DataFrame:
+    """The summary with each target's ``position`` (1, 2, 3 ...) in the order of ``corpus_sort``."""
+    return positioned(summary, worst_first())
 
 
 def gate(findings: DataFrame, targets: DataFrame, fail_on: str = "none") -> DataFrame:

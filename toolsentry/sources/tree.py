@@ -65,8 +65,8 @@ def decode(data: bytes) -> tuple[str, int]:
 
 
 def contents(root: str, path: str) -> tuple[str | None, str | None, int, str | None]:
-    """``(content, error, ignored bytes, lossless text)``: the lossless text, where bytes were left out, has each of them as
-    a lone mark, U+DC80 to U+DCFF, written ``\\xNN``, so that none is lost without trace. Lockfiles are not opened."""
+    """``(content, error, ignored bytes, lossless text)``: the lossless text, given where bytes were left out, spells each of
+    them as ``\\xnn``, so that none is lost without trace. Lockfiles are not opened."""
     name = PurePath(path).name
     if name in _LOCKS:
         return None, None, 0, None
@@ -79,6 +79,25 @@ def contents(root: str, path: str) -> tuple[str | None, str | None, int, str | N
     return text, None, ignored, data.decode("utf-8", "backslashreplace") if ignored else None
 
 
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        read = [(None, None, None) if data is None else (*decode(data), data) for data in batch["bytes"]]
+        yield batch.assign(
+            content=[text for text, *_ in read], ignored_bytes=[ignored for _, ignored, _ in read],
+            read_as=[data.decode("utf-8", "backslashreplace") if ignored else None for _, ignored, data in read],
+        )[["target", "path", "content", "ignored_bytes", "read_as"]]
+
+
+def decoded(raw: DataFrame) -> DataFrame:
+    """``(target, path, content, ignored_bytes, read_as)`` of landed ``(target, path, bytes)``, read as files of a tree are.
+
+    ``content`` lacks bytes that are no UTF-8, ``ignored_bytes`` counts them, and ``read_as`` spells them out (null if there are
+    none). Null bytes stay null.
+    """
+    kinds = "target STRING, path STRING, content STRING, ignored_bytes BIGINT, read_as STRING"
+    return raw.select("target", "path", "bytes").mapInPandas(_decoded, kinds)
+
+
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for target in batch.target:
