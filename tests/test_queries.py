@@ -67,6 +67,26 @@ def test_scans_of_a_files_table_read_what_they_need(spark, tmp_path):
     assert read_files(spark, str(tmp_path / "files")).count() == files.count()
 
 
+def test_an_audit_reads_contents_once_for_each_role(spark, tmp_path):
+    """Over a landed table: every scan is pruned by role; configs are read once and once more for TOML, sources twice."""
+    write_files(planted.all_files(spark, SF), str(tmp_path / "files"))
+    plan = plan_of(Audit(files=read_files(spark, str(tmp_path / "files"))).all_findings())
+    scans = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters.*?ReadSchema: (\S+)", plan)
+    assert len(scans) == plan.count("FileScan") and all("role" in pruned for pruned, _ in scans)
+    contents = [re.search(r"role#\d+ = (\w+)", pruned)[1] for pruned, read in scans if "content" in read]
+    assert sorted(contents) == ["config", "config", "source", "source"]
+
+
+def test_scans_together_find_what_they_find_alone(spark):
+    files = planted.all_files(spark, SF).persist()
+    together = Audit(files=files).all_findings()
+    alone = [Audit(files=files, scans=[name]).all_findings() for name in ("config_texts", "lines", "python_calls", "manifests")]
+    rows = lambda *parts: sorted(tuple(map(str, r)) for part in parts for r in part.collect())
+    assert rows(together) == rows(*alone)
+    assert rows(Audit(files=files, scans=["lines", "config_texts"]).all_findings()) == rows(alone[0], alone[1])
+    files.unpersist()
+
+
 def test_lock_cover_reads_manifests_and_lockfiles_only(spark, tmp_path):
     write_files(planted.all_files(spark, SF), str(tmp_path / "files"))
     cover = plan_of(manifest_scan.lock_cover(spark.read.parquet(str(tmp_path / "files"))))

@@ -58,3 +58,9 @@ def rule_hit(detector: str, owasp_id: str, rule: Rule, text: str, folded: str, w
 def collected(hits: list[str]) -> str:
     """The hits that are there, of expressions that are NULL otherwise."""
     return f"array_compact(array({', '.join(hits)}))" if hits else NO_HITS
+
+
+def placed(hits: str, location: str) -> str:
+    """Hits without a place as hits at ``location``."""
+    names = [field.split(":")[0] for field in HIT_TYPE[len("array<struct<"):-2].split(",")]
+    return f"transform({hits}, h -> {sql.struct(**{n: f'h.{n}' for n in names}, location=location)})"

@@ -15,7 +15,7 @@ from toolsentry import fixed_values as fv
 from toolsentry.functions import regex, sql
 from toolsentry.functions.text import is_build_path, is_test_path, split_lines
 from toolsentry.operators import secrets
-from toolsentry.operators.hits import NO_HITS, collected, hit
+from toolsentry.operators.hits import NO_HITS, collected, hit, placed
 
 D2, D3 = "D2", "D3"
 SINK_OWASP_ID = "MCP05"
@@ -125,6 +125,19 @@ def line_findings(files: DataFrame, detectors: Collection[str] = (D2, D3)) -> Da
     return lines.select("target", location.alias("location"), F.inline(F.expr(found)))
 
 
+def config_line_hits(lines: str, folded: str) -> str:
+    """The credential hits of the lines of a config, with their places, in a row with ``location`` and ``in_test``.
+
+    ``lines`` and ``folded`` (the folded content) are SQL expressions. What ``line_findings`` says about sources' code never
+    applies to configs.
+    """
+    worded = f"transform({lines}, (text, at) -> {sql.struct(text='text', folded=sql.folded('text'), at='at')})"
+    found = f"CASE WHEN {secrets.may_hold_secret('l.text', 'l.folded')} THEN {secrets.secret_hits('l.text', 'l.folded', 'in_test')} END"
+    place = "concat(location, ':', l.at + 1)"
+    of_lines = f"transform({worded}, l -> {placed(found, place)})"
+    return f"CASE WHEN {secrets.may_hold_secret('content', folded)} THEN flatten(array_compact({of_lines})) END"
+
+
 def secret_findings(files: DataFrame) -> DataFrame:
     return line_findings(files, [D2])
 

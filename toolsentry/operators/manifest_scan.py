@@ -42,27 +42,32 @@ def _entries(members: Column) -> Column:
 
 def _json_manifests(files: DataFrame, names: list[str]) -> DataFrame:
     """Parsed JSON files; ``document`` is NULL unless the file holds an object."""
+    return files.filter(F.col("name").isin(names) & (F.col("role") == "config")).select(
+        "target", "path", "location", json_documents(names).alias("document")
+    )
+
+
+def json_documents(names: list[str]) -> Column:
+    """The parsed content of files of these names; NULL for all others and unless the file holds an object."""
     is_object = F.rlike("content", F.lit(f"^[{regex.SPACE}]*\\{{")) & F.expr(
         "endswith(trim(TRAILING ' \\t\\n\\r' FROM content), '}')"
     )
-    return files.filter(F.col("name").isin(names) & (F.col("role") == "config")).select(
-        "target", "path", "location", F.when(is_object, F.try_parse_json("content")).alias("document")
-    )
+    return F.when(F.col("name").isin(names) & is_object, F.try_parse_json("content"))
 
 
-def _package_manifests(files: DataFrame) -> DataFrame:
-    """package.json files with each section as a map.
+def _package_manifests(documents: DataFrame, *more: str) -> DataFrame:
+    """Parsed package.json files (and the columns ``more``) with each section as a map.
 
     ``bad_<section>`` tells that a section is there but no object; a file with one yields
     nothing to the checks that read the section.
     """
     sections = ["scripts", *fv.NPM_SECTIONS]
-    members = _json_manifests(files, ["package.json"]).select(
-        "target", "path", "location", F.col("document").isNotNull().alias("parsed"),
+    members = documents.select(
+        "target", "path", "location", *more, F.col("document").isNotNull().alias("parsed"),
         *[_member(F.col("document"), s).alias(s) for s in sections],
     )
     return members.select(
-        "target", "path", "location", "parsed",
+        "target", "path", "location", *more, "parsed",
         *[_as_map(F.col(s)).alias(s) for s in sections],
         *[(_as_map(F.col(s)).isNull() & present(F.col(s))).alias(f"bad_{s}") for s in sections],
     )
@@ -99,7 +104,7 @@ def _npm_dependencies(sections: list[str]) -> Column:
 def npm_deps(files: DataFrame, sections: list[str] = fv.NPM_SECTIONS) -> DataFrame:
     """``(target, path, section, dep, spec, spec_is_string)`` of every package.json."""
     return (
-        _package_manifests(files)
+        _package_manifests(_json_manifests(files, ["package.json"]))
         .filter(_sound(sections))
         .select("target", "path", F.inline(_npm_dependencies(sections)))
         .select(
@@ -142,19 +147,22 @@ def pyproject_deps(files: DataFrame) -> DataFrame:
     )
 
 
-def _requirement_lines(files: DataFrame) -> DataFrame:
-    return (
-        files.filter((F.col("name") == "requirements.txt") & (F.col("role") == "config"))
-        .select("target", "path", "location", F.posexplode(split_lines(F.col("content"))).alias("at", "line"))
-        .filter(F.expr(sql.rlike("line", f"^[{regex.SPACE}]*[^{regex.SPACE}#-]")))
-        .select("target", "path", "location", (F.col("at") + 1).alias("line_no"), strip(F.col("line")).alias("requirement"))
-        .withColumn("dep", dependency_name(F.col("requirement")))
-    )
+def requirements(content: Column) -> Column:
+    """``array<struct<line_no, requirement, dep>>`` of the kept lines of a requirements.txt file."""
+    numbered = F.transform(split_lines(content), lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
+    kept = F.filter(numbered, lambda r: F.rlike(r["line"], F.lit(f"^[{regex.SPACE}]*[^{regex.SPACE}#-]")))
+    stripped = F.transform(kept, lambda r: F.struct(r["line_no"].alias("line_no"), strip(r["line"]).alias("requirement")))
+    return F.transform(stripped, lambda r: F.struct(r["line_no"].alias("line_no"), r["requirement"].alias("requirement"), dependency_name(r["requirement"]).alias("dep")))
+
+
+def _requirement_files(files: DataFrame) -> DataFrame:
+    return files.filter((F.col("name") == "requirements.txt") & (F.col("role") == "config"))
 
 
 def requirements_deps(files: DataFrame) -> DataFrame:
     """``(target, path, line_no, requirement, dep)`` of every kept requirements.txt line."""
-    return _requirement_lines(files).filter(F.col("dep") != "").drop("location")
+    lines = _requirement_files(files).select("target", "path", F.inline(requirements(F.col("content"))))
+    return lines.filter(F.col("dep") != "")
 
 
 def manifest_deps(files: DataFrame) -> DataFrame:
@@ -178,7 +186,7 @@ def manifest_deps(files: DataFrame) -> DataFrame:
 def manifest_errors(files: DataFrame) -> DataFrame:
     """Manifests that yield nothing because they are malformed: ``(target, path)``."""
     files = files.filter(F.col("content").isNotNull())
-    npm = _package_manifests(files).filter(~_sound(["scripts", *fv.NPM_SECTIONS]))
+    npm = _package_manifests(_json_manifests(files, ["package.json"])).filter(~_sound(["scripts", *fv.NPM_SECTIONS]))
     clients = _json_manifests(files, fv.CLIENT_CONFIG_NAMES).filter(F.col("document").isNull())
     projects = _pyprojects(files).filter(F.col("requirements").isNull())
     return npm.select("target", "path").unionByName(clients.select("target", "path")).unionByName(
@@ -313,14 +321,14 @@ def _hooks() -> Column:
     return F.array(*bodies)
 
 
-def _npm_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
-    """Per package.json: hits that need no lockfile, and the loose dependencies.
+def npm_rows(documents: DataFrame, detectors: Collection[str], *more: str) -> DataFrame:
+    """Per package.json: hits that need no lockfile, the loose dependencies, and the columns ``more``.
 
     Files that are no object stay in as rows without hits; filtering on the parsed document
     would parse it twice.
     """
     hits, loose = [_NO_HITS], _NO_NAMES
-    judged = _package_manifests(files)
+    judged = _package_manifests(documents, *more)
     sound = _sound(["scripts", *fv.NPM_SECTIONS])
     if D4 in detectors:
         spelled = "if(schema_of_variant(d.spec) = 'STRING', try_variant_get(d.spec, '$', 'string'), NULL)"
@@ -341,12 +349,12 @@ def _npm_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
         own = f"array_contains({sql.array(fv.SDK_PACKAGES)}, n) OR startswith(n, {sql.quoted(fv.SDK_NPM_SCOPE)})"
         hits.append(f"coalesce(transform(filter(names, n -> {own}), n -> {_sdk_hit('n')}), {_NO_HITS})")
     return judged.select(
-        "target", "path", "location", F.lit("npm").alias("ecosystem"), sound.alias("sound"),
+        "target", "path", "location", *more, F.lit("npm").alias("ecosystem"), sound.alias("sound"),
         F.expr(sql.concat(*hits)).alias("hits"), F.expr(loose).alias("loose"),
     )
 
 
-def _pyproject_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
+def pyproject_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
     requirements = F.transform(
         F.col("requirements"), lambda r: F.struct(dependency_name(r).alias("name"), r.alias("evidence"))
     )
@@ -369,7 +377,7 @@ def _pyproject_rows(files: DataFrame, detectors: Collection[str]) -> DataFrame:
     )
 
 
-def _with_lockfile_hits(rows: DataFrame, files: DataFrame) -> DataFrame:
+def with_lockfile_hits(rows: DataFrame, files: DataFrame) -> DataFrame:
     covered = lock_cover(files).withColumn("locked", F.lit(True))
     npm = "ecosystem = 'npm'"
     severity = f"if({npm} AND locked, {fv.INFO}, {fv.LOW})"
@@ -387,46 +395,59 @@ def _with_lockfile_hits(rows: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def _requirement_findings(files: DataFrame, detectors: Collection[str]) -> DataFrame:
+def requirement_hits(kept: str, detectors: Collection[str]) -> str:
+    """Hits of an ``array<struct<line_no, requirement, dep>>`` in a row with a ``location``."""
     hits = []
     if D4 in detectors:
-        found = _unpinned_hit("dep", "requirement", str(fv.LOW), "concat(location, ':', line_no)")
-        hits.append(f"CASE WHEN dep <> '' AND {python_loose('requirement', 'dep')} THEN {found} END")
+        found = _unpinned_hit("r.dep", "r.requirement", str(fv.LOW), "concat(location, ':', r.line_no)")
+        hits.append(f"CASE WHEN r.dep <> '' AND {python_loose('r.requirement', 'r.dep')} THEN {found} END")
     if D5 in detectors:
-        own = f"array_contains({sql.array(fv.SDK_PACKAGES)}, lower(dep))"
-        hits.append(f"CASE WHEN {own} THEN {_sdk_hit('lower(dep)')} END")
-    return _requirement_lines(files).select("target", F.inline(F.expr(collected(hits))))
+        own = f"array_contains({sql.array(fv.SDK_PACKAGES)}, lower(r.dep))"
+        hits.append(f"CASE WHEN {own} THEN {_sdk_hit('lower(r.dep)')} END")
+    return f"coalesce(flatten(transform({kept}, r -> {collected(hits)})), {_NO_HITS})"
 
 
-def _declared_server_findings(files: DataFrame) -> DataFrame:
-    document = F.col("document")
-    servers = F.when(present(_member(document, "mcpServers")), _member(document, "mcpServers")).otherwise(
-        _member(document, "servers")
-    )
-    config, arguments = F.col("config"), F.col("arguments")
+def _requirement_findings(files: DataFrame, detectors: Collection[str]) -> DataFrame:
+    kept = _requirement_files(files).select("target", "location", requirements(F.col("content")).alias("kept"))
+    return kept.select("target", F.inline(F.expr(requirement_hits("kept", detectors))))
+
+
+def _launch(config: Column) -> Column:
+    """How a server is started: command and arguments, else its address."""
+    arguments = _member(config, "args")
     spelled = F.transform(arguments.try_cast("array<variant>"), as_text)
     letters = F.when(F.schema_of_variant(arguments) == "STRING", F.split(F.try_variant_get(arguments, "$", "string"), ""))
     parts = F.concat(
         F.array(F.coalesce(as_text(_member(config, "command")), F.lit(""))),
         F.coalesce(F.when(present(arguments), F.coalesce(spelled, letters)), F.array().cast("array<string>")),
     )
+    command = strip(F.array_join(F.filter(parts, lambda p: p != ""), " "))
     url = F.when(present(_member(config, "url")), as_text(_member(config, "url")))
-    launch = F.when(F.col("command") != "", F.col("command")).otherwise(F.col("url"))
+    return F.when(_as_map(config).isNotNull(), F.coalesce(F.nullif(command, F.lit("")), url))
+
+
+def servers(document: Column) -> Column:
+    """``array<struct<server, launch>>`` that a client config declares."""
+    declared = F.when(present(_member(document, "mcpServers")), _member(document, "mcpServers")).otherwise(
+        _member(document, "servers")
+    )
+    return F.transform(_entries(_as_map(declared)), lambda e: F.struct(e["key"].alias("server"), _launch(e["value"]).alias("launch")))
+
+
+def server_hits(declared: str) -> str:
+    """Hits of an ``array<struct<server, launch>>`` in a row with a ``location``."""
     found = _inventory_hit(
-        "concat('Config declares tool server ', server)",
-        f"concat(server, ': ', coalesce(launch, {sql.quoted(fv.EV_NO_COMMAND)}))",
+        "concat('Config declares tool server ', s.server)",
+        f"concat(s.server, ': ', coalesce(s.launch, {sql.quoted(fv.EV_NO_COMMAND)}))",
         "Check that somebody knows and trusts this server.",
     )
-    return (
-        _json_manifests(files, fv.CLIENT_CONFIG_NAMES)
-        .select("target", "location", F.explode(_entries(_as_map(servers))).alias("entry"))
-        .select("target", "location", F.col("entry.key").alias("server"), F.col("entry.value").alias("config"))
-        .withColumn("arguments", _member(config, "args"))
-        .withColumn("command", strip(F.array_join(F.filter(parts, lambda p: p != ""), " ")))
-        .withColumn("url", url)
-        .withColumn("launch", F.when(_as_map(config).isNotNull(), launch))
-        .select("target", F.inline(F.expr(f"array({found})")))
-    )
+    return f"coalesce(transform({declared}, s -> {found}), {_NO_HITS})"
+
+
+def _declared_server_findings(files: DataFrame) -> DataFrame:
+    configs = _json_manifests(files, fv.CLIENT_CONFIG_NAMES)
+    declared = configs.select("target", "location", servers(F.col("document")).alias("declared"))
+    return declared.select("target", F.inline(F.expr(server_hits("declared"))))
 
 
 def declared_servers(files: DataFrame) -> DataFrame:
@@ -436,9 +457,9 @@ def declared_servers(files: DataFrame) -> DataFrame:
 
 def manifest_findings(files: DataFrame, detectors: Collection[str] = (D4, D5)) -> DataFrame:
     """Findings of the chosen detectors on package manifests and client configs."""
-    rows = _npm_rows(files, detectors).unionByName(_pyproject_rows(files, detectors))
+    rows = npm_rows(_json_manifests(files, ["package.json"]), detectors).unionByName(pyproject_rows(files, detectors))
     if D4 in detectors:
-        rows = _with_lockfile_hits(rows, files)
+        rows = with_lockfile_hits(rows, files)
     found = rows.select("target", F.inline("hits")).unionByName(_requirement_findings(files, detectors))
     if D5 in detectors:
         found = found.unionByName(_declared_server_findings(files))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from toolsentry.operators import line_scan, manifest_scan, python_scan, text_scan
+from toolsentry.operators import config_pass, line_scan, manifest_scan, python_scan, text_scan
 from toolsentry.operators.findings import finalize, suppress, union_findings
 from toolsentry.operators.rules import Rule
 from toolsentry.operators.scoring import corpus_summary
@@ -61,7 +61,15 @@ class Audit:
     def all_findings(self) -> DataFrame:
         """Findings before suppression."""
         tables = {k: v for k, v in (("tools", self.tools), ("files", self.files)) if v is not None}
-        parts = [SCANS[name].run(tables, self.rules) for name in self.scans if SCANS[name].needs in tables]
+        parts, alone = [], [name for name in self.scans if SCANS[name].needs in tables]
+        shared = [name for name in alone if name in (config_pass.TEXTS, config_pass.LINES, config_pass.MANIFESTS)]
+        if len(shared) > 1:
+            # contents of configs are read once for all scans that look at them; lines of sources stay a scan of their own
+            parts.append(config_pass.config_pass(self.files, shared, self.rules))
+            if config_pass.LINES in shared:
+                parts.append(line_scan.line_findings(self.files.filter("role = 'source'")))
+            alone = [name for name in alone if name not in shared]
+        parts += [SCANS[name].run(tables, self.rules) for name in alone]
         return finalize(union_findings(parts), self.id_prefix)
 
     def findings(self) -> DataFrame:
