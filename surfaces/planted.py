@@ -8,6 +8,7 @@ constants feed the Spark expressions here and the SQL in ``oracles``.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -410,3 +411,31 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target", F.lit("empty").alias("snapshot"), F.lit(0).cast("bigint").alias("n_tools"), F.lit(None).cast("string").alias("tool"),
         F.lit(None).cast("string").alias("def_hash"), F.lit(SNAPSHOT_CUT).cast("timestamp").alias("captured_at")).distinct()
     return rows.select(empty.columns).unionByName(empty)
+
+
+#: Packs of a target by the remainder of its number: one that raises a rule and adds another, one that comes to nothing.
+PACKS = {
+    0: [{"id": "D1-DIRECTIVE", "severity": "critical", "confidence": "no such level"}, {"id": "D1-CUSTOM", "pattern": r"(token|key) = ", "severity": "low", "confidence": "low"}],
+    1: [{"id": "D1-BROKEN", "pattern": "("}, {"id": "D1-JVM", "pattern": "(?P<a_b>the)"}, {"id": "D1-EMPTY"}],
+}
+
+
+def pack_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pack of each source, as rows; sources of the remainder 2 have none."""
+    number = F.regexp_extract("target", "([0-9]+)$", 1).cast("int") % 3
+    sources = read(spark, sf_dir, "documents").select(F.col("source").alias("target")).distinct()
+    fields = ["id", "pattern", "severity", "confidence", "title", "recommendation", "owasp_id"]
+    rows = [(n, "poisoning", i, *[entry.get(f) for f in fields]) for n, entries in PACKS.items() for i, entry in enumerate(entries)]
+    kinds = "number INT, pack STRING, ord INT, " + ", ".join(f"{f} STRING" for f in fields)
+    return sources.withColumn("number", number).join(F.broadcast(spark.createDataFrame(rows, kinds)), "number").drop("number")
+
+
+def scorer() -> Callable[[str], str]:
+    """A second opinion that always says the same of a snippet, and fails on some; it travels to the workers as it is."""
+
+    def opinion(snippet: str) -> str:
+        if len(snippet) % 5 == 0:
+            raise ValueError("no answer")
+        return f"  {len(snippet)}\n characters " if len(snippet) % 5 > 1 else " \n"
+
+    return opinion

@@ -19,6 +19,7 @@ from toolsentry.plans.audit import Audit, detector_categories
 from toolsentry.session import configure, scratch_path
 from toolsentry.sinks import reports
 from toolsentry.sources.files import exclude_paths, find_client_configs
+from toolsentry.sources.rulepack import findings_by_pack
 from toolsentry.streaming.snapshots import snapshot_drift
 from toolsentry.streaming.watch import stream_drift, stream_scan
 
@@ -63,6 +64,20 @@ def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(text_scan.tool_findings(plain, {POISONING: rules}, ["D1"]))
 
 
+def target_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source under its own pack: one that changes rules, one that comes to nothing, or none."""
+    return shown(findings_by_pack(planted.tools(spark, sf_dir), planted.pack_entries(spark, sf_dir), ["D1"]))
+
+
+def verdicts_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinions of a scorer on every distinct snippet, attached to the findings that share it; failures are no opinions."""
+    path = scratch_path(spark, "scored")
+    kept_findings(spark, sf_dir).write.parquet(f"{path}/findings")
+    found = spark.read.parquet(f"{path}/findings")
+    verdicts = fnd.scored_verdicts(found, planted.scorer(), f"{path}/scores")
+    return fnd.attach_verdict(found, verdicts).select("target", "rule_id", "location", "fingerprint", "note")
+
+
 def only(found: DataFrame, *rules: str) -> DataFrame:
     return shown(found.filter(F.col("rule_id").isin(*rules)))
 
@@ -303,6 +318,7 @@ REGISTRY: dict[str, Query] = {
     "oversharing_scan": text_query("D7"),
     "tool_secret_scan": text_query("D2"),
     "rule_merge": custom_rules,
+    "rule_packs_by_target": target_rules,
     "secret_scan": lambda s, d: shown(line_scan.secret_findings(planted.code_files(s, d))),
     "secret_generic_real": lambda s, d: shown(line_scan.secret_findings(planted.raw_text_files(s, d))),
     "js_sink_scan": lambda s, d: shown(line_scan.js_sink_findings(planted.code_files(s, d))),
@@ -339,6 +355,7 @@ REGISTRY: dict[str, Query] = {
     "coverage_check": coverage_check,
     "detector_claims": detector_claims,
     "attach_verdict": verdicts_attached,
+    "verdicts_scored": verdicts_scored,
     "owasp_label": labels,
     "sarif_rows": lambda s, d: reports.sarif_rows(kept_findings(s, d)).drop("message"),
     "sarif_documents": sarif_documents,

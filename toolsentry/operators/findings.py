@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from toolsentry.functions.ranking import positioned
 from toolsentry.functions.text import collapse_spaces, severity_name, sha256_prefix
 from toolsentry.schemas import FINDING_COLUMNS
 
+#: A second opinion on a snippet of evidence; None if there is none.
+Scorer = Callable[[str], str | None]
+
 
 def fingerprint(id_prefix: str = "") -> Column:
     """Stable 12-digit id of a finding from its rule, category, location and evidence.
@@ -81,6 +86,36 @@ def review_snippets(findings: DataFrame) -> DataFrame:
     return findings.select("fingerprint", snippet.alias("snippet")).filter(F.col("snippet") != "").distinct()
 
 
+def _judged(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def opinion(snippet: str) -> str | None:
+        try:
+            return scorer(snippet)
+        except Exception:  # a scorer is foreign code: whatever it raises, the finding just has no opinion
+            return None
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(note=[opinion(s) for s in batch.snippet])
+
+    return judge
+
+
+def scored_verdicts(findings: DataFrame, scorer: Scorer, path: str, partitions: int | None = None) -> DataFrame:
+    """``(fingerprint, note)`` of all findings a scorer has an opinion on, for ``attach_verdict``.
+
+    ``scorer`` takes a snippet and returns its note; it runs in the tasks, once for each distinct snippet, however many findings
+    share it. A failure is no opinion. Scores are landed at ``path``, so that no later step calls the scorer again.
+    ``partitions`` bounds how many calls run at a time.
+    """
+    spark = findings.sparkSession
+    snippets = review_snippets(findings)
+    distinct = snippets.select("snippet").distinct()
+    dealt = distinct.repartition(partitions, "snippet") if partitions else distinct
+    dealt.mapInPandas(_judged(scorer), "snippet STRING, note STRING").write.mode("overwrite").parquet(path)
+    scores = spark.read.schema("snippet STRING, note STRING").parquet(path)
+    return snippets.join(scores.filter(F.col("note").isNotNull()), "snippet").select("fingerprint", "note")
+
+
 def category_label(owasp_id: Column) -> Column:
     """``MCP03: Tool Poisoning``; unknown ids stay as they are."""
     titles = F.create_map(*[F.lit(v) for cid, title, _ in fv.CATEGORIES for v in (cid, title)])
