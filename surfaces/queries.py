@@ -17,7 +17,7 @@ from toolsentry.operators.rules import POISONING, merge_rules
 from toolsentry.operators.tool_text import tool_blob, tool_text
 from toolsentry.plans.audit import Audit, detector_categories
 from toolsentry.session import configure, scratch_path
-from toolsentry.sinks import reports
+from toolsentry.sinks import reports, tables
 from toolsentry.sources.files import exclude_paths, find_client_configs
 from toolsentry.sources.rulepack import findings_by_pack
 from toolsentry.streaming.snapshots import snapshot_drift
@@ -264,6 +264,15 @@ def drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drifting.drift(hashes(spark, sf_dir, early=False), hashes(spark, sf_dir, early=True))
 
 
+def drift_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift against a stored baseline: written as snapshots, the newest read back."""
+    path = scratch_path(spark, "baselines")
+    tables.write_bucketed_baseline(hashes(spark, sf_dir, early=False), path, "2023", buckets=16)
+    for _ in range(2):  # a snapshot that is written again replaces itself
+        tables.write_bucketed_baseline(hashes(spark, sf_dir, early=True), path, "2024", buckets=16)
+    return drifting.drift(hashes(spark, sf_dir, early=False), tables.read_bucketed_baseline(spark, path))
+
+
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drifting.drift_summary(hashes(spark, sf_dir, early=False), hashes(spark, sf_dir, early=True))
 
@@ -364,6 +373,7 @@ REGISTRY: dict[str, Query] = {
     "review_snippets": lambda s, d: fnd.review_snippets(kept_findings(s, d)),
     "baseline_hash": lambda s, d: hashes(s, d, early=True),
     "drift": drifted,
+    "drift_from_tables": drift_from_tables,
     "drift_summary": drift_summary,
     "stream_scan_once": stream_scan_once,
     "stream_drift_once": stream_drift_once,

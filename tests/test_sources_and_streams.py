@@ -176,6 +176,27 @@ def test_newest_baseline_is_read_alone(spark, tmp_path):
     assert re.search(r"PartitionFilters: .*snapshot#\d+ = 2024-01-02", newest._jdf.queryExecution().executedPlan().toString())
 
 
+def test_a_bucketed_baseline_does_not_move(spark, tmp_path):
+    path = str(tmp_path / "base")
+    hashes = spark.range(500).selectExpr("concat('t', id % 7) target", "cast(id AS string) tool", "sha2(cast(id AS string), 256) def_hash", "timestamp'2024-01-01' captured_at")
+    tables.write_bucketed_baseline(hashes.limit(3), path, "2024-01-02", buckets=8)
+    tables.write_bucketed_baseline(hashes.filter("cast(tool AS int) % 5 > 0"), path, "2024-01-03", buckets=8)
+    stored = tables.read_bucketed_baseline(spark, path)
+    assert stored.count() == 400 and tables.read_bucketed_baseline(spark, path, "2024-01-02").count() == 3
+    with pytest.raises(ValueError, match="no snapshot"):
+        tables.read_bucketed_baseline(spark, path, "2025")
+    new = hashes.filter("cast(tool AS int) % 3 > 0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        changes = drift.drift(new, stored)
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    kinds = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
+    assert kinds == {"ADDED": len([i for i in range(500) if i % 3 and not i % 5]), "REMOVED": len([i for i in range(500) if not i % 3 and i % 5])}
+
+
 def test_missing_roots_get_an_error_and_no_grade(spark, corpus):
     listed = spark.createDataFrame([(str(corpus / "none"), "path", None), (str(corpus), "path", None), ("https://x", "git", "not fetched")], TARGETS)
     checked = check_targets(listed)
