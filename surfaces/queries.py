@@ -14,6 +14,7 @@ from toolsentry.operators import drift as drifting
 from toolsentry.operators import line_scan, manifest_scan, python_scan, scoring, text_scan
 from toolsentry.operators import findings as fnd
 from toolsentry.operators.rules import POISONING, merge_rules
+from toolsentry.operators.sieve import suppress_large
 from toolsentry.operators.tool_text import tool_blob, tool_text
 from toolsentry.plans.audit import Audit, detector_categories
 from toolsentry.session import configure, scratch_path
@@ -130,6 +131,15 @@ def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- findings and scores -----------------------------------------------------------------------------
 
 
+def sieved_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed findings, suppressed by the planted allowlist and an entry for every event, which names nothing here."""
+    path = scratch_path(spark, "findings")
+    everything(spark, sf_dir).write.parquet(path)
+    foreign = planted.read(spark, sf_dir, "events").select(
+        F.lit(None).cast("string").alias("target"), F.substring(F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")), 256), 1, 12).alias("fingerprint"))
+    return shown(suppress_large(spark.read.parquet(path), planted.allowlist(spark, sf_dir).unionByName(foreign)))
+
+
 def suppressed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fnd.suppressed_counts(everything(spark, sf_dir), planted.allowlist(spark, sf_dir))
 
@@ -349,6 +359,7 @@ REGISTRY: dict[str, Query] = {
     "line_split": line_split,
     "findings_all": lambda s, d: shown(everything(s, d)),
     "findings_suppressed": lambda s, d: shown(kept_findings(s, d)),
+    "findings_sieved": sieved_findings,
     "suppressed_counts": suppressed_counts,
     "findings_sorted": sorted_findings,
     "findings_positions": findings_positions,

@@ -11,6 +11,7 @@ from toolsentry.operators import findings as fnd
 from toolsentry.operators import scoring
 from toolsentry.operators.lookalikes import lookalikes, typosquat_findings
 from toolsentry.operators.manifest_scan import supply_chain_findings
+from toolsentry.operators.sieve import bloom_words, may_be_listed, suppress_large
 from toolsentry.schemas import FINDINGS
 
 
@@ -75,3 +76,18 @@ def test_a_table_of_popular_names_gives_the_findings_of_the_list(spark, make_fil
     columns = ["target", "rule_id", "severity", "location", "evidence", "title"]
     want = supply_chain_findings(files).filter("rule_id = 'D4-TYPOSQUAT'").select(columns).collect()
     assert sorted(typosquat_findings(files, popular).select(columns).collect()) == sorted(want) and len(want) >= 3
+
+
+def test_sieved_suppression_equals_the_joins(spark, tmp_path):
+    rows = [(f"t{i % 9}", "D1", "R", "x", 1, "MCP03", "high", "l", str(i), "", f"{i % 4000:012x}", None) for i in range(20_000)]
+    spark.createDataFrame([*rows, ("t", "D1", "R", "x", 1, "MCP03", "high", "l", "e", "", None, None)], FINDINGS).write.parquet(f"{tmp_path}/f")
+    found = spark.read.parquet(f"{tmp_path}/f")
+    # most entries name nothing here, some hold everywhere, some in a target that has no such finding
+    entries = spark.range(200_000).selectExpr("if(id % 3 = 0, null, concat('t', id % 9)) target", "lpad(lower(hex(if(id % 400 = 0, id % 4000, id + 10000))), 12, '0') fingerprint")
+    entries = entries.unionByName(spark.createDataFrame([(None, None), ("t", "")], "target string, fingerprint string"))
+    want, got = fnd.suppress(found, entries), suppress_large(found, entries, bits=1 << 20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() < 20_001
+    words = bloom_words(entries.filter("fingerprint is not null"), 1 << 20)
+    maybe = found.filter(may_be_listed(words, F.col("target"), F.col("fingerprint"))).count()
+    assert 20_001 - want.count() <= maybe < 12_000
+    assert sorted(map(str, suppress_large(found, entries.limit(0)).collect())) == sorted(map(str, found.collect()))
