@@ -7,11 +7,15 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from toolsentry.llm import license_scan as licences
 from toolsentry.llm import minhash
+from toolsentry.llm.license_scan import license_scan, scan
 from toolsentry.llm.token_counts import attributed, token_counts
+from toolsentry.llm.tokenizing import ids_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -170,3 +174,25 @@ def test_repeated_rows_and_empty_tables(spark):
 def test_every_tag_of_a_line_is_read(text, labels, expressions, permissive):
     row = licences.scan(text.encode())
     assert (row[5], row[7], row[8]) == (labels, expressions, permissive)
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, "a" * 200_000, " \n\t" * 300_000, " " * 400_000])
+def test_very_long_runs_have_the_librarys_ids(run):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = f"x{run}y <|endoftext|> z"
+    assert ids_of(text, special=True).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_tags_need_a_separator_and_operands_a_letter_or_digit(spark):
+    texts = [
+        "The license expression is a short line", "SPDX license identifier must be present", "license expression ... mit license",
+        "SPDX-License-Identifier:: MIT", "license-expression = \"Apache-2.0 or ...\"", "spdx-license-identifier: ... and mit", "SPDX-License-Identifier: :.: (MIT)",
+    ]
+    got = {r.doc_id: (r.labels, r.expressions) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("", ""), 1: ("", ""), 2: ("mit", ""), 3: ("mit", "mit"), 4: ("", ""), 5: ("", ""), 6: ("mit", "mit")}
+
+
+@given(st.lists(st.sampled_from(["SPDX-License-Identifier", "license expression", ":", "::", ".", "-", "+", " ", "mit", "MIT License", "or", "and", "(", ")", "\n", "="]), max_size=14))
+def test_no_label_is_ever_empty(parts):
+    labels = scan("".join(parts).encode())[5]
+    assert labels == "" or all(re.search("[a-z0-9]", label) for label in labels.split(","))

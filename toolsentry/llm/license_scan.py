@@ -65,7 +65,7 @@ OUT, OUT_DDL = arrow_schema([
 
 _TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 _TOKEN = re.compile(rb"[()]|[a-z0-9.+:-]+")
-_TAG = re.compile(rb"(?:spdx[^a-z0-9\n]*license[^a-z0-9\n]*identifier|license[^a-z0-9\n]*expression)[ \t]*:?[ \t]*")
+_TAG = re.compile(rb"(?:spdx[^a-z0-9\n]*license[^a-z0-9\n]*identifier|license[^a-z0-9\n]*expression)[ \t\x22\x27]*[:=]")
 
 
 @lru_cache(maxsize=1)
@@ -140,7 +140,7 @@ def evaluate(order: list[str]) -> tuple[set[str], bool]:
 
 
 def expressions(lowered: bytes) -> list[tuple[str, set[str], bool]]:
-    """Every well-formed expression behind a tag: its text in postfix order, labels, and whether it is permissive."""
+    """Every well-formed expression behind a tag and its colon (or equals sign): its text in postfix order, labels, and whether it is permissive."""
     found = []
     tags = list(_TAG.finditer(lowered))
     for tag, following in zip(tags, [*tags[1:], None]):
@@ -148,7 +148,9 @@ def expressions(lowered: bytes) -> list[tuple[str, set[str], bool]]:
         stop = following.start() if following else len(lowered)
         feed = lowered.find(b"\n", tag.end(), stop)
         stop = feed if feed >= 0 else stop
-        order = postfix([t.decode().strip(".:") for t in _TOKEN.findall(lowered, tag.end(), stop)])
+        # an operand has a letter or digit: what is only dots and colons is none
+        tokens = [t.decode().strip(".:") for t in _TOKEN.findall(lowered, tag.end(), stop)]
+        order = postfix([t for t in tokens if t in "()" and t or re.search("[a-z0-9]", t)])
         if order:
             found.append((" ".join(order), *evaluate(order)))
     return found

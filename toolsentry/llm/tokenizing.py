@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import tiktoken
+import tokenizers
 
 VOCABULARY = "byte_bpe_50k"
 CHUNK = 1 << 20
@@ -33,7 +34,25 @@ def encoding(vocabulary: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarra
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), sizes
 
 
+@lru_cache(maxsize=4)
+def library(vocabulary: str, special: bool) -> tokenizers.Tokenizer:
+    """The vocabulary in the tokenizers library, which takes added tokens as such unless told otherwise."""
+    import public_tokenizers
+
+    made = tokenizers.Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    made.encode_special_tokens = not special
+    return made
+
+
 def ids_of(text: str, vocabulary: str = VOCABULARY, special: bool = False) -> np.ndarray:
-    """Ids of a whole text. Strings of added tokens are these tokens if ``special``, or else ordinary text."""
+    """Ids of a whole text. Strings of added tokens are these tokens if ``special``, or else ordinary text.
+
+    The rank file's pattern gives up on runs of very many blanks; such texts go to the tokenizers library, whose ids are the
+    same and which is slower.
+    """
     encoder = encoding(vocabulary)[0]
-    return np.array(encoder.encode(text, allowed_special="all") if special else encoder.encode_ordinary(text), np.uint32)
+    try:
+        ids = encoder.encode(text, allowed_special="all") if special else encoder.encode_ordinary(text)
+    except ValueError:
+        ids = library(vocabulary, special).encode(text, add_special_tokens=False).ids
+    return np.array(ids, np.uint32)
