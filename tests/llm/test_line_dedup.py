@@ -63,3 +63,26 @@ def test_stays_in_the_jvm(spark):
     frame = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string")
     plan = line_dedup(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_large_clusters_of_near_copies(spark):
+    """Copies of one line that differ from each other about as much as the threshold: each meets each."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    docs = {}
+    for i in range(400):
+        parts = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            parts[rng.randrange(40)] = f"x{rng.randrange(60)}"
+        docs[i] = " ".join(parts) + "\n" + " ".join(rng.choice(base) for _ in range(6))
+    docs[-1] = " ".join(base[:30])
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(frame).collect()}
+    assert got == brute(docs) and sum(n for *_, n in got.values()) > 30
+
+
+def test_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "a\na", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, _gone int, _key int, _doc int, key int, `row` int, `a.b` int")
+    result = line_dedup(frame)
+    assert result.columns == ["doc_id", "text", "_gone", "_key", "_doc", "key", "row", "a.b", "n_lines", "n_removed"]
+    assert tuple(result.first()) == (1, "a", 1, 2, 3, 4, 5, 6, 2, 1)

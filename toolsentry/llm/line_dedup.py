@@ -16,6 +16,8 @@ from toolsentry.llm.tables import landed, text_key, texts
 SHINGLE = 5
 BUCKETS, PACKED = 1 << 16, 15
 WIDEST = (1 << 16) - 1
+#: Sets that share a token are listed pair by pair up to so many; each set then has that many pairs at most for a token.
+FEW = 32
 #: Sets of fewer tokens are similar enough only if they are equal.
 LEAST_TOKENS = 4
 
@@ -76,51 +78,99 @@ def ordered_sets(lines: DataFrame) -> DataFrame:
     return ranked.select("doc_id", "line_no", "key", F.xxhash64("ranked", n).alias("signature"), n.alias("n"), prefix.alias("prefix"))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """``(a, b)``: signatures of different sets that pass the prefix, length and positional filters.
+def shared_entries(sets: DataFrame) -> DataFrame:
+    """``(token, doc, signature, entry, lead, lead_entry, n)``: the index without tokens that one set alone has in its prefix.
 
-    An entry of the index is two numbers: the signature, and token, size and place packed into one. Sizes and places
-    beyond ``WIDEST`` are not told apart, and the filters let such pairs pass.
+    An entry packs a set's size and the token's place in it. Sizes and places beyond ``WIDEST`` are not told apart, and
+    the filters let such pairs pass. The lead of a token is the set of the smallest document that has it.
     """
-    entries = sets.filter("prefix is not null").select("signature", "n", F.posexplode_outer("prefix").alias("at", "token"))
-    size, place = (F.least(F.col(c), F.lit(WIDEST)).cast("bigint") for c in ("n", "at"))
-    entry = F.shiftleft(F.col("token").cast("bigint"), 32).bitwiseOR(F.shiftleft(size, 16)).bitwiseOR(place)
-    index = entries.select("signature", entry.alias("entry"))
-    a = index.select(F.col("signature").alias("a"), F.col("entry").alias("entry_a"))
-    b = index.select(F.col("signature").alias("b"), F.col("entry").alias("entry_b"))
-    (n_a, at_a), (n_b, at_b) = ((F.shiftright(e, 16).bitwiseAND(F.lit(WIDEST)), F.col(e).bitwiseAND(F.lit(WIDEST))) for e in ("entry_a", "entry_b"))
+    entries = sets.filter("prefix is not null").select(F.col("first.doc_id").alias("doc"), "signature", "n", F.posexplode_outer("prefix").alias("at", "token"))
+    size, place = (F.least(F.col(c), F.lit(WIDEST)).cast("int") for c in ("n", "at"))
+    index = entries.select("token", "doc", "signature", F.shiftleft(size, 16).bitwiseOR(place).alias("entry"))
+    leads = index.groupBy("token").agg(F.min(F.struct("doc", "signature", "entry")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    return index.join(leads, "token").select("token", "doc", "signature", "entry", F.col("lead.signature").alias("lead"), F.col("lead.entry").alias("lead_entry"), F.col("n").alias("n"))
+
+
+def _may_be_similar(entry_a: Column, entry_b: Column) -> Column:
+    """The length and positional filters, for two sets that share a token."""
+    (n_a, at_a), (n_b, at_b) = ((F.shiftrightunsigned(e, 16), e.bitwiseAND(F.lit(WIDEST))) for e in (entry_a, entry_b))
     most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
     enough = (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * most >= 4 * (n_a + n_b))
-    same = F.shiftright("entry_a", 32) == F.shiftright("entry_b", 32)
-    met = a.join(b, same & (F.col("a") < F.col("b")) & (enough | (n_a == WIDEST) | (n_b == WIDEST)))
-    return met.select("a", "b").distinct()
+    return enough | (n_a == WIDEST) | (n_b == WIDEST)
 
 
-def later_lines(keyed: DataFrame) -> DataFrame:
-    """``(doc_id, key, line_no)`` of lines with an equal or similar line before them, by ``doc_id``, then line number.
+def lead_pairs(index: DataFrame) -> DataFrame:
+    """``(a, b)``: every set with the leads of its tokens: no more pairs than entries."""
+    met = index.filter((F.col("signature") != F.col("lead")) & _may_be_similar(F.col("lead_entry"), F.col("entry")))
+    return met.select(F.col("lead").alias("a"), F.col("signature").alias("b")).distinct()
 
-    Similarity is judged on the input: a line that is removed itself removes later ones all the same.
-    """
-    occurrences = landed(ordered_sets(tokenized(keyed)), "lines")
-    place = F.struct("doc_id", "line_no", "key")
-    sets = occurrences.groupBy("signature").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    pairs = landed(candidates(sets), "pairs")
-    wanted = pairs.select(F.col("a").alias("signature")).union(pairs.select("b")).distinct()
-    firsts = occurrences.groupBy("signature").agg(F.min(place).alias("first"))
+
+def other_pairs(index: DataFrame, beaten: DataFrame) -> DataFrame:
+    """``(a, b)``: sets that no lead has beaten with all other sets that may come before them, of tokens in up to ``FEW`` prefixes."""
+    some = index.filter(F.col("n") <= FEW)
+    left = some.join(beaten, "signature", "left_anti").select(F.col("token").alias("token_b"), F.col("doc").alias("doc_b"), F.col("signature").alias("b"), F.col("entry").alias("entry_b"))
+    others = some.filter(F.col("signature") != F.col("lead")).select(F.col("token").alias("token_a"), F.col("doc").alias("doc_a"), F.col("signature").alias("a"), F.col("entry").alias("entry_a"))
+    before = (F.col("token_a") == F.col("token_b")) & (F.col("doc_a") <= F.col("doc_b")) & (F.col("a") != F.col("b"))
+    return others.join(left, before & _may_be_similar(F.col("entry_a"), F.col("entry_b"))).select("a", "b").distinct()
+
+
+def token_sets(keyed: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(signature, tokens, first)`` of the wanted signatures: lines are looked up by the places of their first occurrences."""
     chosen = firsts.join(wanted, "signature").select("signature", "first.*")
     # each document's lines to look at, with their signatures: the texts move, the tokens made of them don't move back
     by_doc = chosen.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("line_no", "signature"))).alias("wanted"))
     lines = keyed.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "wanted", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     shown = lines.filter(F.map_contains_key("wanted", F.col("line_no")))
-    # repeated documents give a line twice; what is beaten is counted once below
-    known = shown.select(F.element_at("wanted", F.col("line_no")).alias("signature"), _tokens("line").alias("tokens"), place.alias("first"))
-    both = pairs
+    # repeated documents give a line twice, which changes nothing below
+    return shown.select(F.element_at("wanted", F.col("line_no")).alias("signature"), _tokens("line").alias("tokens"), F.struct("doc_id", "line_no", "key").alias("first"))
+
+
+def _similar() -> Column:
+    """Jaccard of four fifths or more, on all tokens."""
+    return 9 * F.size(F.array_intersect("tokens_a", "tokens_b")) >= 4 * (F.size("tokens_a") + F.size("tokens_b"))
+
+
+def beaten_sets(keyed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``signature`` of every set of the pairs that is similar to the other one and comes after it."""
+    wanted = pairs.select(F.col("a").alias("signature")).union(pairs.select("b")).distinct()
+    known, both = token_sets(keyed, firsts, wanted), pairs
     for side in ("a", "b"):
         both = both.join(known.select(F.col("signature").alias(side), F.col("tokens").alias(f"tokens_{side}"), F.col("first").alias(f"first_{side}")), side)
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    similar = both.filter(9 * shared >= 4 * (F.size("tokens_a") + F.size("tokens_b")))
     # of two similar sets, the one that comes first stays
-    beaten = similar.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("signature")).distinct()
+    return both.filter(_similar()).select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("signature")).distinct()
+
+
+def beaten_among_many(keyed: DataFrame, firsts: DataFrame, index: DataFrame, beaten: DataFrame) -> DataFrame:
+    """``signature`` of the sets with an earlier similar one behind a token of more than ``FEW`` prefixes.
+
+    Near copies of one line that differ from each other by a little more than the threshold are in no list of pairs: a semi
+    join asks of each set whether there is such an earlier one, and verifies within its condition. Two sets meet at the first frequent
+    token they share only.
+    """
+    many = index.filter(F.col("n") > FEW)
+    tokens = many.groupBy("signature").agg(F.sort_array(F.collect_set("token")).alias("many"))
+    known = token_sets(keyed, firsts, tokens.select("signature")).join(tokens, "signature")
+    rows = landed(many.select("token", "signature", "entry").join(known, "signature"), "frequent")
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
+    b = b.join(beaten.select(F.col("signature").alias("signature_b")), "signature_b", "left_anti")
+    earlier = (F.col("token_a") == F.col("token_b")) & (F.col("first_a") < F.col("first_b")) & _may_be_similar(F.col("entry_a"), F.col("entry_b"))
+    meet = F.array_min(F.array_intersect("many_a", "many_b")) == F.col("token_a")
+    return b.join(a, earlier & meet & _similar(), "left_semi").select(F.col("signature_b").alias("signature")).distinct()
+
+
+def later_lines(keyed: DataFrame) -> DataFrame:
+    """``(doc_id, key, line_no)`` of lines with an equal or similar line before them, by ``doc_id``, then line number.
+
+    Similarity is judged on the input: a line that is removed itself removes later ones all the same.
+    """
+    occurrences = landed(ordered_sets(tokenized(keyed)), "lines")
+    place = F.struct("doc_id", "line_no", "key")
+    sets = occurrences.groupBy("signature").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    firsts = occurrences.groupBy("signature").agg(F.min(place).alias("first"))
+    index = landed(shared_entries(sets), "index")
+    by_leads = landed(beaten_sets(keyed, firsts, landed(lead_pairs(index), "pairs")), "beaten")
+    by_others = beaten_sets(keyed, firsts, landed(other_pairs(index, by_leads), "pairs"))
+    beaten = by_leads.union(by_others).union(beaten_among_many(keyed, firsts, index, by_leads)).distinct()
     marked = firsts.join(beaten.withColumn("beaten", F.lit(True)), "signature", "left")
     later = occurrences.select("doc_id", "line_no", "key", "signature").join(marked, "signature")
     return later.filter(F.coalesce("beaten", F.lit(False)) | (place != F.col("first"))).select("doc_id", "key", "line_no")
@@ -135,11 +185,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = texts(docs).select("doc_id", text_key().alias("key"), "text")
-    gone = later_lines(keyed).groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    matched = docs.join(gone, (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"]), "left")
+    gone = later_lines(keyed).groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone"))
+    # the columns of the documents travel as one, so none of their names can meet one of ours
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"),
+        F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    matched = rows.join(gone, ["doc_id", "key"], "left")
     lines = F.split(F.col("text"), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return matched.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in own],
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
+        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in own],
+        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
     )
