@@ -8,6 +8,8 @@ the places of the shared token leave room for enough other ones (positional filt
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ LEAST_TOKENS = 4
 def _tokens(line: str) -> Column:
     """Hashes of a line's distinct shingles; empty for a line without words. Words are bound to a name once:
     plans that move or repeat the expression don't split the line again for every shingle."""
-    words = F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
+    odd = F.rlike(line, F.lit(r"[\t\x0b\f\r]|  |^ | $"))
+    # single blanks are split without a pattern, which is most of the time of a line
+    words = F.when(odd, F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")).otherwise(F.split(F.col(line), " "))
 
     def of_words(w: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
@@ -105,13 +109,14 @@ def lead_pairs(index: DataFrame) -> DataFrame:
     return met.select(F.col("lead").alias("a"), F.col("signature").alias("b")).distinct()
 
 
-def other_pairs(index: DataFrame, beaten: DataFrame) -> DataFrame:
-    """``(a, b)``: sets that no lead has beaten with all other sets that may come before them, of tokens in up to ``FEW`` prefixes."""
+def other_pairs(index: DataFrame) -> DataFrame:
+    """``(a, b)``: every set with the other sets that may come before it, of tokens in up to ``FEW`` prefixes."""
     some = index.filter(F.col("n") <= FEW)
-    left = some.join(beaten, "signature", "left_anti").select(F.col("token").alias("token_b"), F.col("doc").alias("doc_b"), F.col("signature").alias("b"), F.col("entry").alias("entry_b"))
-    others = some.filter(F.col("signature") != F.col("lead")).select(F.col("token").alias("token_a"), F.col("doc").alias("doc_a"), F.col("signature").alias("a"), F.col("entry").alias("entry_a"))
+    later = some.select(F.col("token").alias("token_b"), F.col("doc").alias("doc_b"), F.col("signature").alias("b"), F.col("entry").alias("entry_b"))
+    others = some.filter(F.col("signature") != F.col("lead")).select(
+        F.col("token").alias("token_a"), F.col("doc").alias("doc_a"), F.col("signature").alias("a"), F.col("entry").alias("entry_a"))
     before = (F.col("token_a") == F.col("token_b")) & (F.col("doc_a") <= F.col("doc_b")) & (F.col("a") != F.col("b"))
-    return others.join(left, before & _may_be_similar(F.col("entry_a"), F.col("entry_b"))).select("a", "b").distinct()
+    return others.join(later, before & _may_be_similar(F.col("entry_a"), F.col("entry_b"))).select("a", "b").distinct()
 
 
 def token_sets(keyed: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -130,27 +135,24 @@ def _similar() -> Column:
     return 9 * F.size(F.array_intersect("tokens_a", "tokens_b")) >= 4 * (F.size("tokens_a") + F.size("tokens_b"))
 
 
-def beaten_sets(keyed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+def beaten_sets(known: DataFrame, pairs: DataFrame) -> DataFrame:
     """``signature`` of every set of the pairs that is similar to the other one and comes after it."""
-    wanted = pairs.select(F.col("a").alias("signature")).union(pairs.select("b")).distinct()
-    known, both = token_sets(keyed, firsts, wanted), pairs
+    both = pairs
     for side in ("a", "b"):
         both = both.join(known.select(F.col("signature").alias(side), F.col("tokens").alias(f"tokens_{side}"), F.col("first").alias(f"first_{side}")), side)
     # of two similar sets, the one that comes first stays
     return both.filter(_similar()).select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("signature")).distinct()
 
 
-def beaten_among_many(keyed: DataFrame, firsts: DataFrame, index: DataFrame, beaten: DataFrame) -> DataFrame:
+def beaten_among_many(known: DataFrame, many: DataFrame, beaten: DataFrame) -> DataFrame:
     """``signature`` of the sets with an earlier similar one behind a token of more than ``FEW`` prefixes.
 
     Near copies of one line that differ from each other by a little more than the threshold are in no list of pairs: a semi
     join asks of each set whether there is such an earlier one, and verifies within its condition. Two sets meet at the first frequent
     token they share only.
     """
-    many = index.filter(F.col("n") > FEW)
     tokens = many.groupBy("signature").agg(F.sort_array(F.collect_set("token")).alias("many"))
-    known = token_sets(keyed, firsts, tokens.select("signature")).join(tokens, "signature")
-    rows = landed(many.select("token", "signature", "entry").join(known, "signature"), "frequent")
+    rows = landed(many.select("token", "signature", "entry").join(known, "signature").join(tokens, "signature"), "frequent")
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
     b = b.join(beaten.select(F.col("signature").alias("signature_b")), "signature_b", "left_anti")
     earlier = (F.col("token_a") == F.col("token_b")) & (F.col("first_a") < F.col("first_b")) & _may_be_similar(F.col("entry_a"), F.col("entry_b"))
@@ -161,16 +163,23 @@ def beaten_among_many(keyed: DataFrame, firsts: DataFrame, index: DataFrame, bea
 def later_lines(keyed: DataFrame) -> DataFrame:
     """``(doc_id, key, line_no)`` of lines with an equal or similar line before them, by ``doc_id``, then line number.
 
-    Similarity is judged on the input: a line that is removed itself removes later ones all the same.
+    Similarity is judged on the input: a line that is removed itself removes later ones all the same. Every set is compared
+    with the leads of its tokens first; in a group of near copies the lead beats most, and only those it does not beat are
+    compared with others.
     """
     occurrences = landed(ordered_sets(tokenized(keyed)), "lines")
     place = F.struct("doc_id", "line_no", "key")
     sets = occurrences.groupBy("signature").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     firsts = occurrences.groupBy("signature").agg(F.min(place).alias("first"))
     index = landed(shared_entries(sets), "index")
-    by_leads = landed(beaten_sets(keyed, firsts, landed(lead_pairs(index), "pairs")), "beaten")
-    by_others = beaten_sets(keyed, firsts, landed(other_pairs(index, by_leads), "pairs"))
-    beaten = by_leads.union(by_others).union(beaten_among_many(keyed, firsts, index, by_leads)).distinct()
+    leads, others = landed(lead_pairs(index), "leads"), landed(other_pairs(index), "pairs")
+    many = index.filter(F.col("n") > FEW)
+    ends = [pairs.select(F.col(side).alias("signature")) for pairs in (leads, others) for side in ("a", "b")]
+    # the texts move once, for all sets that are compared at all
+    known = landed(token_sets(keyed, firsts, reduce(DataFrame.union, ends, many.select("signature")).distinct()), "sets")
+    by_leads = landed(beaten_sets(known, leads), "beaten")
+    unbeaten = others.join(by_leads.withColumnRenamed("signature", "b"), "b", "left_anti")
+    beaten = by_leads.union(beaten_sets(known, unbeaten)).union(beaten_among_many(known, many, by_leads)).distinct()
     marked = firsts.join(beaten.withColumn("beaten", F.lit(True)), "signature", "left")
     later = occurrences.select("doc_id", "line_no", "key", "signature").join(marked, "signature")
     return later.filter(F.coalesce("beaten", F.lit(False)) | (place != F.col("first"))).select("doc_id", "key", "line_no")
