@@ -10,6 +10,7 @@ import pytest
 from toolsentry.llm import arrays, repeats
 from toolsentry.llm import suffix_dedup as suffixes
 from toolsentry.llm.debruijn_dedup import debruijn_dedup
+from toolsentry.llm.minhash import document_fingerprints
 from toolsentry.llm.suffix_dedup import suffix_dedup
 
 
@@ -78,6 +79,37 @@ def test_words_equal_brute_force(spark):
     assert got == want and sum(r[2] for r in got) > 500
 
 
+def alternating(letters, size):
+    """A Thue-Morse string: it and its complement collide under polynomials modulo a power of two, whatever the base."""
+    return [letters[bin(i).count("1") % 2] for i in range(size)]
+
+
+def test_regularly_alternating_texts_are_told_apart(spark):
+    inside = [" ".join([f"w{i}" for i in range(30)] + ["".join(alternating(s, 1024))] + [f"v{i}" for i in range(30)]) for s in ("ab", "ba")]
+    whole = [" ".join(alternating(s, 4096)) for s in (["x", "yy"], ["yy", "x"])]
+    docs = [*enumerate(inside + whole), (9, inside[0])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in debruijn_dedup(frame).collect())
+    assert got == sorted((i, n, r) for i, n, r, _, _ in brute(docs, str.split, 50))
+    assert got[1] == (1, 61, 0) and got[-1] == (9, 61, 61)
+    prints = {r.doc_id: r for r in document_fingerprints(frame).collect()}
+    assert prints[0].fingerprint != prints[1].fingerprint and prints[0].fingerprint == prints[9].fingerprint and prints[0].near_next < 1
+
+
+def test_hashes_modulo_a_prime():
+    prime, rng = (1 << 61) - 1, random.Random(3)
+    pairs = [(rng.randrange(prime), rng.randrange(prime)) for _ in range(500)] + [(prime - 1, prime - 1), (0, prime - 1), (1, 1)]
+    a, b = (np.array(x, np.uint64) for x in zip(*pairs))
+    assert arrays.times(a, b).tolist() == [x * y % prime for x, y in pairs]
+    symbols = np.array([rng.getrandbits(64) for _ in range(300)] * 2, np.uint64)
+    at = np.arange(300)
+    for which in (0, 1):
+        sums = arrays.field_sums(symbols, which)
+        assert int(sums.max()) < prime
+        assert (arrays.field_hash(sums, at, at + 50, which) == arrays.field_hash(sums, at + 300, np.minimum(at + 350, 600), which))[:251].all()
+        assert len(set(arrays.field_hash(sums, at, at + 50, which).tolist())) == 300
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(empty).collect() == [] and debruijn_dedup(empty).collect() == []

@@ -1,8 +1,10 @@
 """Numpy helpers over the UTF-8 bytes of many texts laid one after another.
 
 A batch of texts is one byte array plus the places where each text begins. Spans of that array
-are hashed with a polynomial whose base is odd, so that any span's hash follows from two prefix
-sums: two spans of equal bytes have equal hashes wherever they stand.
+are hashed with a polynomial, so that any span's hash follows from two prefix sums: two spans of
+equal symbols have equal hashes wherever they stand. ``prefix`` and ``span_hash`` count modulo 2^64,
+which is quick but lets texts of two regularly alternating symbols collide; they serve short spans and
+features. ``field_sums`` and ``field_hash`` count modulo a prime and decide whether spans are equal.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 4 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFF)
+_PRIME = np.uint64((1 << 61) - 1)
+_FIELD_BASES = (0x0DEADBEE5F1C3A97, 0x1234F00D9B7A6C55)
 #: Bytes of letters, digits and characters beyond ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -101,6 +106,58 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     return mixed(raw + (ends - starts).astype(np.uint64))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo the prime 2^61 - 1 of values below it, from halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    return _reduced(ah * bh * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + al * bl)
+
+
+_field_cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _field_powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime, at least ``size`` of each."""
+    if which not in _field_cached or len(_field_cached[which][0]) < size:
+        prime, both = int(_PRIME), []
+        for b in (_FIELD_BASES[which], pow(_FIELD_BASES[which], -1, prime)):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < size:
+                powers = np.concatenate([powers, times(powers, np.uint64(pow(b, len(powers), prime)))])
+            both.append(powers)
+        _field_cached[which] = both[0], both[1]
+    return _field_cached[which]
+
+
+def field_sums(symbols: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums modulo the prime of a polynomial over 64-bit symbols; one more than symbols, of which there are below 2^32."""
+    terms = times(_reduced(mixed(symbols + np.uint64(which + 1))), _field_powers(which, 1 << max(16, len(symbols).bit_length()))[0][:len(symbols)])
+    half, sums = np.uint64(31), np.zeros(len(symbols) + 1, np.uint64)
+    high, low = np.cumsum(terms >> half), np.cumsum(terms & np.uint64((1 << 31) - 1))
+    sums[1:] = _reduced((high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << half) + _reduced(low))
+    return sums
+
+
+def field_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash (61 bits of it independent) of each span [start, end) of the symbols that ``sums`` was made of."""
+    inverse = _field_powers(which, 1 << max(16, (len(sums) - 1).bit_length()))[1]
+    raw = times(_reduced(sums[ends] + (_PRIME - sums[starts])), inverse[starts])
+    return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(_BASES[0]))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word."""
+    content, hashed = data.tobytes(), xxhash.xxh3_64_intdigest
+    return np.fromiter((hashed(content[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
 def words(data: np.ndarray, bounds: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, runs of bytes that ``in_word`` (256 booleans) allows, and the n + 1 places
     in that list where each text's words begin. Words never cross texts."""

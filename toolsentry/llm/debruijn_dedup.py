@@ -42,9 +42,9 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """``(doc_id, key, place)`` of runs of windows that also start in a document with a smaller id."""
     paths = landed(repeats.runs(docs, repeats.words_of, length, anchor), "paths")
     first = landed(compacted(paths), "compacted")
-    edges = landed(repeats.windows(docs, first.filter("not repeated"), repeats.words_of, length).drop("span"), "edges")
-    sources = edges.groupBy("core").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
-    again = edges.join(sources, "core").filter("source < doc_id")
+    edges = landed(repeats.windows(docs, first.filter("not repeated"), repeats.words_of, length), "edges")
+    sources = edges.groupBy("core", "span").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
+    again = edges.join(sources, ["core", "span"]).filter("source < doc_id")
     columns = ["doc_id", "key", "place"]
     return first.filter("repeated").select(columns).unionByName(again.select(columns))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toolsentry.llm.arrays import byte_prefix, flat, mixed, prefix, slices, span_hash, words
+from toolsentry.llm.arrays import field_hash, field_sums, flat, mixed, slices, word_hashes, words
 from toolsentry.llm.repeats import SPACE
 from toolsentry.llm.tables import arrow_schema, texts
 
@@ -59,12 +59,12 @@ def sketches(contents: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     data, bounds = flat(contents)
     starts, ends, places = words(data, bounds, SPACE)
     count = np.diff(places)
-    sums = prefix(span_hash(byte_prefix(data), starts, ends))
+    sums = field_sums(word_hashes(data, starts, ends))
     each = np.where(count > 0, np.maximum(count - shingle + 1, 1), 0)
     text = np.repeat(np.arange(len(count)), each)
     step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
     first = places[:-1][text] + step
-    hashes = span_hash(sums, first, np.minimum(first + shingle, places[1:][text]))
+    hashes = field_hash(sums, first, np.minimum(first + shingle, places[1:][text]))
     minima = np.full(len(count) * BINS, _EMPTY)
     shift = np.uint64(64 - (BINS - 1).bit_length())
     np.minimum.at(minima, text * BINS + (hashes >> shift).astype(np.int64), hashes & ((np.uint64(1) << shift) - np.uint64(1)))

@@ -1,13 +1,13 @@
-"""Long repeated strings of symbols (bytes or words): the parts that two operators share.
+"""Long repeated strings of words, and the parts that an operator over bytes shares.
 
 A window is ``LENGTH`` neighbouring symbols of one text. Windows with one anchor (``arrays.anchors``) that
 stand side by side form a run; the runs of a text cover all its windows, and there are about eighteen times
-fewer runs than windows. A run has two hashes: ``core`` of its anchor, and ``span`` of all the symbols it covers.
-Equal windows lie in runs of equal cores.
+fewer runs than windows. A run has two hashes: ``core`` of its anchor, and ``span`` of all the symbols it covers,
+polynomials of two bases modulo a prime over hashes of whole words. Equal windows lie in runs of equal cores.
 
 So runs whose core stands in one document only hold no window of another one; a run whose span also starts
 in an earlier document is repeated as a whole; what is left are runs of one core and several spans, which
-branch somewhere. Those are cut into single windows, whose core is their span, and judged again.
+branch somewhere. Those are cut into single windows, whose core covers the same words as their span, and judged again.
 Runs are ``(core, span, doc_id, key, place)``; ``place`` packs the first window and the number of windows.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toolsentry.llm.arrays import anchors, byte_prefix, flat, prefix, slices, span_hash, words
+from toolsentry.llm.arrays import anchors, field_hash, field_sums, flat, slices, word_hashes, words
 from toolsentry.llm.tables import arrow_schema, text_key
 
 RUN, RUN_DDL = arrow_schema([(n, pa.int64()) for n in ("core", "span", "doc_id", "key", "place")])
@@ -32,23 +32,18 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = False
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def bytes_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums over bytes, and where each text's symbols begin."""
-    return byte_prefix(data), bounds
-
-
 def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums over the hashes of words, which white space separates, and where each text's words begin."""
+    """Hashes of words, which white space separates, and where each text's words begin."""
     starts, ends, places = words(data, bounds, SPACE)
-    return prefix(span_hash(byte_prefix(data), starts, ends)), places
+    return word_hashes(data, starts, ends), places
 
 
-def _rows(sums: np.ndarray, core: np.ndarray | None, first: np.ndarray, count: np.ndarray, bounds: np.ndarray, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+def _rows(core: np.ndarray, spans: np.ndarray, first: np.ndarray, count: np.ndarray, bounds: np.ndarray, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     text = np.searchsorted(bounds, first, "right") - 1
-    span = span_hash(sums, first, first + count + length - 1)
+    span = field_hash(spans, first, first + count + length - 1, 1)
     place = ((first - bounds[text]) << COUNT_BITS) | count
     ids, keys = batch.column("doc_id").to_numpy()[text], batch.column("key").to_numpy()[text]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in ((span if core is None else core).view(np.int64), span.view(np.int64), ids, keys, place)], schema=RUN)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (core.view(np.int64), span.view(np.int64), ids, keys, place)], schema=RUN)
 
 
 def runs(docs: DataFrame, symbols: Symbols, length: int, k: int) -> DataFrame:
@@ -56,13 +51,13 @@ def runs(docs: DataFrame, symbols: Symbols, length: int, k: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sums, bounds = symbols(*flat(part.column("text")))
-            if len(sums) <= length:
+            hashed, bounds = symbols(*flat(part.column("text")))
+            if len(hashed) < length:
                 continue
-            at = np.arange(len(sums) - k, dtype=np.int64)
-            hashes = span_hash(sums, at, at + k)
-            first, count, where = anchors(hashes, bounds, length, k)
-            yield _rows(sums, hashes[where], first, count, bounds, part, length)
+            at = np.arange(len(hashed) - k + 1, dtype=np.int64)
+            cores = field_hash(field_sums(hashed), at, at + k)
+            first, count, where = anchors(cores, bounds, length, k)
+            yield _rows(cores[where], field_sums(hashed, 1), first, count, bounds, part, length)
 
     return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(make, RUN_DDL)
 
@@ -72,18 +67,20 @@ def windows(docs: DataFrame, open_runs: DataFrame, symbols: Symbols, length: int
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sums, bounds = symbols(*flat(part.column("text")))
+            hashed, bounds = symbols(*flat(part.column("text")))
             lists = part.column("places")
             places = lists.flatten().to_numpy()
             if not len(places):
                 continue
+            sums, spans = field_sums(hashed), field_sums(hashed, 1)
             sizes = np.diff(lists.offsets.to_numpy())
             base = np.repeat(bounds[:-1], sizes) + (places >> COUNT_BITS)
             count = places & ((1 << COUNT_BITS) - 1)
             step = np.arange(count.sum(), dtype=np.int64) - np.repeat(np.cumsum(count) - count, count)
             first = np.repeat(base, count) + step
             for a in range(0, len(first), 1 << 20):
-                yield _rows(sums, None, first[a:a + (1 << 20)], np.ones(len(first[a:a + (1 << 20)]), np.int64), bounds, part, length)
+                some = first[a:a + (1 << 20)]
+                yield _rows(field_hash(sums, some, some + length), spans, some, np.ones(len(some), np.int64), bounds, part, length)
 
     own = open_runs.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
