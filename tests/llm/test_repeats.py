@@ -71,6 +71,17 @@ def test_cores_that_fill_several_ranges(spark, monkeypatch):
     assert got == sorted((i, n, r, s) for i, n, r, s, _ in brute(docs, lambda t: t.encode(), 50))
 
 
+def test_ranges_with_parts_and_a_sample_of_fixed_size(spark, monkeypatch):
+    """More ranges than splitters may make: a hash of the core deals a range into parts."""
+    docs = corpus()
+    for name, value in (("RANGES", 2), ("RANGE_BYTES", 1 << 11), ("SAMPLE_DOCS", 20), ("SAMPLE_GROUPS", 3), ("SAMPLE_KEYS", 8)):
+        monkeypatch.setattr(suffixes, name, value)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(suffixes.sampled_splitters(frame.filter("doc_id is not null and text is not null"), 1000, 50, 16)) <= 2 * 3 * 8
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(frame).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())
+    assert got == sorted((i, n, r, s) for i, n, r, s, _ in brute(docs, lambda t: t.encode(), 50))
+
+
 def test_words_equal_brute_force(spark):
     docs = corpus()
     frame = spark.createDataFrame([(t, i) for i, t in docs], "text string, doc_id long").repartition(5)

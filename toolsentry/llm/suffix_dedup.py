@@ -3,7 +3,7 @@
 Documents are dealt into slices of a few megabytes. Only suffixes that begin a run of windows (``repeats``) are
 compared; each has a core, the hash of its leading bytes (its anchor), and a span, the hash of all the bytes of its
 run. A slice sends every distinct pair of core and span once, with the first document that holds it, so a string with very many
-copies moves a pair for each slice. Splitters sampled from the pairs cut them into ranges; a range sorts its pairs by core,
+copies moves a pair for each slice. Splitters from a sample of fixed size cut them into ranges; a range sorts its pairs by core,
 then span, and compares neighbours:
 
 - a span that an earlier document holds is repeated as a whole;
@@ -29,7 +29,10 @@ from toolsentry.llm.arrays import anchors, byte_prefix, flat, give_back, mixed,
 from toolsentry.llm.tables import arrow_schema, texts
 
 LENGTH, LEADING = 50, 16
-SLICE_BYTES, RANGE_BYTES, SAMPLE = 1 << 19, 8 << 20, 64
+SLICE_BYTES, RANGE_BYTES = 1 << 19, 8 << 20
+#: The sample that splitters come from has a fixed size: documents, groups that read them and keys of each group. There are
+#: at most ``RANGES`` ranges between splitters; ranges of a larger input have ``parts`` by a hash of their cores.
+SAMPLE_DOCS, SAMPLE_GROUPS, SAMPLE_KEYS, RANGES = 4096, 16, 4096, 4096
 
 SENT, SENT_DDL = arrow_schema([("bucket", pa.int32()), ("slice", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
 ANSWER, ANSWER_DDL = arrow_schema([("slice", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("content", pa.binary())])
@@ -98,7 +101,7 @@ def grouped(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def sent(ids: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, splitters: np.ndarray, number: int) -> pa.Table:
+def sent(ids: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, splitters: np.ndarray, parts: int, number: int) -> pa.Table:
     """Distinct pairs with their first documents, one row for each range that they fall into.
 
     ``content`` has the ids of the documents named, then the pairs, whose documents are places in those ids.
@@ -106,10 +109,13 @@ def sent(ids: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, sp
     order, begin = grouped(key, more)
     first = np.minimum.reduceat(doc[order], begin) if len(begin) else doc
     key, more = key[order][begin], more[order][begin]
-    bucket = np.searchsorted(splitters, key, "right")
+    bucket = ranged(key, splitters, parts)
+    if parts > 1:
+        order = np.argsort(bucket, kind="stable")
+        key, more, first, bucket = key[order], more[order], first[order], bucket[order]
     rows = []
     for b in np.unique(bucket):
-        # pairs are in order of their key, so a range is one stretch of them
+        # pairs are in order of their range, so a range is one stretch of them
         a, z = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
         for c in range(a, z, 1 << 16):
             part = slice(c, min(z, c + (1 << 16)))
@@ -120,10 +126,11 @@ def sent(ids: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, sp
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)] if rows else [pa.array([], f.type) for f in SENT], schema=SENT)
 
 
-def sent_runs(part: Slice, runs: np.ndarray, splitters: np.ndarray, number: int) -> pa.Table:
+def sent_runs(part: Slice, runs: np.ndarray, splitters: np.ndarray, parts: int, number: int) -> pa.Table:
     """Runs with all their bytes, one row for each range of cores."""
-    runs = runs[np.argsort(part.key[runs], kind="stable")]
-    bucket = np.searchsorted(splitters, part.key[runs] & _CORE, "right")
+    bucket = ranged(part.key[runs] & _CORE, splitters, parts)
+    order = np.lexsort((part.key[runs], bucket))
+    runs, bucket = runs[order], bucket[order]
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(runs) else np.zeros(0, np.int64)
     rows = []
     for a, z in zip(edges.tolist(), np.append(edges[1:], len(runs)).tolist()):
@@ -261,39 +268,46 @@ def later(key: np.ndarray, more: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
 
 
 def sampled_splitters(docs: DataFrame, ranges: int, length: int, leading: int) -> np.ndarray:
-    """Keys that cut the pairs into ranges of about equal size, from the runs of a bounded sample of documents."""
-    count = docs.count()
-    every = max(1, count // (ranges * SAMPLE))
+    """Keys that cut the pairs into ranges of about equal size. The driver gets less than ``2 * SAMPLE_GROUPS * SAMPLE_KEYS``
+    keys, whatever the input, from the runs of about ``SAMPLE_DOCS`` documents."""
+    every = max(1, docs.count() // SAMPLE_DOCS)
     schema, ddl = arrow_schema([("key", pa.int64())])
 
     def pick(table: pa.Table) -> pa.Table:
         keys = np.unique(Slice(table, length, leading).key)
-        return pa.Table.from_arrays([pa.array(keys[::max(1, len(keys) // (16 * SAMPLE))].view(np.int64))], schema=schema)
+        return pa.Table.from_arrays([pa.array(keys[::max(1, len(keys) // SAMPLE_KEYS)].view(np.int64))], schema=schema)
 
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    rows = chosen.groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ranges))).applyInArrow(pick, ddl).toArrow()
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+    rows = chosen.groupBy(F.pmod(F.xxhash64("text", "doc_id"), F.lit(SAMPLE_GROUPS))).applyInArrow(pick, ddl).toArrow()
     keys = np.sort(rows.column("key").to_numpy().view(np.uint64))
     return np.unique(keys[np.arange(1, ranges) * len(keys) // ranges]) if len(keys) else np.zeros(0, np.uint64)
 
 
+def ranged(key: np.ndarray, splitters: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each key, and within it the part that a hash of its core names: equal cores of a range stay together."""
+    found = np.searchsorted(splitters, key, "right")
+    return found if parts == 1 else found * parts + (mixed(key & _CORE) % np.uint64(parts)).astype(np.int64)
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, leading: int = LEADING) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)``: every byte covered by a string of ``length``
     bytes that also starts in a document with a smaller ``doc_id`` is removed; strings are judged on the input.
 
     Texts shorter than ``length``, empty and null ones keep all they have. Rows of one ``doc_id`` never remove each
-    other. ``kept`` holds the remaining bytes, which may end within a character. All steps are one lazy plan, in which the
-    texts are shuffled once.
+    other. ``kept`` holds the remaining bytes, which may end within a character. Sizes and splitters
+    are looked up when the plan is built; the rest is one lazy plan.
     """
     own = texts(docs)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices, ranges = max(partitions, -(-total // SLICE_BYTES)), max(partitions, -(-total // RANGE_BYTES))
-    splitters = sampled_splitters(own, ranges, length, leading)
+    parts = -(-ranges // RANGES)
+    splitters = sampled_splitters(own, -(-ranges // parts), length, leading)
     dealt = own.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
 
     def pairs(table: pa.Table) -> pa.Table:
         part = Slice(table, length, leading)
-        return sent(part.ids, part.key, part.more, part.ids[part.text], splitters, table.column("slice")[0].as_py())
+        return sent(part.ids, part.key, part.more, part.ids[part.text], splitters, parts, table.column("slice")[0].as_py())
 
     hot = np.unique(splitters & _CORE)
 
@@ -309,14 +323,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, leading: int = LEADING)
         if not table.num_rows or not answers.num_rows:
             return SENT.empty_table()
         part = Slice(table, length, leading)
-        return sent_runs(part, opened(part, answers)[1], splitters, table.column("slice")[0].as_py())
+        return sent_runs(part, opened(part, answers)[1], splitters, parts, table.column("slice")[0].as_py())
 
     def single_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return SENT.empty_table()
         part = Slice(table, length, leading)
         _, text, key, more = part.single(opened(part, answers)[2])
-        return sent(part.ids, key, more, part.ids[text], splitters, table.column("slice")[0].as_py())
+        return sent(part.ids, key, more, part.ids[text], splitters, parts, table.column("slice")[0].as_py())
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
