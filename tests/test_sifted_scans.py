@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from toolsentry.functions import regex, words
+from toolsentry.functions.text import RARE_BREAKS, split_lines
 from toolsentry.operators import line_scan, text_scan
+from toolsentry.operators.hits import rule_hit
 from toolsentry.operators.rules import BUILTIN, POISONING, merge_rules
 from toolsentry.plans.audit import Audit
 
@@ -56,3 +58,30 @@ def test_only_files_with_a_credential_are_split(spark, make_files):
     files = make_files({"a/.env": "a token of prose\nSK and SG. and eyJ", "b/.env": "token = 'abcdefghijklmnopqrstu'"})
     found = files.withColumn("marks", words.marks(F.col("content"), [line_scan.secrets.secret_pattern()]))
     assert sorted((r.path, r.marks) for r in found.collect()) == [("a/.env", 0), ("b/.env", 1)]
+
+
+def test_a_text_is_searched_from_its_first_match_on(spark):
+    """The character before the first match stays, for the word bounds of a rule; texts with odd letters are searched whole."""
+    texts = ["a" * 50 + " ignore all previous", "ignore all previous", "é😀　 ignore all previous", "nothing", None, "xexec eval", "reignore all previous",
+             "ab ıgnore, ignore all previous", "abc seleſt x ignore all", "é? select　　* x"]
+    patterns = [words.loose("ignore all"), words.loose(r"select\s+\*"), "eval"]
+    rows_ = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    found = rows_.select("i", words.first_marks(F.col("text"), patterns, 2).alias("m")).select("i", "m.found", "m.start")
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 51), (1, 1, 1), (2, 1, 4), (3, 0, 1), (4, 0, 1), (5, 4, 1), (6, 1, 2), (7, 3, 1), (8, 1, 1), (9, 2, 3)]
+
+
+def test_lines_with_a_match_keep_their_numbers(spark):
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\x85", " "]
+    texts = ["", "\n", None, "a1\nb\na2\n"] + [f"x{b}a{b}{b}é{b}a{b}b" for b in breaks]
+    given = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "i int, text string, also boolean")
+    found = given.select("i", words.lines_with(F.col("text"), "a", RARE_BREAKS, (F.col("also"), "b")).alias("l"))
+    want = given.select("i", "also", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
+    want = want.filter(F.contains("line", F.lit("a")) | (F.col("also") & F.contains("line", F.lit("b")))).drop("also")
+    assert rows(found.select("i", F.inline("l"))) == rows(want) and want.count() == 17
+
+
+def test_rules_look_at_the_rest_of_a_text_alone():
+    """A marked rule's regex begins where the search found something."""
+    rule = BUILTIN[POISONING][0]
+    hit = rule_hit("D1", "MCP03", rule, "text", "folded", True, "marks.found > 0", "marks.start")
+    assert "substring(text, marks.start)" in hit and "substring(" not in rule_hit("D1", "MCP03", rule, "text", "folded", True)
