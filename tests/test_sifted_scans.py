@@ -85,3 +85,13 @@ def test_rules_look_at_the_rest_of_a_text_alone():
     rule = BUILTIN[POISONING][0]
     hit = rule_hit("D1", "MCP03", rule, "text", "folded", True, "marks.found > 0", "marks.start")
     assert "substring(text, marks.start)" in hit and "substring(" not in rule_hit("D1", "MCP03", rule, "text", "folded", True)
+
+
+def test_many_patterns_are_sought_in_texts_that_match_one(monkeypatch):
+    """Texts that match none are searched once, not once a pattern; marks are those of single searches."""
+    patterns, searched = ["a", "b", "c", "é", "[0-9]{2}"], []
+    sought = words.pc.match_substring_regex
+    monkeypatch.setattr(words.pc, "match_substring_regex", lambda texts, pattern: searched.append(len(texts)) or sought(texts, pattern=pattern))
+    marks = words._search(patterns)(words.pa.array(["xa", None, "x", "", "12 é", "1", "cab"]))
+    assert marks.to_pylist() == [1, 0, 0, 0, 24, 0, 7] and searched == [7, 3, 3, 3, 3, 3]
+    assert words._search(patterns)(words.pa.array([], words.pa.string())).to_pylist() == []

@@ -42,6 +42,16 @@ def test_truncated_evidence_equals_python(spark):
     assert {r.i: r.e for r in got} == {i: python_truncate(t) for i, t in enumerate(ODD)}
 
 
+def test_even_evidence_is_cut_without_a_pattern(spark):
+    """Only beginnings with something to collapse go through the patterns that collapse it."""
+    texts = ["a b", "é" * 170, "a" * 160 + " b", "a" * 160 + " ", "a" * 161, "x " * 80, " x", "x  y", "x\u2003y", "x\u1680y", "x\x85y", "\u3001" * 161, "\x7f",
+             "a" * 158 + " b c", "a" * 159 + " b", "\U0001f600" * 161, "w " * 500, None]
+    cut = sql.truncated("text")
+    assert cut.index("if(NOT (startswith") < cut.index("regexp_replace")
+    got = rows(spark, texts).select("i", F.expr(cut).alias("e")).collect()
+    assert {r.i: r.e for r in got} == {i: None if t is None else python_truncate(t) for i, t in enumerate(texts)}
+
+
 def test_split_lines_equals_python(spark):
     got = rows(spark, ODD).select("i", split_lines(F.col("text")).alias("l")).collect()
     assert {r.i: r.l for r in got} == {i: t.splitlines() for i, t in enumerate(ODD)}
