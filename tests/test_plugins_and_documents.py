@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from toolsentry.operators import findings as fnd
@@ -109,3 +110,19 @@ def test_a_retried_task_leaves_no_second_file(tmp_path):
     writer.commit([writer.write(iter([row])), None])
     found = [f for _, _, names in os.walk(tmp_path / "out") for f in names if f.endswith(".json")]
     assert len(found) == 1 and docs.current_version(str(tmp_path / "out")).startswith("version-")
+
+
+def test_a_task_that_ends_late_leaves_nothing_behind(tmp_path):
+    """A task of an aborted job that still writes finds no folder, whether it began before or after."""
+    path = str(tmp_path / "d")
+    writer = docs.DocumentsWriter(path)
+
+    def documents():
+        yield Row(target="t", part=0, parts=2, document="{}")
+        writer.abort([])
+        yield Row(target="t", part=1, parts=2, document="{}")
+
+    for rows in (documents(), iter([])):
+        with pytest.raises(FileNotFoundError):
+            writer.write(rows)
+    assert os.listdir(path) == []

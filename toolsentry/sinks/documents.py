@@ -42,10 +42,11 @@ class DocumentsWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path, self.job = path, uuid.uuid4().hex
         self.attempts = os.path.join(path, f"_attempts-{self.job}")
+        os.makedirs(self.attempts, exist_ok=True)
 
     def write(self, iterator: Iterator[Row]) -> Written:
         folder = os.path.join(self.attempts, uuid.uuid4().hex)
-        os.makedirs(folder)
+        os.mkdir(folder)  # fails once the job is over, so a task that is ended late leaves nothing behind
         count = 0
         with open(os.path.join(folder, "index.jsonl"), "w", encoding="utf-8") as index:
             for row in iterator:
@@ -67,14 +68,23 @@ class DocumentsWriter(DataSourceWriter):
         with open(pointer, "w", encoding="utf-8") as handle:
             handle.write(f"version-{self.job}")
         os.replace(pointer, os.path.join(self.path, POINTER))
-        shutil.rmtree(self.attempts, ignore_errors=True)
+        self._clear()
         # the version before stays for those who are reading it; older ones go
         for name in os.listdir(self.path):
             if name.startswith("version-") and name not in (before, f"version-{self.job}"):
                 shutil.rmtree(os.path.join(self.path, name), ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.attempts, ignore_errors=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove all attempts. Under another name first, where tasks that still run find no folder to write into."""
+        ended = f"{self.attempts}-ended"
+        try:
+            os.rename(self.attempts, ended)
+        except FileNotFoundError:
+            return
+        shutil.rmtree(ended, ignore_errors=True)
 
 
 class DocumentsSource(DataSource):
