@@ -3,7 +3,7 @@
 import random
 import re
 
-from toolsentry.llm.line_dedup import line_dedup
+from toolsentry.llm.line_dedup import line_dedup, shared_entries
 
 
 
@@ -86,3 +86,14 @@ def test_columns_of_any_name(spark):
     result = line_dedup(frame)
     assert result.columns == ["doc_id", "text", "_gone", "_key", "_doc", "key", "row", "a.b", "n_lines", "n_removed"]
     assert tuple(result.first()) == (1, "a", 1, 2, 3, 4, 5, 6, 2, 1)
+
+
+def test_the_index_moves_once(spark):
+    """Leads and numbers of a token come from the shuffle that brings its entries together; tokens of one set go no further."""
+    entry = lambda n, at: n << 16 | at
+    sets = [((5, 0, 0), 50, 6, [7, 8]), ((3, 1, 0), 30, 9, [9, 7]), ((3, 0, 0), 31, 4, [10]), ((9, 0, 0), 90, 2, None)]
+    schema = "first struct<doc_id: long, line_no: int, key: long>, signature long, n int, prefix array<int>"
+    index = shared_entries(spark.createDataFrame(sets, schema))
+    assert sorted(map(tuple, index.collect())) == [(7, 3, 30, entry(9, 1), 30, entry(9, 1), 2), (7, 5, 50, entry(6, 0), 30, entry(9, 1), 2)]
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Join" not in plan and "Aggregate" not in plan

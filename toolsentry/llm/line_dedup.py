@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toolsentry.llm.tables import landed, text_key, texts
 
 SHINGLE = 5
-BUCKETS, PACKED = 1 << 16, 15
+BUCKETS = 1 << 16
 WIDEST = (1 << 16) - 1
 #: Sets that share a token are listed pair by pair up to so many; each set then has that many pairs at most for a token.
 FEW = 32
@@ -27,12 +27,15 @@ LEAST_TOKENS = 4
 def _tokens(line: str) -> Column:
     """Hashes of a line's distinct shingles; empty for a line without words. Words are bound to a name once:
     plans that move or repeat the expression don't split the line again for every shingle."""
-    odd = F.rlike(line, F.lit(r"[\t\x0b\f\r]|  |^ | $"))
-    # single blanks are split without a pattern, which is most of the time of a line
+    # single blanks are split without a pattern, which is most of the time of a line; what else is white space is looked for by its bytes
+    held = [F.contains(F.col(line), F.lit(c)) for c in ("\t", "\x0b", "\f", "\r", "  ")]
+    odd = reduce(Column.__or__, held) | F.startswith(F.col(line), F.lit(" ")) | F.endswith(F.col(line), F.lit(" "))
     words = F.when(odd, F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")).otherwise(F.split(F.col(line), " "))
 
     def of_words(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
+        # the last words begin no shingle; what is hashed for them is sliced off
+        begun = F.transform(w, lambda word, i: F.xxhash64(word, *[F.get(w, i + j) for j in range(1, SHINGLE)]))
+        each = F.slice(begun, F.lit(1), F.size(w) - (SHINGLE - 1))
         short = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
         return F.array_distinct(F.when(F.size(w) < SHINGLE, short).otherwise(each))
 
@@ -40,7 +43,7 @@ def _tokens(line: str) -> Column:
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def tokenized(keyed: DataFrame) -> DataFrame:
@@ -53,28 +56,23 @@ def tokenized(keyed: DataFrame) -> DataFrame:
 def rarity(lines: DataFrame) -> Column:
     """How frequent the tokens of each bucket are among all lines, in 16 classes of the logarithm against the mean.
 
-    A table of ``BUCKETS`` classes, 15 of them in each number of an array: its size is fixed, so it is part of the plan.
+    A table of ``BUCKETS`` classes: its size is fixed, so it is part of the plan.
     """
     counts = lines.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
     counts = landed(counts, "rarity")
     mean = counts.agg(F.sum("n")).first()[0]
-    level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.col("n") * BUCKETS / F.lit(float(mean or 1)))) + 1)).cast("bigint")
-    packed = counts.select((F.col("bucket") / PACKED).cast("int").alias("at"), F.call_function("shiftleft", level, 4 * (F.col("bucket") % PACKED)).alias("levels"))
-    table = [0] * (BUCKETS // PACKED + 1)
-    for row in packed.groupBy("at").agg(F.bit_or("levels").alias("levels")).collect():
-        table[row["at"]] = row["levels"]
-    return F.expr(f"array({', '.join(f'{v}L' for v in table)})")
-
-
-def _level(levels: Column, token: Column) -> Column:
-    bucket = _bucket(token)
-    return F.call_function("shiftright", F.get(levels, (bucket / PACKED).cast("int")), 4 * (bucket % PACKED)).bitwiseAND(F.lit(15))
+    level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.col("n") * BUCKETS / F.lit(float(mean or 1)))) + 1))
+    table = ["0"] * BUCKETS
+    for row in counts.select("bucket", level.cast("int").alias("level")).filter("level > 0").collect():
+        table[row["bucket"]] = str(row["level"])
+    # spelled as one string: the optimizer makes one array of it, and the plan has no expression for each bucket
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
 
 
 def ordered_sets(lines: DataFrame) -> DataFrame:
     """``(doc_id, line_no, key, signature, n, prefix)``: each line's set by its signature, size and first tokens."""
     levels = rarity(lines)
-    rank = F.transform("tokens", lambda t: F.shiftleft(_level(levels, t), 58).bitwiseOR(F.shiftrightunsigned(t, 6)))
+    rank = F.transform("tokens", lambda t: F.shiftleft(F.get(levels, _bucket(t)), 58).bitwiseOR(F.shiftrightunsigned(t, 6)))
     ranked = lines.select("doc_id", "line_no", "key", F.sort_array(rank).alias("ranked"))
     n = F.size("ranked")
     first = F.slice("ranked", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
@@ -91,8 +89,10 @@ def shared_entries(sets: DataFrame) -> DataFrame:
     entries = sets.filter("prefix is not null").select(F.col("first.doc_id").alias("doc"), "signature", "n", F.posexplode_outer("prefix").alias("at", "token"))
     size, place = (F.least(F.col(c), F.lit(WIDEST)).cast("int") for c in ("n", "at"))
     index = entries.select("token", "doc", "signature", F.shiftleft(size, 16).bitwiseOR(place).alias("entry"))
-    leads = index.groupBy("token").agg(F.min(F.struct("doc", "signature", "entry")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    return index.join(leads, "token").select("token", "doc", "signature", "entry", F.col("lead.signature").alias("lead"), F.col("lead.entry").alias("lead_entry"), F.col("n").alias("n"))
+    # one shuffle finds both: nine of ten entries have a token of their own and go no further
+    same = Window.partitionBy("token")
+    counted = index.withColumns({"first": F.min(F.struct("doc", "signature", "entry")).over(same), "n": F.count("*").over(same)}).filter("n > 1")
+    return counted.select("token", "doc", "signature", "entry", F.col("first.signature").alias("lead"), F.col("first.entry").alias("lead_entry"), "n")
 
 
 def _may_be_similar(entry_a: Column, entry_b: Column) -> Column:
