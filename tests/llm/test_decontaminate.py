@@ -216,3 +216,16 @@ def test_long_clean_documents_on_an_item_s_topic_stay(spark):
         size = len(items[r.item_id][1].split())
         assert r.n_words <= dec.SPAN * size and r.first_word <= 6000 + size and r.first_word + r.n_words >= 6000
         assert r.lcs_share >= 0.7
+
+
+def test_spans_that_cannot_hold_enough_are_not_compared(monkeypatch):
+    """Spans with many words of an item, but the same ones again and again, need no common subsequence."""
+    asked = dec.Item(1, list(range(10, 30)), [28, 29])
+    compared = []
+    common = dec.common
+    monkeypatch.setattr(dec, "common", lambda a, b: compared.append(a) or common(a, b))
+    again = np.array([10, 11, 12, 13] * 50, np.uint64)
+    assert list(dec.confirmed(asked, again, 0.6, 0.5)) == [] and not compared
+    # 12 of 20 words are just enough, in a span that begins at the first of them
+    enough = np.array([*range(10, 20), 28, 29, *[7] * 28], np.uint64)
+    assert next(dec.confirmed(asked, enough, 0.6, 0.5)) == (0.6, 1.0, 0, 40) and compared

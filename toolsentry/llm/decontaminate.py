@@ -70,9 +70,14 @@ def weights(docs: DataFrame) -> np.ndarray:
             sizes = np.diff(places)
             blocks = -(-sizes // PASSAGE)
             first = np.cumsum(blocks) - blocks
-            passage = np.repeat(first, sizes) + (np.arange(len(hashes)) - np.repeat(places[:-1], sizes)) // PASSAGE
             passages += int(blocks.sum())
-            total += np.bincount(np.unique(passage * FEATURES + bucket_of(hashes)) % FEATURES, minlength=FEATURES)
+            # a row for each passage, filled up with a bucket that there is not; a passage counts a bucket once
+            held = np.full(int(blocks.sum()) * PASSAGE, FEATURES, np.int32)
+            held[np.arange(len(hashes)) + np.repeat(first * PASSAGE - places[:-1], sizes)] = bucket_of(hashes)
+            held = np.sort(held.reshape(-1, PASSAGE), axis=1)
+            new = np.ones(held.shape, bool)
+            new[:, 1:] = held[:, 1:] != held[:, :-1]
+            total += np.bincount(held[new], minlength=FEATURES + 1)[:FEATURES]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], passages))], schema=COUNTS)
 
@@ -265,7 +270,7 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.n
         start = np.append(start, (first_block + np.maximum(blocks - scale, 0))[blocks > 0])
         stop = np.minimum(start + scale, ends[text_of[start]])
         spans.append(np.stack([start, stop], 1))
-    start, stop = np.unique(np.concatenate(spans), axis=0).T
+    start, stop = np.divmod(np.unique(np.concatenate(spans) @ np.array([count + 1, 1])), count + 1)
     own = energy[stop] - energy[start]
     may = shared[stop] - shared[start] >= 0.5 * cosine**2 * own
     start, stop, own = start[may], stop[may], own[may]
@@ -282,15 +287,16 @@ def windows(hashes: np.ndarray, places: np.ndarray, space: Space, weighted: np.n
     held = np.full((int(used.sum()), BLOCK), len(space.buckets))
     held[number[block[word]], (word - places[text_of[block[word]]]) % BLOCK] = at[word]
     latent = np.zeros((len(held), weighted.shape[1]), np.float32)
-    for a in range(0, len(held), 1 << 12):
-        part = latent[a:a + (1 << 12)]
+    # parts of this size stay in a processor's cache
+    for a in range(0, len(held), 1 << 9):
+        part = latent[a:a + (1 << 9)]
         for place in range(BLOCK):
-            part += weighted[held[a:a + (1 << 12), place]]
+            part += weighted[held[a:a + (1 << 9), place]]
     sums = np.zeros((len(latent) + 1, latent.shape[1]))
     np.cumsum(latent, axis=0, dtype=np.float64, out=sums[1:])
-    for a in range(0, len(start), 1 << 13):
-        s, e = start[a:a + (1 << 13)], stop[a:a + (1 << 13)]
-        made = (sums[number[s] + e - s] - sums[number[s]]) / np.sqrt(own[a:a + (1 << 13), None])
+    for a in range(0, len(start), 1 << 10):
+        s, e = start[a:a + (1 << 10)], stop[a:a + (1 << 10)]
+        made = (sums[number[s] + e - s] - sums[number[s]]) / np.sqrt(own[a:a + (1 << 10), None])
         text = text_of[s]
         word0 = places[text] + (s - first_block[text]) * BLOCK
         word1 = np.minimum(places[text] + (e - first_block[text]) * BLOCK, places[text + 1])
@@ -323,11 +329,18 @@ def confirmed(item: Item, near: np.ndarray, lcs_share: float, answer_share: floa
     size = len(item.words)
     span, step = SPAN * size, max(1, size // 2)
     # other words are in no common subsequence; the answer's words are the item's
-    met = np.flatnonzero(np.isin(near, np.array(item.words, np.uint64)))
+    own, counts = np.unique(np.array(item.words, np.uint64), return_counts=True)
+    at = np.minimum(np.searchsorted(own, near), len(own) - 1)
+    met = np.flatnonzero(own[at] == near)
     starts = np.arange(0, max(1, len(near) - span + step), step)
     first, last = np.searchsorted(met, starts), np.searchsorted(met, starts + span)
+    many = np.flatnonzero(last - first >= lcs_share * size)
+    if not len(many):
+        return
+    # no common subsequence holds a word more often than the item or the span does
+    bound = np.array([np.minimum(np.bincount(at[met[first[n]:last[n]]], minlength=len(own)), counts).sum() for n in many.tolist()])
     shared = near[met].tolist()
-    for n in np.flatnonzero(last - first >= lcs_share * size).tolist():
+    for n in many[bound / size >= lcs_share].tolist():
         if n and first[n] == first[n - 1] and last[n] == last[n - 1]:
             continue
         words_ = shared[first[n]:last[n]]
