@@ -141,3 +141,9 @@ def test_covered_merges_touching_stretches():
     places = np.array([(100 << repeats.COUNT_BITS) | 1, (0 << repeats.COUNT_BITS) | 3, (52 << repeats.COUNT_BITS) | 1])
     starts, ends = repeats.covered(places, 50)
     assert starts.tolist() == [0] and ends.tolist() == [150]
+
+
+def test_open_runs_and_windows_come_from_one_look_at_the_texts(spark):
+    """Each look at the texts hashes them again: one to find runs, one for all that is open, one to cut."""
+    plan = suffix_dedup(spark.createDataFrame([(i, f"{i % 7} repeated text " * 9) for i in range(40)], "doc_id long, text string"))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 2

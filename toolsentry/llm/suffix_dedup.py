@@ -35,6 +35,7 @@ SLICE_BYTES, RANGE_BYTES = 1 << 19, 8 << 20
 SAMPLE_DOCS, SAMPLE_GROUPS, SAMPLE_KEYS, RANGES = 4096, 16, 4096, 4096
 
 SENT, SENT_DDL = arrow_schema([("bucket", pa.int32()), ("slice", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
+ASKED, ASKED_DDL = arrow_schema([*((f.name, f.type) for f in SENT), ("kind", pa.int32())])
 ANSWER, ANSWER_DDL = arrow_schema([("slice", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("content", pa.binary())])
 OUT, OUT_DDL = arrow_schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
@@ -319,18 +320,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, leading: int = LEADING)
         cut_ = np.isin(part.key & _CORE, hot)
         return whole, np.flatnonzero(open_ & ~cut_), np.flatnonzero(open_ & cut_)
 
-    def bytes_of_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows or not answers.num_rows:
-            return SENT.empty_table()
-        part = Slice(table, length, leading)
-        return sent_runs(part, opened(part, answers)[1], splitters, parts, table.column("slice")[0].as_py())
+    def open_content(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """What is open in a slice, from one look at its texts: bytes of runs, and windows of cores that fill several ranges."""
+        if not table.num_rows or OPEN not in answers.column("kind").to_pylist():
+            return ASKED.empty_table()
+        part, number = Slice(table, length, leading), table.column("slice")[0].as_py()
+        _, runs, hot_runs = opened(part, answers)
+        _, text, key, more = part.single(hot_runs)
+        asked = [(PARTS, sent_runs(part, runs, splitters, parts, number)), (SINGLE, sent(part.ids, key, more, part.ids[text], splitters, parts, number))]
+        return pa.concat_tables([rows.append_column(ASKED.field("kind"), pa.array([kind] * rows.num_rows, pa.int32())) for kind, rows in asked])
 
-    def single_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows or not answers.num_rows:
-            return SENT.empty_table()
-        part = Slice(table, length, leading)
-        _, text, key, more = part.single(opened(part, answers)[2])
-        return sent(part.ids, key, more, part.ids[text], splitters, parts, table.column("slice")[0].as_py())
+    by_kind = {PARTS: compare_windows(length), SINGLE: compare(splitters, SINGLE)}
+
+    def compare_open(table: pa.Table) -> pa.Table:
+        return by_kind[table.column("kind")[0].as_py()](table)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -362,7 +365,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, leading: int = LEADING)
     by_slice = dealt.groupBy("slice")
     runs = by_slice.applyInArrow(pairs, SENT_DDL).groupBy("bucket").applyInArrow(compare(splitters, OPEN), ANSWER_DDL)
     to_slice = by_slice.cogroup(runs.groupBy("slice"))
-    inner = to_slice.applyInArrow(bytes_of_runs, SENT_DDL).groupBy("bucket").applyInArrow(compare_windows(length), ANSWER_DDL)
-    single = to_slice.applyInArrow(single_windows, SENT_DDL).groupBy("bucket").applyInArrow(compare(splitters, SINGLE), ANSWER_DDL)
-    answers = runs.unionByName(inner).unionByName(single)
+    inner = to_slice.applyInArrow(open_content, ASKED_DDL).groupBy("bucket", "kind").applyInArrow(compare_open, ANSWER_DDL)
+    answers = runs.unionByName(inner)
     return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(cut, OUT_DDL)
