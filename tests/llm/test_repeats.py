@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,44 @@ def test_ranges_with_parts_and_a_sample_of_fixed_size(spark, monkeypatch):
     assert got == sorted((i, n, r, s) for i, n, r, s, _ in brute(docs, lambda t: t.encode(), 50))
 
 
+def test_slices_grow_with_the_ranges(spark, monkeypatch):
+    """Every slice sends rows to every range: with as many slices as before the rows would grow with the square of the input."""
+    docs = corpus()
+    total = sum(len((t or "").encode()) for i, t in docs if i is not None)
+    monkeypatch.setattr(suffixes, "RANGE_BYTES", 1 << 8)
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 1 << 9)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    result = suffix_dedup(frame).select("doc_id", "n_bytes", "n_removed", "n_spans")
+    slices = int(re.search(r"pmod\(xxhash64\(doc_id#.*?\), (\d+)\) AS slice", result._jdf.queryExecution().optimizedPlan().toString())[1])
+    ranges = -(-total // (1 << 8))
+    assert ranges > 100 and slices * ranges <= total / 16
+    assert sorted(map(tuple, result.collect())) == sorted((i, n, r, s) for i, n, r, s, _ in brute(docs, lambda t: t.encode(), 50))
+
+
+def test_texts_in_pieces_have_the_runs_they_have_together(monkeypatch):
+    docs = [(i, t or "") for i, t in corpus() if i is not None]
+    table = pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+    found = []
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(suffixes, "PIECE_BYTES", size)
+        part = suffixes.Slice(table, 50, 16)
+        first, text, pairs = part.single(np.arange(0, len(part.key), 3))
+        found.append([x.tolist() for x in (part.first, part.count, part.text, part.key, part.more, first, text, pairs.key, pairs.more, pairs.first, pairs.of)])
+    assert found[0] == found[1] and len(found[0][0]) > 500
+
+
+def test_distinct_pairs_do_not_depend_on_their_order():
+    rng = np.random.default_rng(7)
+    key, more, doc = rng.integers(0, 40, 600).astype(np.uint64), rng.integers(0, 3, 600).astype(np.uint32), rng.integers(-9, 9, 600)
+    for order in (np.arange(600), rng.permutation(600)):
+        got = suffixes.Distinct(key[order], more[order], doc[order])
+        pairs = sorted(set(zip(key.tolist(), more.tolist())))
+        least = [min(d for k, m, d in zip(key.tolist(), more.tolist(), doc.tolist()) if (k, m) == p) for p in pairs]
+        assert list(zip(got.key.tolist(), got.more.tolist())) == pairs and got.first.tolist() == least
+        assert [pairs[p] for p in got.of] == list(zip(key[order].tolist(), more[order].tolist()))
+        assert got.after.tolist() == [d > least[p] for d, p in zip(doc[order].tolist(), got.of.tolist())]
+
+
 def test_words_equal_brute_force(spark):
     docs = corpus()
     frame = spark.createDataFrame([(t, i) for i, t in docs], "text string, doc_id long").repartition(5)

@@ -95,7 +95,9 @@ def byte_prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
     size = 1 << max(16, int(len(data)).bit_length())
     table = mixed(np.arange(256, dtype=np.uint64) + np.uint64(which + 1))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * _powers(which, size)[0][:len(data)], out=sums[1:])
+    terms = table.take(data)
+    terms *= _powers(which, size)[0][:len(data)]
+    np.cumsum(terms, out=sums[1:])
     return sums
 
 
@@ -106,6 +108,14 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     return mixed(raw + (ends - starts).astype(np.uint64))
 
 
+def every_hash(sums: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """``span_hash`` of every span of ``size`` symbols, in order."""
+    raw = sums[size:] - sums[:-size]
+    raw *= _powers(which, 1 << max(16, int(len(sums) - 1).bit_length()))[1][:len(raw)]
+    raw += np.uint64(size)
+    return mixed(raw)
+
+
 def _reduced(x: np.ndarray) -> np.ndarray:
     """Any 64-bit values modulo the prime."""
     x = (x & _PRIME) + (x >> np.uint64(61))
@@ -196,18 +206,19 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tupl
     if step < wide:
         least = np.minimum(least[:count], least[wide - step:wide - step + count])
     where = (least & _LOW).astype(np.int64)
-    at = np.arange(count, dtype=np.int64)
-    where += at & ~np.int64(0xFFFFFF)
-    where[where < at] += 0x1000000
+    if len(hashes) > 0x1000000:
+        at = np.arange(count, dtype=np.int64)
+        where += at & ~np.int64(0xFFFFFF)
+        where[where < at] += 0x1000000
     valid = np.zeros(count + 1, bool)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= length:
             valid[a:b - length + 1] = True
     # two texts never share a run: the last windows of a text are not valid
-    begin = valid[:count].copy()
-    begin[1:] &= ~valid[:count - 1] | (where[1:] != where[:-1])
+    begin, changed = valid[:count].copy(), where[1:] != where[:-1]
+    begin[1:] &= ~valid[:count - 1] | changed
     first = np.flatnonzero(begin)
     stop = ~valid[1:count + 1]
-    stop[:-1] |= where[1:] != where[:-1]
+    stop[:-1] |= changed
     last = np.flatnonzero(stop & valid[:count])
     return first, last - first + 1, where[first]
